@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op4_ngram_jaccard_join
+from .packing import op5_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_ngram_jaccard_join,
+        op5_best_fit_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
