@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -28,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files and checkpoints of frames that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def plan_bytes(df: DataFrame, otherwise: int = 1 << 30) -> int:
     """The optimiser's estimate of the bytes that ``df`` reads; ``otherwise`` if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -106,7 +113,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> list[np.ndarray]:
     """Each row's distinct shingles of ``width`` words, sorted; a shorter row with words is one shingle; else none."""
     n = len(words)
-    factors = [_U64(2 * j + 1) * _U64(0xD6E8FEB86659FD93) for j in range(width)]
+    factors = [_U64((2 * j + 1) * 0xD6E8FEB86659FD93 % (1 << 64)) for j in range(width)]
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
     for j in range(width):
         rolled += words[j : n - width + 1 + j] * factors[j]
@@ -143,3 +150,22 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         mark = now
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "row") -> DataFrame:
+    """``df`` with every row's place (from 0) in the order of the columns ``order``, by per-partition counts.
+
+    Range-partitioned, sorted and checkpointed; only one count for each partition reaches the driver.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    at = F.monotonically_increasing_id()
+    rows = rows.select("*", F.shiftright(at, 33).alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    counts = {r["__part"]: r["c"] for r in rows.groupBy("__part").agg(F.count("*").alias("c")).collect()}
+    firsts, total = [], 0
+    for part in sorted(counts):
+        firsts.append((part, total))
+        total += counts[part]
+    starts = spark.createDataFrame(firsts, "__part long, __first long")
+    return rows.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__first") + F.col("__at")).alias(name))

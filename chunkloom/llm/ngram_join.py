@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, components, mixed, plan_bytes, shingle_hashes, table, text_column, text_slices, word_hashes
+from ._common import checkpointed, components, mixed, plan_bytes, release, shingle_hashes, table, text_column, text_slices, word_hashes
 
 #: Bits of the fixed-size maps that are broadcast (2 MB each).
 MAP_BITS = 24
@@ -28,8 +28,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0
 #: Posting lists over this length are first compared with one leader only.
 LONG_LIST = 8
-#: Rounds of comparing with leaders, each with other leaders.
-LEADER_ROUNDS = 2
+#: Leaders of a list.
+LEADERS = 2
 
 
 def _sets(batch_texts: pa.Array, width: int):
@@ -172,8 +172,8 @@ def _set_store(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return checkpointed(rows.mapInArrow(keep, "id long, shingles binary"))
 
 
-def _verified(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold; only documents in a pair have their sets built."""
 
     def check(batches):
         for batch in batches:
@@ -186,9 +186,14 @@ def _verified(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter) and inter > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = checkpointed(pairs)
+    store = _set_store(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width)
     left = store.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = store.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    found = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    del pairs, store, left, right
+    release(docs.sparkSession)
+    return found
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -203,26 +208,22 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     index = shingle_index(docs, width, percent)
     classes = index.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
     by_token = Window.partitionBy("token")
-    leader = [F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id")).over(by_token)["id"].alias(f"leader{r}") for r in range(LEADER_ROUNDS)]
+    leaders = [F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "n")).over(by_token).alias(f"leader{r}") for r in range(LEADERS)]
     postings = classes.select("id", "n", "matches", F.explode("prefix").alias("token"))
-    postings = checkpointed(postings.select("*", F.count("*").over(by_token).alias("m"), *leader).filter("m > 1"))
-    store = _set_store(docs, postings.select("id"), width)
-    links = None
-    grouped = postings.withColumn("component", F.col("id"))
-    for r in range(LEADER_ROUNDS):
-        sizes = postings.select(F.col("id").alias(f"leader{r}"), F.col("n").alias("other")).distinct()
-        stars = grouped.filter(f"m > {LONG_LIST} and leader{r} <> id").select(f"leader{r}", "id", "n").distinct()
-        stars = stars.join(sizes, f"leader{r}").filter(f"100 * least(n, other) >= {percent} * greatest(n, other)")
-        found = checkpointed(_verified(stars.select(F.col(f"leader{r}").alias("a"), F.col("id").alias("b")), store, percent))
-        links = found if links is None else links.union(found)
-        groups = components(links)
-        grouped = postings.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        grouped = grouped.select("*", F.min("component").over(by_token).alias("lo"), F.max("component").over(by_token).alias("hi")).filter("lo <> hi").drop("lo", "hi")
-        grouped = checkpointed(grouped)
-    one, two = grouped.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac")), grouped.select("token", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("component").alias("bc"))
+    postings = checkpointed(postings.select("*", F.count("*").over(by_token).alias("m"), *leaders).filter("m > 1"))
+    stars = None
+    for r in range(LEADERS):
+        own = postings.filter(f"m > {LONG_LIST} and leader{r}.id <> id and 100 * least(n, leader{r}.n) >= {percent} * greatest(n, leader{r}.n)")
+        own = own.select(F.least("id", f"leader{r}.id").alias("a"), F.greatest("id", f"leader{r}.id").alias("b"))
+        stars = own if stars is None else stars.union(own)
+    links = _verified(docs, stars.distinct(), width, percent)
+    grouped = postings.drop(*(f"leader{r}" for r in range(LEADERS))).join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = grouped.select("*", F.min("component").over(by_token).alias("lo"), F.max("component").over(by_token).alias("hi")).filter("lo <> hi")
+    one = grouped.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac"))
+    two = one.toDF("token", "b", "bn", "bm", "bc")
     near = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
     shared = one.join(two, (one["token"] == two["token"]) & near).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("am", "bm")).alias("k"))
-    links = links.union(checkpointed(_verified(shared.filter("c >= k").select("a", "b"), store, percent)))
+    links = links.union(_verified(docs, shared.filter("c >= k").select("a", "b"), width, percent))
     groups = components(links)
     named = classes.select("n", "s1", "s2", "id").join(groups, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     return index.drop("prefix", "matches").join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
