@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
+from .sharding import op8_byte_sharding
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_toxicity,
         op4_ngram_jaccard_join,
         op5_best_fit_packing,
+        op8_byte_sharding,
+        op9_source_mixing,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
