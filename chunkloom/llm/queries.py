@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
+from .pii import op2_personal_data
 from .sharding import op8_byte_sharding
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_personal_data,
         op3_toxicity,
         op4_ngram_jaccard_join,
         op5_best_fit_packing,
