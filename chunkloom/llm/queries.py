@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op1_inner_product_search
+from .embedding_dedup import op7_embedding_near_dedup
 from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
@@ -16,10 +18,12 @@ from .toxicity import op3_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_inner_product_search,
         op2_personal_data,
         op3_toxicity,
         op4_ngram_jaccard_join,
         op5_best_fit_packing,
+        op7_embedding_near_dedup,
         op8_byte_sharding,
         op9_source_mixing,
     )
