@@ -18,6 +18,8 @@ from ._common import checkpointed, components, mixed, plan_bytes, release, shing
 
 #: Bits of the fixed-size maps that are broadcast (2 MB each).
 MAP_BITS = 24
+#: Bits of the fixed-size map of shingles in two documents or more (16 MB); only these are posted.
+PAIR_BITS = 27
 #: A shingle in more documents than this counts as frequent; raised until the frequent ones fill an eighth of a map.
 FREQUENT = 32
 #: Each further class of frequency starts at so many times the one before.
@@ -37,8 +39,8 @@ def _sets(batch_texts: pa.Array, width: int):
         yield row, shingle_hashes(*word_hashes(data, offsets), width)
 
 
-def _place(fingerprints: np.ndarray) -> np.ndarray:
-    return (mixed(fingerprints + np.uint64(1)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def _place(fingerprints: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    return (mixed(fingerprints + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _marked(map_bytes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -54,6 +56,8 @@ def _map_of(places: np.ndarray) -> np.ndarray:
 def _frequencies(docs: DataFrame, width: int, bucket_bits: int, above: int) -> DataFrame:
     """(token, n) of the shingles in more than ``above`` documents; a token is a shingle hash's leading bits.
 
+    Besides, one row for each bucket has in ``marks`` its share of a map of the shingles in two documents or more.
+
     Tasks pack the trailing 32 bits of the tokens of many documents in one row for each bucket
     of leading bits, so that the shuffle moves four bytes for each shingle of a document.
     """
@@ -87,13 +91,18 @@ def _frequencies(docs: DataFrame, width: int, bucket_bits: int, above: int) -> D
         edges = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True])))
         n = np.diff(edges)
         keep = n > above
-        return pa.table({"token": (tokens[edges[:-1]][keep].astype(np.int64) | (bucket << 32)), "n": n[keep].astype(np.int64)})
+        flags = np.zeros(1 << PAIR_BITS - bucket_bits, bool)
+        flags[_place(tokens[edges[:-1]][n > 1].astype(np.uint64), PAIR_BITS - bucket_bits)] = True
+        found = {"token": [*(tokens[edges[:-1]][keep].astype(np.int64) | (bucket << 32)).tolist(), bucket], "n": [*n[keep].tolist(), 0], "marks": [None] * int(keep.sum()) + [np.packbits(flags, bitorder="little").tobytes()]}
+        return pa.table(found, schema=pa.schema([("token", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())]))
 
-    return docs.select(text_column()).mapInArrow(pack, "bucket long, packed binary").groupBy("bucket").applyInArrow(count, "token long, n long")
+    return docs.select(text_column()).mapInArrow(pack, "bucket long, packed binary").groupBy("bucket").applyInArrow(count, "token long, n long, marks binary")
 
 
-def _frequency_maps(docs: DataFrame, width: int, bucket_bits: int) -> tuple[list[np.ndarray], int]:
-    counted = checkpointed(_frequencies(docs, width, bucket_bits, FREQUENT))
+def _frequency_maps(docs: DataFrame, width: int, bucket_bits: int) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Maps of frequent shingles by class, the map of shingles in two documents or more, and the first class's threshold."""
+    every = checkpointed(_frequencies(docs, width, bucket_bits, FREQUENT))
+    counted = every.filter("n > 0").select("token", "n")
     least, most = FREQUENT, 1 << (MAP_BITS - 3)
     by_size = {r["k"]: r["c"] for r in counted.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c")).collect()}
     while sum(c for k, c in by_size.items() if 2 ** (k + 1) > least) > most:
@@ -102,27 +111,38 @@ def _frequency_maps(docs: DataFrame, width: int, bucket_bits: int) -> tuple[list
     for level in range(3):
         rows = counted.filter(F.col("n") > least * CLASS_STEP**level).select("token").toPandas()
         maps.append(_map_of(_place(rows["token"].to_numpy(np.int64).astype(np.uint64))))
-    return maps, least
+    share = 1 << PAIR_BITS - bucket_bits - 3
+    paired = np.zeros(1 << PAIR_BITS - 3, np.uint8)
+    for r in every.filter("n = 0").select("token", "marks").toLocalIterator():
+        paired[r["token"] * share : (r["token"] + 1) * share] = np.frombuffer(r["marks"], np.uint8)
+    return maps, paired, least
 
 
 def shingle_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, matches, prefix): set size, set signature, shared prefix shingles asked for, prefix."""
+    """(doc_id, n, s1, s2, matches, prefix): set size, set signature, shared prefix shingles asked for, prefix.
+
+    Shingles that no other document has are left out of the prefix.
+    """
     bucket_bits = min(20, max(5, int(np.log2(max(1, plan_bytes(docs) >> 23))) + 1))
-    maps, least = _frequency_maps(docs, width, bucket_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(maps)
+    maps, paired, least = _frequency_maps(docs, width, bucket_bits)
+    release(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((maps, paired))
+    low, region = np.uint64(0xFFFFFFFF), PAIR_BITS - bucket_bits
     shift = np.uint64(64 - 32 - bucket_bits)
     cost_of = least * float(CLASS_STEP) ** np.arange(4) / 2
     cost_of[0] = 1.0
     asked = np.arange(1, MOST_MATCHES + 1)
 
     def index(batches):
-        maps = shared.value
+        maps, paired = shared.value
         for batch in batches:
             ids, n, s1, s2, matches, prefixes = batch.column(0), [], [], [], [], []
             for _, sets in _sets(batch.column(1), width):
                 sizes = np.array([len(s) for s in sets])
                 every = np.concatenate(sets)
-                places = _place(every >> shift)
+                tokens = every >> shift
+                places = _place(tokens)
+                posted = _marked(paired, (tokens >> np.uint64(32)).astype(np.int64) << region | _place(tokens & low, region)).astype(bool)
                 level = sum((_marked(m, places) for m in maps), np.zeros(len(every), np.uint8))
                 again = mixed(every ^ np.uint64(0x5851F42D4C957F2D))
                 ends = np.cumsum(sizes)
@@ -142,7 +162,8 @@ def shingle_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     reads = costs[free + choices - 1]
                     most = int(choices[np.argmin(reads + VERIFY_COST * reads / choices)])
                     matches.append(most)
-                    prefixes.append(s[order[: free + most]].view(np.int64))
+                    order = order[: free + most]
+                    prefixes.append(s[order[posted[part][order]]].view(np.int64))
             lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(matches, pa.int32()), lists], ["doc_id", "n", "s1", "s2", "matches", "prefix"])
@@ -211,6 +232,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     leaders = [F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "n")).over(by_token).alias(f"leader{r}") for r in range(LEADERS)]
     postings = classes.select("id", "n", "matches", F.explode("prefix").alias("token"))
     postings = checkpointed(postings.select("*", F.count("*").over(by_token).alias("m"), *leaders).filter("m > 1"))
+    release(docs.sparkSession)
     stars = None
     for r in range(LEADERS):
         own = postings.filter(f"m > {LONG_LIST} and leader{r}.id <> id and 100 * least(n, leader{r}.n) >= {percent} * greatest(n, leader{r}.n)")
