@@ -169,3 +169,15 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "row") -> DataFram
         total += counts[part]
     starts = spark.createDataFrame(firsts, "__part long, __first long")
     return rows.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__first") + F.col("__at")).alias(name))
+
+
+def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """Rows of the ``n`` values of ``key`` that a seeded hash puts first; only those values are broadcast."""
+    ids = rows.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.join(F.broadcast(ids), key)
+
+
+def sliced(texts: pa.Array, most: int = 1 << 22):
+    """(first row, texts) of slices of about ``most`` bytes."""
+    for row, data, offsets in text_slices(texts, most):
+        yield row, pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op1_inner_product_search
 from .embedding_dedup import op7_embedding_near_dedup
+from .language import op10_page_language
 from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
 from .pii import op2_personal_data
+from .quality import op6_weak_label_quality
 from .sharding import op8_byte_sharding
 from .toxicity import op3_toxicity
 
@@ -23,9 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_ngram_jaccard_join,
         op5_best_fit_packing,
+        op6_weak_label_quality,
         op7_embedding_near_dedup,
         op8_byte_sharding,
         op9_source_mixing,
+        op10_page_language,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
