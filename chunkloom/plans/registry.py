@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import chunking, linking, searching
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = chunking.QUERIES | linking.QUERIES | searching.QUERIES
+ORACLE_SQL: dict[str, str] = chunking.ORACLE_SQL | linking.ORACLE_SQL | searching.ORACLE_SQL
