@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_column, text_slices
+from ._common import sliced, table, text_column
 from ._words import SENTENCE_END, sentence_words, word_features
 
 #: Hash bits of the features.
@@ -26,14 +26,13 @@ THRESHOLD = 0.3
 _ENDS = re.compile(SENTENCE_END.replace(r"\x{2026}\x{3002}", "…。"))
 
 
-def _slices(texts: list[str], most: int = 1 << 22):
-    rows = pa.array(texts, pa.large_string())
-    for row, data, offsets in text_slices(rows, most):
-        yield row, sentence_words(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)))
+def _slices(texts: pa.Array):
+    for row, part in sliced(texts, 1 << 20):
+        yield row, sentence_words(part)
 
 
-def _telling(texts: list[str], labels: np.ndarray, most: int, least: int, sigmas: float) -> np.ndarray:
-    """Features that occur in labelled documents more often than chance allows, the strongest ``most``."""
+def _telling(texts: pa.Array, labels: np.ndarray, most: int, least: int, sigmas: float, lift: float) -> np.ndarray:
+    """Features that occur in labelled documents more often than chance allows and ``lift`` times as often as in all, the strongest ``most``."""
     seen = np.zeros((2, 1 << BITS))
     for row, (words, codes, sentence, text_of, _) in _slices(texts):
         pairs = np.unique(text_of[sentence] * len(words) + codes)
@@ -43,21 +42,21 @@ def _telling(texts: list[str], labels: np.ndarray, most: int, least: int, sigmas
             seen[y] += np.bincount(feature, weights=np.bincount(own, minlength=len(words))[word], minlength=1 << BITS)
     rate, total = seen[1].sum() / seen.sum(), seen.sum(axis=0)
     strength = (seen[1] - rate * total) / np.sqrt(np.maximum(total, 1) * rate * (1 - rate))
-    strength[(total < least) | (strength < sigmas)] = 0
+    strength[(total < least) | (strength < sigmas) | (seen[1] < lift * rate * total)] = 0
     best = np.argsort(-strength, kind="stable")[:most]
     return np.sort(best[strength[best] > 0])
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.15, penalty: float = 0.02, features: int = 2048, least: int = 4, sigmas: float = 4.5) -> tuple[np.ndarray, float]:
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, penalty: float = 0.02, features: int = 2048, least: int = 4, sigmas: float = 4.5, lift: float = 2.5) -> tuple[np.ndarray, float]:
     """Feature weights and a sentence's bias, by Adam on the likelihood of the documents' labels.
 
-    Only the ``features`` that tell most between the labels, by ``sigmas`` at least, are weighted.
+    Only the ``features`` that tell most between the labels, by ``sigmas`` and ``lift`` at least, are weighted.
     Without texts of both labels the score is constant.
     """
     weights = np.zeros(1 << BITS, np.float32)
     if not len(texts) or labels.min() == labels.max():
         return weights, (3.0 if len(texts) and labels.min() else -12.0)
-    used = _telling(texts, labels, features, least, sigmas)
+    used = _telling(texts, labels, features, least, sigmas, lift)
     place = np.full(1 << BITS, -1, np.int64)
     place[used] = np.arange(len(used))
     cells, firsts, bags = [], [0], 0
@@ -70,7 +69,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0
         begin = np.cumsum(counts) - counts
         each = counts[codes]
         at = np.repeat(begin[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        cells.append(np.stack([np.repeat(sentence, each) + bags, feature[at]]))
+        cells.append(np.stack([np.repeat(sentence, each) + bags, feature[at]]).astype(np.int32))
         firsts.extend((first[1:] + bags).tolist())
         bags += len(text_of)
     (row, column), firsts = np.concatenate(cells, axis=1), np.array(firsts)
@@ -104,8 +103,8 @@ def held_out(name: str):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """A model from the labelled documents that are not held out; labels are used for nothing else."""
-    rows = training_rows(docs, labels, "toxic", sample).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["__label"].to_numpy())
+    rows = training_rows(docs, labels, "toxic", sample).toArrow().sort_by("doc_id")
+    return fit(rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("__label").to_numpy())
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
@@ -123,13 +122,8 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
         for batch in batches:
             texts = batch.column(1)
             scores, spans = [], []
-            for row, data, offsets in text_slices(texts, 1 << 22):
-                part = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
-                words, codes, sentence, text_of, firsts = sentence_words(part)
-                feature, word = word_features(words, BITS)
-                own = np.bincount(word, weights=weights[feature], minlength=len(words))
-                z = np.bincount(sentence, weights=own[codes], minlength=len(text_of)) + bias
-                toxic = -np.expm1(np.add.reduceat(-np.logaddexp(0, z), firsts[:-1]))
+            for row, part in sliced(texts):
+                toxic, z, firsts = _scores(part, weights, bias)
                 scores.append(toxic)
                 for k, bad in enumerate(toxic >= threshold):
                     spans.append(_offending(texts[row + k].as_py(), z[firsts[k] : firsts[k + 1]], threshold) if bad else [])
@@ -139,6 +133,29 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
     return rows.mapInArrow(score, "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose text scores below ``threshold``; a null text is an empty one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        weights, bias = shared.value
+        for batch in batches:
+            scores = [_scores(part, weights, bias)[0] for _, part in sliced(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold) if scores else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _scores(texts: pa.Array, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' scores, sentences' log-odds and each document's first sentence."""
+    words, codes, sentence, text_of, firsts = sentence_words(texts)
+    feature, word = word_features(words, BITS)
+    own = np.bincount(word, weights=weights[feature], minlength=len(words))
+    z = np.bincount(sentence, weights=own[codes], minlength=len(text_of)) + bias
+    return -np.expm1(np.add.reduceat(-np.logaddexp(0, z), firsts[:-1])), z, firsts
+
+
 def _offending(text: str, z: np.ndarray, threshold: float) -> list[dict]:
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     bad = np.flatnonzero(p >= min(threshold, p.max()))
