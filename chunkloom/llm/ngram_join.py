@@ -5,12 +5,17 @@ counted over every document). Two documents whose Jaccard similarity reaches the
 must share at least l shingles among the first |x| - ceil(t|x|) + l of each. A document whose
 prefix is expected to meet many candidates takes a larger l: a longer prefix, and more shared
 prefix shingles asked for before a pair is verified on the full sets.
+
+A posting list is led by the document of smallest hash in it, and documents meet in their leaders' groups:
+two that share a list are both in its leader's group, and lists of one family have few leaders, so a set is
+shipped a few times and not once for each pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +33,10 @@ CLASS_STEP = 16
 MOST_MATCHES = 8
 #: Cost of verifying a pair, in posting-list entries read.
 VERIFY_COST = 20.0
-#: Posting lists over this length are first compared with one leader only.
-LONG_LIST = 8
-#: Leaders of a list.
-LEADERS = 2
+#: A leader's group is cut in tiles of about so many documents; each two tiles are compared in a task of their own.
+TILE = 512
+#: Distinct shingles that a task compares at once.
+COLUMNS = 4096
 
 
 def _sets(batch_texts: pa.Array, width: int):
@@ -118,32 +123,47 @@ def _frequency_maps(docs: DataFrame, width: int, bucket_bits: int) -> tuple[list
     return maps, paired, least
 
 
-def shingle_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, matches, prefix): set size, set signature, shared prefix shingles asked for, prefix.
+class ShingleOrder:
+    """The global order of shingles, and which of them several documents have, in maps of fixed size."""
 
-    Shingles that no other document has are left out of the prefix.
-    """
+    def __init__(self, maps: list[np.ndarray], paired: np.ndarray, bucket_bits: int):
+        self.maps, self.paired, self.shift, self.region = maps, paired, np.uint64(32 - bucket_bits), PAIR_BITS - bucket_bits
+
+    def look_up(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each shingle's class of frequency, and whether two documents or more have it."""
+        tokens = shingles >> self.shift
+        places = _place(tokens)
+        level = sum((_marked(m, places) for m in self.maps), np.zeros(len(shingles), np.uint8))
+        at = (tokens >> np.uint64(32)).astype(np.int64) << self.region | _place(tokens & np.uint64(0xFFFFFFFF), self.region)
+        return level, _marked(self.paired, at).astype(bool)
+
+
+def shingle_order(docs: DataFrame, width: int) -> tuple[ShingleOrder, int]:
+    """The order, from the frequencies of all shingles of all documents, and the threshold of its first class."""
     bucket_bits = min(20, max(5, int(np.log2(max(1, plan_bytes(docs) >> 23))) + 1))
     maps, paired, least = _frequency_maps(docs, width, bucket_bits)
     release(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((maps, paired))
-    low, region = np.uint64(0xFFFFFFFF), PAIR_BITS - bucket_bits
-    shift = np.uint64(64 - 32 - bucket_bits)
+    return ShingleOrder(maps, paired, bucket_bits), least
+
+
+def shingle_index(docs: DataFrame, width: int, percent: int, shared: Broadcast, least: int) -> DataFrame:
+    """(doc_id, n, s1, s2, matches, prefix): set size, set signature, shared prefix shingles asked for, prefix.
+
+    Shingles that no other document has are left out of the prefix, and a document of which too many are
+    such has no prefix at all: it cannot link.
+    """
     cost_of = least * float(CLASS_STEP) ** np.arange(4) / 2
     cost_of[0] = 1.0
     asked = np.arange(1, MOST_MATCHES + 1)
 
     def index(batches):
-        maps, paired = shared.value
+        order_of = shared.value
         for batch in batches:
             ids, n, s1, s2, matches, prefixes = batch.column(0), [], [], [], [], []
             for _, sets in _sets(batch.column(1), width):
                 sizes = np.array([len(s) for s in sets])
                 every = np.concatenate(sets)
-                tokens = every >> shift
-                places = _place(tokens)
-                posted = _marked(paired, (tokens >> np.uint64(32)).astype(np.int64) << region | _place(tokens & low, region)).astype(bool)
-                level = sum((_marked(m, places) for m in maps), np.zeros(len(every), np.uint8))
+                level, posted = order_of.look_up(every)
                 again = mixed(every ^ np.uint64(0x5851F42D4C957F2D))
                 ends = np.cumsum(sizes)
                 for k, s in enumerate(sets):
@@ -154,7 +174,11 @@ def shingle_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     part = slice(ends[k] - len(s), ends[k])
                     s1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                     s2.append(int(again[part].sum(dtype=np.uint64).view(np.int64)))
-                    free = len(s) - -(-percent * len(s) // 100)
+                    least_shared = -(-percent * len(s) // 100)
+                    if np.count_nonzero(posted[part]) < least_shared:
+                        matches.append(0), prefixes.append(np.zeros(0, np.int64))
+                        continue
+                    free = len(s) - least_shared
                     own = level[part]
                     order = np.argsort(own, kind="stable")[: free + MOST_MATCHES] if own.any() else np.arange(min(len(s), free + MOST_MATCHES))
                     costs = np.cumsum(cost_of[own[order]])
@@ -178,43 +202,90 @@ def _id_map(ids: DataFrame) -> np.ndarray:
     return _map_of(rows["p"].to_numpy(np.int64))
 
 
-def _set_store(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents in ``wanted``, and of few others that share a place of the map."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_map(wanted))
+def _set_store(docs: DataFrame, wanted: DataFrame, width: int, percent: int, shared: Broadcast) -> DataFrame:
+    """(id, shingles) of the documents in ``wanted``, and of few others that share a place of the map.
+
+    Shingles are in the global order, without those that no other document has: no intersection holds them.
+    """
+    marks_of = docs.sparkSession.sparkContext.broadcast(_id_map(wanted))
 
     def keep(batches):
-        marks = shared.value
+        marks, order_of = marks_of.value, shared.value
         for batch in batches:
             batch = batch.filter(pa.array(_marked(marks, batch.column(1).to_numpy()).astype(bool)))
-            sets = [s.tobytes() for _, part in _sets(batch.column(2), width) for s in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            out = []
+            for _, sets in _sets(batch.column(2), width):
+                for s in sets:
+                    level, posted = order_of.look_up(s)
+                    out.append(s[posted][np.argsort(level[posted], kind="stable")].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - MAP_BITS).alias("place"), text_column().alias("text"))
-    return checkpointed(rows.mapInArrow(keep, "id long, shingles binary"))
+    return checkpointed(rows.mapInArrow(keep, "id long, shingles binary").dropDuplicates(["id", "shingles"]))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; only documents in a pair have their sets built."""
+def _linked(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the pairs within each group (leader, t1, t2) connect that reach the threshold.
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * inter >= percent * (len(x) + len(y) - inter) and inter > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = checkpointed(pairs)
-    store = _set_store(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width)
-    left = store.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = store.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    found = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-    del pairs, store, left, right
-    release(docs.sparkSession)
-    return found
+    A pair is a candidate if it shares as many prefix shingles as both ask for; candidates are verified by
+    the intersection of their whole sets. Of two tiles only pairs across are looked at.
+    """
+
+    def common(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+        """How many tokens each two rows share, by products of bounded column blocks."""
+        _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        keep = counts[column] > 1
+        rows = rows[keep]
+        _, column = np.unique(column[keep], return_inverse=True)
+        out = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[rows[a:b], column[a:b] - lo] = 1
+            out += block @ block.T
+        return out
+
+    def verify(group: pa.Table) -> pa.Table:
+        ids, n, asked = (group.column(c).to_numpy() for c in ("id", "n", "matches"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        posted = group.column("prefix_size").to_numpy()
+        prefixes = [s[:p] for s, p in zip(sets, posted, strict=True)]
+        m = len(ids)
+        near = common(np.repeat(np.arange(m), posted), np.concatenate(prefixes), m) >= np.minimum(asked[:, None], asked[None, :])
+        near &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        near &= np.triu(np.ones((m, m), bool), 1)
+        if group.column("t1")[0].as_py() != group.column("t2")[0].as_py():
+            tile = group.column("tile").to_numpy()
+            near &= tile[:, None] != tile[None, :]
+        a, b = np.nonzero(near)
+        if len(a):
+            used = np.unique(np.concatenate((a, b)))
+            place = np.full(m, -1)
+            place[used] = np.arange(len(used))
+            shared = common(np.repeat(np.arange(len(used)), [len(sets[k]) for k in used]), np.concatenate([sets[k] for k in used]), len(used))
+            inter = shared[place[a], place[b]].astype(np.int64)
+            linked = (inter > 0) & (100 * inter >= percent * (n[a] + n[b] - inter))
+            a, b = a[linked], b[linked]
+        root = list(range(m))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        kept = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                kept.append((x, y))
+        one, two = ([ids[k[i]] for k in kept] for i in (0, 1))
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    return groups.groupBy("leader", "t1", "t2").applyInArrow(verify, "a long, b long")
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -226,26 +297,23 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     repeat a doc_id are one document of the graph. A null doc_id links with nothing and is its own (null)
     component. Columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
-    index = shingle_index(docs, width, percent)
-    classes = index.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    order, least = shingle_order(docs, width)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+    index = shingle_index(docs, width, percent, shared, least)
+    classes = index.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
     by_token = Window.partitionBy("token")
-    leaders = [F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), "id", "n")).over(by_token).alias(f"leader{r}") for r in range(LEADERS)]
-    postings = classes.select("id", "n", "matches", F.explode("prefix").alias("token"))
-    postings = checkpointed(postings.select("*", F.count("*").over(by_token).alias("m"), *leaders).filter("m > 1"))
+    candidates = index.filter("size(prefix) > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    postings = candidates.select("id", "n", "matches", F.size("prefix").alias("prefix_size"), F.explode("prefix").alias("token"))
+    postings = postings.select("*", F.count("*").over(by_token).alias("m"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).over(by_token)["id"].alias("leader")).filter("m > 1")
+    members = checkpointed(postings.select("leader", "id", "n", "matches", "prefix_size").distinct())
+    release(docs.sparkSession)
+    tiles = members.groupBy("leader").agg(F.ceil(F.count("*") / TILE).alias("tiles")).filter("tiles > 1")
+    members = members.join(tiles, "leader", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    members = members.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    members = members.select("leader", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "matches", "prefix_size")
+    store = _set_store(docs, members, width, percent, shared)
+    links = checkpointed(_linked(members.join(store, "id"), percent))
     release(docs.sparkSession)
-    stars = None
-    for r in range(LEADERS):
-        own = postings.filter(f"m > {LONG_LIST} and leader{r}.id <> id and 100 * least(n, leader{r}.n) >= {percent} * greatest(n, leader{r}.n)")
-        own = own.select(F.least("id", f"leader{r}.id").alias("a"), F.greatest("id", f"leader{r}.id").alias("b"))
-        stars = own if stars is None else stars.union(own)
-    links = _verified(docs, stars.distinct(), width, percent)
-    grouped = postings.drop(*(f"leader{r}" for r in range(LEADERS))).join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    grouped = grouped.select("*", F.min("component").over(by_token).alias("lo"), F.max("component").over(by_token).alias("hi")).filter("lo <> hi")
-    one = grouped.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac"))
-    two = one.toDF("token", "b", "bn", "bm", "bc")
-    near = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    shared = one.join(two, (one["token"] == two["token"]) & near).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("am", "bm")).alias("k"))
-    links = links.union(_verified(docs, shared.filter("c >= k").select("a", "b"), width, percent))
     groups = components(links)
     named = classes.select("n", "s1", "s2", "id").join(groups, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     return index.drop("prefix", "matches").join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
