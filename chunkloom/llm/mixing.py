@@ -25,7 +25,10 @@ GROUPS = 256
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, for a sum as near below ``budget`` as is found (exact below EXACT_BUDGET)."""
+    """How many documents of each size to take, for a sum as near below ``budget`` as is found (the nearest, for budgets below EXACT_BUDGET).
+
+    Lengths are taken evenly as far as the budget can still be met; only if not is that share lowered.
+    """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
     taken = np.zeros(len(sizes), np.int64)
@@ -33,7 +36,20 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return taken
     if budget >= total:
         return counts.copy()
-    taken = np.array([c * budget // total for c in counts.tolist()], np.int64)
+    best = None
+    for share in (1.0, 0.5, 0.0):
+        taken = _fitted(sizes, counts, budget, total, share)
+        if best is None or int((taken * sizes).sum()) > int((best * sizes).sum()):
+            best = taken
+        if int((best * sizes).sum()) == budget:
+            break
+    return best
+
+
+def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, total: int, share: float) -> np.ndarray:
+    """One attempt: ``share`` of the budget is spread evenly over the lengths, the rest is searched."""
+    even = int(budget * share)
+    taken = np.array([c * even // total for c in counts.tolist()], np.int64)
     left = budget - int((taken * sizes).sum())
     for k in np.argsort(-sizes, kind="stable").tolist():
         if left <= EXACT_BUDGET:
@@ -100,7 +116,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     size = F.regexp_count(text_column(), F.lit(WORD)).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text_column().cast("binary")))
-    rows = docs.withColumns({"__key": key, "__size": size, "__hash": hashed})
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("__"))).withColumns({"__key": key, "__size": size, "__hash": hashed})
     rows = rows.withColumn("__group", F.shiftrightunsigned("__hash", 64 - (GROUPS - 1).bit_length()).cast("int"))
     counts = checkpointed(rows.groupBy("__key", "__size", "__group").agg(F.count("*").alias("n")))
     lengths = counts.groupBy("__key", "__size").agg(F.sum("n").alias("n"))
@@ -119,10 +135,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     plan = lengths.join(sources, "__key").groupBy("__key").applyInPandas(fit, "__key string, __size long, source_size long, target double, whole int, extra long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__key", "__size").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = counts.join(plan, ["__key", "__size"]).withColumn("__take", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - before)))
-    taken = taken.select("__key", "__size", "__group", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "whole", "__take")
+    taken = taken.select("__key", "__size", "__group", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), "__take")
     by_group = Window.partitionBy("__key", "__size", "__group").orderBy("__hash", "doc_id")
     out = rows.join(taken, ["__key", "__size", "__group"]).withColumn("__rank", F.row_number().over(by_group))
-    return out.withColumn("__copies", F.col("whole") + (F.col("__rank") <= F.col("__take")).cast("int")).drop("__key", "__group", "__hash", "__rank", "__take", "whole")
+    return out.withColumn("__copies", F.col("__whole") + (F.col("__rank") <= F.col("__take")).cast("int")).drop("__key", "__group", "__hash", "__rank", "__take", "__whole")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

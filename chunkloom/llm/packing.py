@@ -13,10 +13,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bpe import WordEncoder
 from ._common import checkpointed, table, text_column, text_slices
@@ -25,10 +26,8 @@ from ._common import checkpointed, table, text_column, text_slices
 BLOCK = 4096
 #: Branches that the search of a block visits before it keeps its incumbent.
 NODES = 4096
-#: Fillings tried around one piece.
-WIDTH = 3
-#: First elements from which fillings are built.
-STARTS = 16
+#: Fillings tried around one piece, and enumerated for it.
+WIDTH, STEPS = 8, 64
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -89,40 +88,41 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 
 
 def _fillings(room: int, counts: list[int], present: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, ``WIDTH`` at most."""
-    below = present & ((1 << room + 1) - 1)
-    if not below:
+    """Undominated fillings of ``room``, least waste first, ``WIDTH`` at most.
+
+    Fillings to which nothing can be added are enumerated in falling order, ``STEPS`` of them at most.
+    """
+    if not present & ((1 << room + 1) - 1):
         return [()]
-    first = below.bit_length() - 1
-    if first == room:
+    if present >> room & 1:
         return [(room,)]
-    found = []
-    for _ in range(STARTS):
-        if not below:
-            break
-        x = below.bit_length() - 1
-        below ^= 1 << x
-        own, left, used = [x], room - x, {x: 1}
-        while left > 0:
-            fits = present & ((1 << left + 1) - 1)
-            y = 0
-            while fits:
-                y = fits.bit_length() - 1
-                if counts[y] > used.get(y, 0):
-                    break
-                fits ^= 1 << y
-            if not fits:
-                break
-            own.append(y)
-            used[y] = used.get(y, 0) + 1
-            left -= y
-        found.append((left, tuple(sorted(own, reverse=True))))
-        if not left and len(found) >= WIDTH:
-            break
+    found: list[tuple[int, tuple[int, ...]]] = []
+    own: list[int] = []
+    steps = STEPS
+
+    def extend(left: int, most: int) -> None:
+        nonlocal steps
+        fits = present & ((1 << min(left, most) + 1) - 1)
+        grown = False
+        while fits and steps > 0:
+            x = fits.bit_length() - 1
+            fits ^= 1 << x
+            if counts[x] > own.count(x):
+                grown = True
+                own.append(x)
+                extend(left - x, x)
+                own.pop()
+        if not grown:
+            steps -= 1
+            found.append((left, tuple(own)))
+            if not left and sum(not w for w, _ in found) >= WIDTH:
+                steps = 0
+
+    extend(room, room)
     kept: list[tuple[int, ...]] = []
-    for _, own in sorted(set(found), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]])):
-        if not any(_dominates(k, own) for k in kept):
-            kept.append(own)
+    for _, f in sorted(set(found), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]])):
+        if not any(_dominates(k, f) for k in kept):
+            kept.append(f)
         if len(kept) == WIDTH:
             break
     return kept
@@ -199,24 +199,26 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK, nod
     blocks = max(1, -(-pieces.count() // block))
     dealt = pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(blocks)))
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        lengths = group["length"].to_numpy()
+    def pack(group: pa.Table) -> pa.Table:
+        lengths = group.column("length").to_numpy()
+        ids = pc.fill_null(group.column("doc_id"), -(1 << 63)).to_numpy()
+        order = np.lexsort((group.column("piece").to_numpy(), ids, -lengths))
+        group, lengths = group.take(pa.array(order)), lengths[order]
         free = {int(x): iter(range(a, b)) for x, a, b in _runs(lengths)}
         whole = lengths == capacity
         bins = [[capacity]] * int(whole.sum()) + complete_bins(lengths[~whole].tolist(), capacity, nodes)
-        sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-        base = int(group["__block"].iloc[0]) << 32
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        base = group.column("__block")[0].as_py() << 32
         for number, own in enumerate(bins):
             at = 0
             for x in own:
                 row = next(free[x])
                 sequence[row], offset[row] = base + number, at
                 at += x
-        return group.drop(columns="__block").assign(sequence_id=sequence, offset=offset)
+        return group.drop_columns("__block").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return dealt.groupBy("__block").applyInPandas(pack, schema)
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return dealt.groupBy("__block").applyInArrow(pack, schema)
 
 
 def _runs(values: np.ndarray):

@@ -32,6 +32,8 @@ HEURISTICS = (
     ("wordless", ">", 0.15, "<", 0.04),
     ("length", ">", 14.0, "<", 10.0),
     ("stops", "<", 0.005, ">", 0.02),
+    ("letters", "<", 0.75, ">", 0.85),
+    ("endings", ">", 0.3, "<", 0.1),
 )
 #: Shorter documents get no votes.
 FEWEST_WORDS = 8
@@ -65,7 +67,12 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     def having(pattern: str) -> np.ndarray:
         return share(pc.match_substring_regex(words, pattern))
 
+    def total(of_words: pa.Array) -> np.ndarray:
+        return np.bincount(text, weights=of_words.to_numpy(zero_copy_only=False).astype(float)[codes], minlength=len(texts))
+
     pairs = np.unique(text * (len(words) + 1) + codes)
+    characters = pc.utf8_length(words)
+    lettered = pc.utf8_length(pc.replace_substring_regex(words, r"[^\p{L}\p{N}]+", ""))
     return {
         "repeats": np.bincount(text[_repeats(codes, text)], minlength=len(texts)) / over,
         "distinct": np.bincount(pairs // (len(words) + 1), minlength=len(texts)) / over ** np.where(n > 400, 0.85, 1.0),
@@ -73,8 +80,10 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         "exclaimed": having(r"!$"),
         "symbols": having(r"[#$%&*|<>{}\\^~=]"),
         "wordless": having(r"^[^\p{L}\p{N}]+$"),
-        "length": share(pc.utf8_length(words)),
-        "stops": having(r"[\p{L}][.,!?;:]$"),
+        "length": share(characters),
+        "letters": total(lettered) / np.maximum(total(characters), 1),
+        "endings": having(r"[^\p{L}\p{N}.,;:!?)\"'\-]$"),
+        "stops": having(r"[\p{L}\p{N}][.,!?;:]$"),
     }, n
 
 
@@ -99,10 +108,8 @@ def estimate(counts: dict[int, int], heuristics: int, rounds: int = 50) -> tuple
     patterns = np.array(list(counts), np.int64)
     weight = np.array(list(counts.values()), float)
     v = patterns[:, None] // 3 ** np.arange(heuristics) % 3
-    good = (v == 2).sum(axis=1) + 1.0
-    bad = 2.0 * (v == 0).sum(axis=1) + 0.5
-    posterior = good / (good + bad)
-    posterior = np.where((v == 0).any(axis=1), np.minimum(posterior, 0.4), np.maximum(posterior, 0.6))
+    bad = (v == 1).sum(axis=1)
+    posterior = np.where(bad > 0, np.where(2 * bad > (v == 2).sum(axis=1), 0.05, 0.2), 0.9)
     rates = np.zeros((2, heuristics, 3))
     for _ in range(rounds):
         for label, p in ((1, posterior), (0, 1 - posterior)):
