@@ -40,6 +40,13 @@ def load_by_id(spark: SparkSession, path: str, partitions: int | None = None) ->
     return chunks.repartition(partitions, "id") if partitions else chunks.repartition("id")
 
 
+def source_exists(spark: SparkSession, root: str, path: str) -> bool:
+    """Whether ``write_sources`` would find the file of ``path`` below ``root``."""
+    at = path.find("src")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path[at:] if at >= 0 else path.rsplit('/', 1)[-1]}")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_sources(files: DataFrame, root: str) -> int:
     """Write (path, content) below ``root``, each under its path from "src" on; returns the number of files written.
 

@@ -114,4 +114,20 @@ def test_documentation(spark, tmp_path):
     written = (tmp_path / "out/src/p/A.java").read_text()
     assert "Does f." in written and written.index("Does f.") < written.index("void f()")
     assert java.parse(written).types[0].methods[0].doc is not None
+    assert document_project(spark, files, store, embed, chat, out, wait=0.0).count() == 0 and len(asked) == 1
     assert graph.dependency_edges(java.raw_edges(java.scan(files)), "p.").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from chunkloom.__main__ import main
+
+    write(tmp_path / "project", {"src/p/A.java": "package p;\nclass A { void find() {} }\n"})
+    main(["chunk", "-r", str(tmp_path / "project"), "-o", f"file://{tmp_path}/lines", "-wl", "java", "--prefix", "p"])
+    main(["embed", "-i", f"file://{tmp_path}/lines", "--store", f"file://{tmp_path}/store"])
+    capsys.readouterr()
+    main(["context", "--store", f"file://{tmp_path}/store", "-q", "class A void find"])
+    assert "class A" in capsys.readouterr().out
+    main(["ask", "--store", f"file://{tmp_path}/store", "-q", "class A"])
+    assert capsys.readouterr().out == "\n"
+    main(["chunk", "-r", str(tmp_path / "project"), "-wl", "java"])
+    assert '"id":"p.A"' in capsys.readouterr().out
