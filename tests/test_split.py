@@ -15,7 +15,7 @@ def rows_of(spark, texts, size, overlap, prefix=""):
 
 def test_round_trip_of_lines(spark):
     text = "1234567890 1234567890 1234567890 1234567890\n" * 4
-    parts = rows_of(spark, [text], 37, 13, "FOOLISH CONTENT")
+    parts = rows_of(spark, [text], 37, 13, "SOME OLD PREFIX")
     kept = parts.orderBy("part").collect()
     assert len(kept) == 22 and {r["total"] for r in kept} == {22} and len(kept[-1]["content"]) == 24
     assert unsplit(parts, "id").first()["content"] == text
