@@ -33,7 +33,7 @@ def _byte_characters() -> list[str]:
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 200_000):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]

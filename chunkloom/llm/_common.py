@@ -35,6 +35,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers at most ``rows`` at a time: batches are held by both sides at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def plan_bytes(df: DataFrame, otherwise: int = 1 << 30) -> int:
     """The optimiser's estimate of the bytes that ``df`` reads; ``otherwise`` if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -177,7 +184,7 @@ def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.join(F.broadcast(ids), key)
 
 
-def sliced(texts: pa.Array, most: int = 1 << 22):
+def sliced(texts: pa.Array, most: int = 1 << 20):
     """(first row, texts) of slices of about ``most`` bytes."""
     for row, data, offsets in text_slices(texts, most):
         yield row, pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, drawn, sliced, table, text_column
+from ._common import checkpointed, drawn, sliced, small_batches, table, text_column
 from ._words import sentence_words, word_features
 
 BITS, GRAMS = 16, (2, 3, 4)
@@ -72,6 +72,7 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     repeat are kept; further columns are ignored; an empty table gives an empty result.
     """
     spark, languages = pages.sparkSession, model.languages
+    small_batches(spark)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), declared.alias("declared"), text_column("html").alias("html"))

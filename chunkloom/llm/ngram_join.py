@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, components, mixed, plan_bytes, release, shingle_hashes, table, text_column, text_slices, word_hashes
+from ._common import checkpointed, components, mixed, plan_bytes, release, shingle_hashes, small_batches, table, text_column, text_slices, word_hashes
 
 #: Bits of the fixed-size maps that are broadcast (2 MB each).
 MAP_BITS = 24
@@ -140,6 +140,7 @@ class ShingleOrder:
 
 def shingle_order(docs: DataFrame, width: int) -> tuple[ShingleOrder, int]:
     """The order, from the frequencies of all shingles of all documents, and the threshold of its first class."""
+    small_batches(docs.sparkSession)
     bucket_bits = min(20, max(5, int(np.log2(max(1, plan_bytes(docs) >> 23))) + 1))
     maps, paired, least = _frequency_maps(docs, width, bucket_bits)
     release(docs.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import WordEncoder
-from ._common import checkpointed, table, text_column, text_slices
+from ._common import checkpointed, small_batches, table, text_column, text_slices
 
 #: Pieces in a block, about; each block ends with one sequence that may not be full.
 BLOCK = 4096
@@ -233,6 +233,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     ``with_ids`` adds the ids themselves.
     """
     path = tokenizer or tokenizer_file()
+    small_batches(docs.sparkSession)
 
     def cut(batches):
         if path not in _encoders:
@@ -240,7 +241,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         encoder = _encoders[path]
         for batch in batches:
             texts = batch.column(1)
-            for row, data, offsets in text_slices(texts, 1 << 22):
+            for row, data, offsets in text_slices(texts):
                 part = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
                 ids, bounds = encoder.encode(part, end)
                 raw = ids.astype("<u4")

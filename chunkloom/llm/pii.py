@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_column
+from ._common import small_batches, table, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens and characters in an entity of the field, at most.
@@ -336,6 +336,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     ``base`` holds the exact patterns' matches, ``spans`` those and the field's. A null or empty text has none.
     Every row is kept, also repeated ones and those without doc_id. Texts are read whole.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field or trained_field()).weights)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -373,6 +374,7 @@ def redacted(text: str, field: Field) -> str:
 
 def redact(docs: DataFrame, field: Field | None = None, column: str = "text") -> DataFrame:
     """``docs`` with personal data in ``column`` replaced; null stays null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field or trained_field()).weights)
     at, schema = docs.columns.index(column), docs.schema
 

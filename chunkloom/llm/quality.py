@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drawn, sliced, table, text_column
+from ._common import drawn, sliced, small_batches, table, text_column
 from ._words import word_features
 
 BITS, GRAMS = 16, (2, 3)
@@ -153,6 +153,8 @@ def fit(texts: list[str], targets: np.ndarray, rounds: int = 120, rate: float =
 def vote_patterns(docs: DataFrame) -> dict[int, int]:
     """How many documents of the whole table have each pattern of votes; at most 3 ** len(HEURISTICS) of them."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches):
         seen = np.zeros(3 ** len(HEURISTICS), np.int64)
         for batch in batches:
@@ -179,6 +181,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
     A null or empty text has no evidence but the bias. Rows that repeat are scored alike; null doc_ids
     are kept; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if weights is None else weights)
 
     def score(batches):

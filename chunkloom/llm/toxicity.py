@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import sliced, table, text_column
+from ._common import sliced, small_batches, table, text_column
 from ._words import SENTENCE_END, sentence_words, word_features
 
 #: Hash bits of the features.
@@ -27,7 +27,7 @@ _ENDS = re.compile(SENTENCE_END.replace(r"\x{2026}\x{3002}", "…。"))
 
 
 def _slices(texts: pa.Array):
-    for row, part in sliced(texts, 1 << 20):
+    for row, part in sliced(texts):
         yield row, sentence_words(part)
 
 
@@ -114,6 +114,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
     or of the worst one where only all together do; it is empty below the threshold. A null or empty text
     is one empty sentence. Rows that repeat are scored alike; a null doc_id is kept.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
@@ -135,6 +136,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text scores below ``threshold``; a null text is an empty one."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
