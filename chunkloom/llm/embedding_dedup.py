@@ -1,33 +1,45 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by a pivot index with exact bounds.
 
-A vector is described by its nearest pivots in order. Vectors are retrieved through inverted
-lists of pivots; two that share enough pivots are verified by their exact cosine. A pair
-that meets in several lists is looked at only in the list of its smallest shared pivot.
+A vector is at home in the cell of its nearest pivot. Cells of a label are laid side by side and cut in tiles;
+a vector meets those tiles that, by its distances to pivots, can hold a vector within the threshold, and
+every pair that meets is verified by its exact cosine. The bounds only leave out pairs that cannot link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, components, table
 from ._vectors import matrix, most_common_dimension, usable
 
-#: Pivots are twice the root of the vectors' number, between these; vectors themselves, drawn by a hash of vec_id.
-FEWEST_PIVOTS, MOST_PIVOTS = 16, 1024
-#: Nearest pivots that describe a vector, and how many of them a candidate must share.
-PREFIX, SHARED = 8, 2
-#: Longer lists are split in tiles of about this many vectors, and each pair of tiles is its own group.
+#: Pivots are twice the root of the vectors' number at most, between these; drawn farthest-first from CANDIDATES times as many.
+FEWEST_PIVOTS, MOST_PIVOTS, CANDIDATES = 16, 1024, 4
+#: Cells are cut in tiles of about this many vectors, and each pair of tiles is its own group.
 TILE = 1024
+#: More than rounding can move a distance of unit vectors.
+SLACK = 1e-6
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+def spread_out(x: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """Places of at most ``most`` unit vectors, each the farthest from those before; none is within ``apart`` of another."""
+    chosen, cosine = [0], x @ x[0]
+    while len(chosen) < most:
+        k = int(cosine.argmin())
+        if 2 - 2 * cosine[k] <= apart * apart:
+            break
+        chosen.append(k)
+        cosine = np.maximum(cosine, x @ x[k])
+    return np.array(chosen)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label).
 
-    Vectors of one label whose cosine, in double precision, is at least ``cosine`` link if they share
-    ``shared`` of their ``prefix`` nearest pivots; no other vectors do. Equal vectors are one class: they are linked
+    Vectors of one label link if their cosine, in double precision, is at least ``cosine``; all such pairs are
+    found. Equal vectors are one class: they are linked
     with each other without a search, and a class is searched once. Vectors that are null, zero, hold
     null or non-finite components or have another dimension than most, and rows with null label or vec_id, link
     with nothing. n_links counts linked rows, component_id is the smallest vec_id reachable, kept whether it is the
@@ -43,69 +55,85 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, prefix: int = PREF
     n = classes.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = matrix(classes.orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(2 * n**0.5)))).select("embedding").toArrow().column(0), dimension)
-    pivots = (pivots / np.linalg.norm(pivots, axis=1, keepdims=True)).astype(np.float32)
-    index = spark.sparkContext.broadcast(pivots)
-    prefix = min(prefix, len(pivots))
-    shared = min(shared, prefix)
-
-    def describe(batches):
-        own = index.value
+    most = min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(2 * n**0.5)))
+    pivots = matrix(classes.orderBy(F.xxhash64("id"), "id").limit(CANDIDATES * most).select("embedding").toArrow().column(0), dimension)
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    reach = max(0.0, 2 - 2 * cosine) ** 0.5 + SLACK
+    index = spark.sparkContext.broadcast(pivots[spread_out(pivots, most, 2 * reach)])
+
+    def distances(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (x / np.linalg.norm(x, axis=1, keepdims=True)) @ index.value.T, 0))
+
+    def settle(batches):
         for batch in batches:
-            x = matrix(batch.column(1), dimension)
-            near = np.argsort(-(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) @ own.T, axis=1, kind="stable")[:, :prefix]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * prefix, pa.int32()), pa.array(near.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat], ["id", "embedding", "label", "copies", "pivots"])
-
-    described = classes.select("id", "embedding", "label", "copies").mapInArrow(describe, f"id long, embedding array<double>, label {rows.schema['label'].dataType.simpleString()}, copies long, pivots array<int>")
-    described = checkpointed(described)
-    lengths = described.select("label", F.explode("pivots").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / TILE).alias("tiles")).filter("tiles > 1")
-    listed = described.withColumn("pivot", F.explode("pivots")).join(lengths, ["label", "pivot"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
-    listed = listed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    listed = listed.select("id", "embedding", "copies", "pivots", "label", "pivot", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
+            far = distances(matrix(batch.column(1), dimension)) if len(batch) else np.zeros((0, 1))
+            home = far.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(far[np.arange(len(far)), home])], ["id", "embedding", "label", "copies", "pivot", "far"])
+
+    label = f"label {rows.schema['label'].dataType.simpleString()}"
+    settled = checkpointed(classes.select("id", "embedding", "label", "copies").mapInArrow(settle, f"id long, embedding array<double>, {label}, copies long, pivot int, far double"))
+    own, before = Window.partitionBy("label"), Window.partitionBy("label").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)
+    cells = settled.groupBy("label", "pivot").agg(F.count("*").alias("n"), F.min("far").alias("nearest"), F.max("far").alias("farthest"))
+    cells = checkpointed(cells.withColumns({"first": F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")), "total": F.sum("n").over(own)}))
+    # a vector's place among those of its label: in its cell's range, spread by a hash
+    place = F.col("first") + F.shiftright(F.col("n") * F.pmod(F.xxhash64("id", "embedding"), F.lit(1 << 20)), 20)
+    housed = settled.join(cells.select("label", "pivot", "n", "first"), ["label", "pivot"]).withColumn("tile", F.floor(place / TILE).cast("int"))
+    housed = housed.select("id", "embedding", "label", "copies", "tile", F.shiftright("tile", 2).alias("part"))
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / TILE / 4).cast("int")))
+    known = cells.select(F.col("label").alias("name"), "pivot", "n", "first", "nearest", "farthest", parts.alias("part"))
+
+    def reachable(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The tiles of the cells whose vectors' distances to the pivots allow a vector within reach."""
+        x, pivot, n, first, nearest, farthest = matrix(left.column("embedding"), dimension), *(right.column(c).to_numpy() for c in ("pivot", "n", "first", "nearest", "farthest"))
+        far, between = distances(x), distances(index.value)
+        home = far.argmin(axis=1)
+        # what is nearer to the pivot than to one's own lies beyond the plane between them
+        over = (far[:, pivot] ** 2 - far[np.arange(len(x)), home, None] ** 2) / 2 <= reach * between[home][:, pivot] + SLACK
+        over &= (far[:, pivot] <= farthest + reach) & (far[:, pivot] >= nearest - reach)
+        lows, highs = first // TILE, (first + n - 1) // TILE
+        edges = np.zeros((len(x), int(highs.max()) + 2), np.int32)
+        for c in range(len(pivot)):
+            edges[:, lows[c]] += over[:, c]
+            edges[:, highs[c] + 1] -= over[:, c]
+        met = np.cumsum(edges, axis=1)[:, :-1] > 0
+        met[np.arange(len(x)), left.column("tile").to_numpy()] = True
+        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(met.sum(axis=1))), pa.int32()), pa.array(np.nonzero(met)[1].astype(np.int32)))
+        return left.drop_columns(["part"]).append_column("other", others)
+
+    meeting = housed.groupBy("label", "part").cogroup(known.groupBy("name", "part")).applyInArrow(reachable, f"id long, embedding array<double>, {label}, copies long, tile int, other array<int>")
+    meeting = meeting.withColumn("other", F.explode("other")).select("id", "embedding", "copies", "label", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
 
     def verify(group: pa.Table) -> pa.Table:
         ids, x, copies = group.column("id").to_numpy(), matrix(group.column("embedding"), dimension), group.column("copies").to_numpy()
-        near, pivot = matrix(group.column("pivots"), prefix).astype(np.int64), group.column("pivot")[0].as_py()
         tile, t1, t2 = group.column("tile").to_numpy(), group.column("t1")[0].as_py(), group.column("t2")[0].as_py()
         norm = np.sqrt((x * x).sum(axis=1))
-        used, local = np.unique(near, return_inverse=True)
-        marks = np.zeros((len(ids), len(used)), np.float32)
-        np.put_along_axis(marks, local.reshape(near.shape), 1, axis=1)
-        lower = used < pivot
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         unit = x / norm[:, None]
-
-        def find(a: int) -> int:
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
-
+        linked = np.zeros((len(ids), len(ids)), bool)
         for lo in range(0, len(ids), 512):
             part = slice(lo, lo + 512)
-            mine = (marks[part] @ marks.T >= shared) & (marks[part][:, lower] @ marks[:, lower].T == 0)
-            mine &= unit[part] @ unit.T >= cosine - 1e-9
-            mine &= np.arange(len(ids))[None, :] > np.arange(len(ids))[part, None]
-            if t1 != t2:
-                mine &= tile[part, None] != tile[None, :]
-            a, b = np.nonzero(mine)
-            a += lo
+            near = unit[part] @ unit.T
+            mine = near >= cosine + 1e-9
+            a, b = np.nonzero((near >= cosine - 1e-9) & ~mine)
             for s in range(0, len(a), 1 << 16):
                 i, j = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                exact = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
-                i, j = i[exact], j[exact]
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = find(p), find(q)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-        top = np.array([find(k) for k in range(len(ids))], np.int64)
+                mine[i, j] = (x[i + lo] * x[j]).sum(axis=1) / (norm[i + lo] * norm[j]) >= cosine
+            if t1 != t2:
+                mine &= tile[part, None] != tile[None, :]
+            linked[part] = mine
+        np.fill_diagonal(linked, False)
+        links = np.array([copies[row].sum() for row in linked], np.int64)
+        top, unseen = np.arange(len(ids)), np.ones(len(ids), bool)
+        for k in range(len(ids)):
+            waiting = [k] if unseen[k] else []
+            unseen[k] = False
+            while waiting:
+                new = np.flatnonzero(linked[waiting.pop()] & unseen)
+                unseen[new], top[new] = False, k
+                waiting.extend(new.tolist())
         some = np.flatnonzero(links > 0)
         return pa.table({"id": ids[some], "other": ids[top[some]], "links": links[some]})
 
-    found = checkpointed(listed.groupBy("label", "pivot", "t1", "t2").applyInArrow(verify, "id long, other long, links long"))
+    found = checkpointed(meeting.groupBy("label", "t1", "t2").applyInArrow(verify, "id long, other long, links long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     named = classes.select("k1", "k2", "id", "copies").join(links, "id", "left").join(groups, "id", "left")

@@ -108,6 +108,28 @@ def test_near_duplicates(spark, vectors, monkeypatch, tile):
     assert got[None]["component_id"] is None
 
 
+def with_family(n, seed, dimension=64, cosine=0.985):
+    """Spread vectors, every third of one dense family."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] * cosine**0.5 + x[::3] * (1 - cosine) ** 0.5
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("cosine", [0.981, 0.985])
+def test_near_duplicates_of_a_large_family(spark, cosine):
+    x = with_family(6000, 5, cosine=cosine)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(frame(spark, [(k, v.tolist(), 1) for k, v in enumerate(x)])).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 1_000_000
+    assert [got[k]["n_links"] for k in range(len(x))] == linked.sum(axis=1).tolist()
+    assert {got[k]["component_id"] for k in range(0, len(x), 3) if linked[k].any()} == {0}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert embedding_dedup.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
     assert {r["n_links"] for r in embedding_dedup.near_duplicates(frame(spark, ODD[:3])).collect()} == {0}
