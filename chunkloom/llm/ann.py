@@ -4,7 +4,8 @@ Vectors are product-quantised to four bits for each two dimensions. Codebooks an
 minimise a loss in which the part of the residual that is parallel to the vector weighs more
 than the rest, since that part moves large inner products. A query's tables of inner products
 with the centres are added up along the codes of a block of vectors; the best of these are
-reranked by their exact inner products.
+reranked by their exact inner products, and so is every vector whose stored error of quantisation
+lets it reach the last of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ._vectors import matrix, most_common_dimension, usable
 SAMPLE = 4096
 #: Vectors and queries in a block.
 VECTORS, QUERIES = 8192, 512
-#: Candidates of a block that are reranked, for each neighbour asked for.
+#: Candidates of a block that are reranked first, for each neighbour asked for.
 RERANK = 8
 #: Share of the largest inner products that the loss cares for, as a cosine.
 COSINE = 0.2
@@ -84,6 +85,12 @@ class Quantiser:
             self.centres = np.linalg.solve(normal, right).reshape(self.parts, 16, 2)
         return self
 
+    def error(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """By how much a query of length 1 can score above the sum of its tables, rounding of the tables included."""
+        near = self.centres[np.arange(self.parts), codes].reshape(len(x), 2 * self.parts)
+        rounding = (self.parts + 8) * 2.0**-23 * np.linalg.norm(near, axis=1)
+        return np.linalg.norm(self._split(x).reshape(len(x), -1) - near, axis=1) * (1 + 1e-9) + rounding
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
@@ -94,7 +101,7 @@ class Quantiser:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query row, its own left out.
+    """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query row, its own left out.
 
     ``vectors`` has vec_id and embedding; further columns are ignored. Vectors that are null, zero, hold
     null or non-finite components or have another dimension than most take no part, nor do rows without
@@ -118,8 +125,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
         quantiser = shared.value
         for batch in batches:
             x = matrix(batch.column(1), dimension)
-            packed = quantiser.pack(quantiser.assign(x)) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], ["vec_id", "embedding", "code"])
+            codes = quantiser.assign(x) if len(x) else np.zeros((0, quantiser.parts), np.int64)
+            packed = pa.array([c.tobytes() for c in quantiser.pack(codes)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array(quantiser.error(x, codes))], ["vec_id", "embedding", "code", "error"])
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         quantiser = shared.value
@@ -127,21 +135,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
             ids, x = left.column("vec_id").to_numpy(), matrix(left.column("embedding"), dimension)
+            error = left.column("error").to_numpy()
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
             for query_id, q in zip(right.column("vec_id").to_pylist(), matrix(right.column("embedding"), dimension), strict=True):
                 near = np.zeros(len(ids), np.float32)
                 for own, byte in zip(quantiser.tables(q), codes, strict=True):
                     near += own[byte]
-                near[ids == query_id] = -np.inf
+                own = ids == query_id
+                near[own] = -np.inf
                 best = _largest(near, k * rerank)
-                best = best[ids[best] != query_id]
+                best = best[~own[best]]
                 score = (x[best] * q).sum(axis=1)
+                if len(best) >= k:
+                    rest = ~own & ~(near + np.linalg.norm(q) * error < np.partition(score, -k)[-k])
+                    rest[best] = False
+                    rest = np.flatnonzero(rest)
+                    best, score = np.concatenate((best, rest)), np.concatenate((score, (x[rest] * q).sum(axis=1)))
                 best, score = (a[np.lexsort((ids[best], -score))[:k]] for a in (best, score))
                 out.append((np.full(len(best), query_id), ids[best], score))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    coded = rows.select("vec_id", "embedding").mapInArrow(encode, "vec_id long, embedding array<double>, code binary")
+    coded = rows.select("vec_id", "embedding").mapInArrow(encode, "vec_id long, embedding array<double>, code binary, error double")
     coded = coded.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "query_block": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>"))})
     queries = queries.withColumns({"query_block": F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))})
     found = coded.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(scan, schema)

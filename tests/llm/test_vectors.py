@@ -130,6 +130,20 @@ def test_near_duplicates_of_a_large_family(spark, cosine):
     assert {got[k]["component_id"] for k in range(0, len(x), 3) if linked[k].any()} == {0}
 
 
+@pytest.mark.parametrize("cosine", [0.95, 0.985])
+def test_search_in_a_large_family(spark, cosine):
+    x = with_family(6000, 6, cosine=cosine)
+    df = frame(spark, [(k, v.tolist(), 1) for k, v in enumerate(x)])
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    y = x.astype(np.float64)
+    for q in range(0, 6000, 100):
+        s = (y * y[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(6000), -s))[:20].tolist()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert embedding_dedup.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
     assert {r["n_links"] for r in embedding_dedup.near_duplicates(frame(spark, ODD[:3])).collect()} == {0}
