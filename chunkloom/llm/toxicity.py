@@ -32,7 +32,7 @@ def _slices(texts: pa.Array):
 
 
 def _telling(texts: pa.Array, labels: np.ndarray, most: int, least: int, sigmas: float, lift: float) -> np.ndarray:
-    """Features that occur in labelled documents more often than chance allows and ``lift`` times as often as in all, the strongest ``most``."""
+    """Features whose share in toxic documents is larger than chance allows and ``lift`` times that in clean ones, the strongest ``most``."""
     seen = np.zeros((2, 1 << BITS))
     for row, (words, codes, sentence, text_of, _) in _slices(texts):
         pairs = np.unique(text_of[sentence] * len(words) + codes)
@@ -42,7 +42,7 @@ def _telling(texts: pa.Array, labels: np.ndarray, most: int, least: int, sigmas:
             seen[y] += np.bincount(feature, weights=np.bincount(own, minlength=len(words))[word], minlength=1 << BITS)
     rate, total = seen[1].sum() / seen.sum(), seen.sum(axis=0)
     strength = (seen[1] - rate * total) / np.sqrt(np.maximum(total, 1) * rate * (1 - rate))
-    strength[(total < least) | (strength < sigmas) | (seen[1] < lift * rate * total)] = 0
+    strength[(total < least) | (strength < sigmas) | (seen[1] * seen[0].sum() < lift * seen[0] * seen[1].sum())] = 0
     best = np.argsort(-strength, kind="stable")[:most]
     return np.sort(best[strength[best] > 0])
 

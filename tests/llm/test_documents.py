@@ -393,6 +393,20 @@ def test_toxicity_on_held_out_documents(spark, hard, empty):
     assert {r["doc_id"] for r in kept} == {k for k in range(500) if not found[k]} and kept[0]["n"] == 2
 
 
+@pytest.mark.parametrize("share", [0.35, 0.5, 0.8])
+def test_toxicity_where_many_labels_are_toxic(share):
+    texts, labels = toxic_corpus(4000, seed=14)
+    bad, good = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    bad = bad[:600]
+    taken = np.concatenate((bad, good[: round(len(bad) * (1 / share - 1))]))
+    used, held = taken[np.arange(len(taken)) % 3 > 0], taken[np.arange(len(taken)) % 3 == 0]
+    weights, bias = toxicity.fit(pa.array([texts[k] for k in used], pa.large_string()), labels[used])
+    assert (weights != 0).any()
+    found = toxicity._scores(pa.array([texts[k] for k in held], pa.large_string()), weights, bias)[0] >= 0.3
+    truth = labels[held] == 1
+    assert (found & truth).sum() / truth.sum() > 0.95 and (found & ~truth).sum() / (~truth).sum() < 0.05
+
+
 def test_noisy_or_and_labels(spark):
     texts, labels = toxic_corpus(300)
     rows = docs_of(spark, list(enumerate(texts)) + [(5000, None)])
