@@ -22,7 +22,7 @@ from ._common import small_batches, table, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens and characters in an entity of the field, at most.
-MOST_TOKENS, MOST_CHARACTERS = 16, 120
+MOST_TOKENS, MOST_CHARACTERS = 24, 120
 #: Tokens between triggers that still belong to one window, and tokens of context around it.
 GAP, CONTEXT = 6, 3
 #: Synthetic windows that the field is trained on, and passes over them.
@@ -34,6 +34,7 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.ASCII)
+_NEXT_WORD, _DOT_AHEAD, _DOT_BEHIND = re.compile(r" [\w-]+"), re.compile(r"(?: (?:[\[(] ?dot ?[\])]|dot) [\w-]+)+"), re.compile(r" (?:[\[(] ?dot ?[\])]|dot)\Z")
 _TOKEN = re.compile(r"[^\W_]+|\s|_|[^\w\s]")
 
 
@@ -327,6 +328,10 @@ def _widened(text: str, lo: int, hi: int) -> tuple[int, int]:
         lo = max(text.rfind(" ", 0, max(0, lo - 1)), text.rfind("\n", 0, max(0, lo - 1))) + 1
         ends = [x for x in (text.find(" ", hi + 1), text.find("\n", hi + 1)) if x >= 0]
         hi = min(ends, default=len(text))
+    # an address with spelt dots is not cut
+    for pattern in (_NEXT_WORD if _DOT_BEHIND.search(text, max(0, hi - 8), hi) else None, _DOT_AHEAD):
+        if pattern and (m := pattern.match(text, hi, hi + MOST_CHARACTERS)):
+            hi = m.end()
     return lo, hi
 
 

@@ -333,6 +333,19 @@ def test_field_on_unseen_windows(field):
     assert right / found > 0.9 and right / there > 0.9
 
 
+def test_every_synthetic_entity_is_a_segment():
+    rng = random.Random(21)
+    for _ in range(2000):
+        tokens, gold = pii.synthetic_window(rng)
+        segments = pii.Field.segments(tokens)
+        assert all(i in [start for start, _ in segments[j]] for i, j, _ in gold)
+
+
+@pytest.mark.parametrize("address", ["john.doe [at] mail [dot] example [dot] com", "ana_1 [at] mail [dot] host [dot] org", "bob [at] mail [dot] example [dot] com", "kim [at] mail2 [dot] host [dot] net"])
+def test_long_written_addresses_are_redacted_whole(field, address):
+    assert pii.redacted(f"write to {address} for more about it", field) == "write to <EMAIL> for more about it"
+
+
 def test_decode_against_all_segmentations(field):
     def best(tokens, own, j):
         if j == 0:
