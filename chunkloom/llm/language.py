@@ -11,15 +11,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, drawn, sliced, small_batches, table, text_column
+from ._common import checkpointed, sliced, small_batches, table, text_column
 from ._words import sentence_words, word_features
 
 BITS, GRAMS = 16, (2, 3, 4)
 #: Documents of known language that the text model is counted on, at most.
 SAMPLE = 2000
+#: Documents of a language, at least, if it has them.
+EACH = 50
 #: Pages that a suffix's and all pages' shares weigh against a host's, and a suffix's own.
 SMOOTHING = 5.0
 #: Copies of the host table against hot hosts.
@@ -60,7 +62,15 @@ class TextModel:
 
 
 def text_model(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    rows = drawn(docs.filter("lang is not null").select("doc_id", "lang", text_column().alias("text")), "doc_id", sample, 29).toPandas().sort_values("doc_id")
+    """A model of every language that a document has; each is counted on an even part of ``sample``, but EACH documents at least."""
+    known = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", text_column().alias("text"))
+    most = min(1000, max(EACH, sample // max(1, known.select("lang").distinct().count())))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id"))
+    ids, counts = known.select("lang", "doc_id").distinct(), known.groupBy("lang").agg(F.count("*").alias("n"))
+    # of a large language, only about four times as many as are drawn are ranked
+    thin = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(4 * most) * F.lit(float(1 << 30))
+    ids = ids.join(F.broadcast(counts), "lang").filter(thin).select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).toPandas().sort_values("doc_id")
     return TextModel(sorted(rows["lang"].unique()), rows["text"].tolist(), rows["lang"].tolist())
 
 

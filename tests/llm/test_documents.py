@@ -489,3 +489,8 @@ def test_language(spark, empty):
     assert len(got) == 302 and all(got[k]["lang"] == truth[k] for k in truth) and all(0 < r["score"] <= 1 + 1e-9 for r in got.values())
     assert language.identify(frame.limit(0), model).count() == 0
     assert language.identify(frame, language.text_model(empty)).filter("lang is not null").count() == 0
+
+
+def test_rare_languages_are_in_the_model(spark):
+    rows = [(k, f"plain words {k}", "xx" if k == 7 else "en") for k in range(3000)]
+    assert language.text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20).languages == ["en", "xx"]
