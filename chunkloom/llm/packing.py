@@ -3,14 +3,17 @@
 A sequence is filled around the largest piece left: the fillings of what is free that no
 other filling dominates are enumerated, least waste first, and searched by branch and
 bound. A branch ends when the waste so far rules out fewer sequences than the incumbent's;
-the first incumbent is best-fit decreasing. The pieces are packed in blocks of bounded size,
-to which a hash deals them, so tasks are even and no group grows with the table.
+the first incumbent is best-fit decreasing. A search that has looked at a stated number of fillings
+keeps its incumbent. The pieces are packed in blocks of bounded size, so tasks are even and no group grows with the
+table; what a block leaves in its emptiest sequence is packed again with that of other blocks.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import WordEncoder
-from ._common import checkpointed, small_batches, table, text_column, text_slices
+from ._common import checkpointed, sliced, small_batches, table, text_column
 
-#: Pieces in a block, about; each block ends with one sequence that may not be full.
+#: Pieces in a block, about.
 BLOCK = 4096
-#: Branches that the search of a block visits before it keeps its incumbent.
+#: Fillings that the search of a block looks at before it keeps its incumbent; a search that ends sooner is exact.
 NODES = 4096
-#: Fillings tried around one piece, and enumerated for it.
-WIDTH, STEPS = 8, 64
+#: Bytes of text that are tokenised at once, about.
+SLICE = 1 << 22
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -75,61 +78,88 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the elements of ``b`` fit into elements of ``a``, one beside the other (both fall)."""
-    room = list(a)
-    for x in b:
-        fit = min((r for r in room if r >= x), default=0)
-        if not fit:
-            return False
-        room.remove(fit)
-        room.append(fit - x)
-    return True
+def _dominated(own: tuple[int, ...], slack: int, present: int) -> bool:
+    """Whether some elements of a filling, or none, can give way to one longer or equal piece that is free.
+
+    ``present`` has the bits of the free lengths, ``slack`` is what the filling leaves. One element that
+    gives way to another of its own length changes nothing and does not count.
+    """
+    one = more = 0
+    for x in own:
+        more |= (more | one) << x
+        one |= 1 << x
+    return bool(_spread(more | 1, slack) & present) or slack > 0 and bool(_spread(one << 1, slack - 1) & present)
+
+
+def _spread(bits: int, most: int) -> int:
+    """Each bit, and the ``most`` above it."""
+    width = 0
+    while width < most:
+        step = min(width + 1, most - width)
+        bits |= bits << step
+        width += step
+    return bits
 
 
-def _fillings(room: int, counts: list[int], present: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, ``WIDTH`` at most.
+def fillings(room: int, counts: list[int], present: int):
+    """(sum, filling) of all undominated fillings of ``room``, least waste first; None in place of a dominated one.
 
-    Fillings to which nothing can be added are enumerated in falling order, ``STEPS`` of them at most.
+    ``counts`` has how many pieces of each length are free, ``present`` the bits of these lengths. Fillings of one
+    sum are found by a walk over the counts of distinct lengths, which the sums that are still reachable guide.
     """
-    if not present & ((1 << room + 1) - 1):
-        return [()]
-    if present >> room & 1:
-        return [(room,)]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    own: list[int] = []
-    steps = STEPS
-
-    def extend(left: int, most: int) -> None:
-        nonlocal steps
-        fits = present & ((1 << min(left, most) + 1) - 1)
-        grown = False
-        while fits and steps > 0:
-            x = fits.bit_length() - 1
-            fits ^= 1 << x
-            if counts[x] > own.count(x):
-                grown = True
-                own.append(x)
-                extend(left - x, x)
-                own.pop()
-        if not grown:
-            steps -= 1
-            found.append((left, tuple(own)))
-            if not left and sum(not w for w, _ in found) >= WIDTH:
-                steps = 0
-
-    extend(room, room)
-    kept: list[tuple[int, ...]] = []
-    for _, f in sorted(set(found), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]])):
-        if not any(_dominates(k, f) for k in kept):
-            kept.append(f)
-        if len(kept) == WIDTH:
-            break
-    return kept
+    lengths, fits = [], present & ((1 << room + 1) - 1)
+    while fits:
+        lengths.append(fits.bit_length() - 1)
+        fits ^= 1 << lengths[-1]
+    whole = (1 << room + 1) - 1
+    reach = [1]
+    for x in reversed(lengths):
+        sums, left, copies = reach[-1], min(counts[x], room // x), 1
+        while left:
+            copies = min(copies, left)
+            sums |= sums << copies * x & whole
+            left -= copies
+            copies *= 2
+        reach.append(sums)
+    reach.reverse()
+    sums = reach[0]
+    while sums:
+        target = sums.bit_length() - 1
+        sums ^= 1 << target
+        taken = [0] * len(lengths)
+        k, left, most = 0, target, -1
+        while k >= 0:
+            if left == 0:
+                own = tuple(x for x, c in zip(lengths, taken, strict=True) if c for _ in range(c))
+                free = present
+                for x in set(own):
+                    if counts[x] == own.count(x):
+                        free ^= 1 << x
+                yield target, None if _dominated(own, room - target, free) else own
+            elif k < len(lengths):
+                if most < 0 and lengths[k] > left:
+                    k = bisect.bisect_left(lengths, -left, k, key=lambda x: -x)
+                    continue
+                c = min(counts[lengths[k]], left // lengths[k]) if most < 0 else most - 1
+                while c >= 0 and not reach[k + 1] >> left - c * lengths[k] & 1:
+                    c -= 1
+                if c >= 0:
+                    taken[k], left, k, most = c, left - c * lengths[k], k + 1, -1
+                    continue
+            # the last length of which some are taken, and one fewer of it
+            k -= 1
+            while k >= 0 and not taken[k]:
+                k -= 1
+            if k >= 0:
+                most, left = taken[k], left + taken[k] * lengths[k]
+                taken[k] = 0
 
 
 def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins, as lists of lengths, as few as the search finds within ``nodes`` branches."""
+    """Bins, as lists of lengths: the fewest possible, or the fewest found after ``nodes`` fillings were looked at.
+
+    Depth first; a branch keeps only how many of its fillings it has tried and finds the next one anew.
+    """
     lengths = sorted(lengths, reverse=True)
     best = best_fit_decreasing(lengths, capacity)
     counts = np.bincount(lengths, minlength=capacity + 1) if lengths else np.zeros(capacity + 1, np.int64)
@@ -154,39 +184,35 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
             counts[x] += 1
 
     path: list[tuple[int, ...]] = []
-    waste, open_ = 0, []
-
-    def branch():
+    tried, waste = [0], 0
+    while tried and nodes > 0:
         first = present.bit_length() - 1
-        take((first,))
-        options = [(first, *f) for f in _fillings(capacity - first, counts, present)]
-        put_back((first,))
-        open_.append(options[::-1])
-
-    branch()
-    while open_ and nodes > 0:
-        if not open_[-1]:
-            open_.pop()
+        own = None
+        if present:
+            take((first,))
+            for at, (size, found) in enumerate(fillings(capacity - first, counts, present)):
+                nodes -= 1
+                if waste + capacity - first - size > (len(best) - 1) * capacity - total or nodes < 0:
+                    break
+                if found is not None and at >= tried[-1]:
+                    own, tried[-1] = (first, *found), at + 1
+                    break
+            put_back((first,))
+        if own is None:
+            tried.pop()
             if path:
                 own = path.pop()
                 waste -= capacity - sum(own)
                 put_back(own)
             continue
-        own = open_[-1].pop()
-        more = capacity - sum(own)
-        if waste + more > (len(best) - 1) * capacity - total:
-            continue
-        nodes -= 1
         take(own)
         path.append(own)
-        waste += more
+        waste += capacity - sum(own)
+        tried.append(0)
         if not present:
             best = [list(p) for p in path]
             if len(best) <= least:
                 break
-            open_.append([])
-        else:
-            branch()
     return best
 
 
@@ -194,10 +220,25 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK, nod
     """Adds sequence_id and offset to ``pieces`` (doc_id, piece, length and any other columns).
 
     ``pieces`` must be stable when read twice (a table or a checkpoint); no piece is longer than
-    ``capacity``. Pieces of one block that are alike in length are placed in order of doc_id and piece.
+    ``capacity``. Rows are dealt to blocks by their place, so that repeated rows spread. Each block hands the pieces of
+    its emptiest sequence on to a next round of fewer blocks, until one block is left.
+    Pieces of one block that are alike in length are placed in order of doc_id and piece.
     """
-    blocks = max(1, -(-pieces.count() // block))
-    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(blocks)))
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    rest, done = pieces, []
+    while True:
+        blocks = max(1, -(-rest.count() // block))
+        dealt = rest.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+        placed = dealt.groupBy("__block").applyInArrow(_block_packer(capacity, nodes, len(done) << 56, blocks == 1), schema)
+        if blocks == 1:
+            return reduce(DataFrame.unionAll, done, placed)
+        placed = checkpointed(placed)
+        done.append(placed.filter("sequence_id >= 0"))
+        rest = placed.filter("sequence_id < 0").select(*pieces.columns)
+
+
+def _block_packer(capacity: int, nodes: int, first: int, last: bool):
+    """Places one block's pieces; those of its emptiest sequence get sequence_id -1 unless it is the ``last`` block."""
 
     def pack(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
@@ -207,18 +248,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK, nod
         free = {int(x): iter(range(a, b)) for x, a, b in _runs(lengths)}
         whole = lengths == capacity
         bins = [[capacity]] * int(whole.sum()) + complete_bins(lengths[~whole].tolist(), capacity, nodes)
+        filled = [sum(own) for own in bins]
+        handed_on = -1 if last or min(filled) == capacity else int(np.argmin(filled))
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        base = group.column("__block")[0].as_py() << 32
-        for number, own in enumerate(bins):
+        base = first + (group.column("__block")[0].as_py() << 24)
+        for k, own in enumerate(bins):
             at = 0
             for x in own:
                 row = next(free[x])
-                sequence[row], offset[row] = base + number, at
+                sequence[row], offset[row] = -1 if k == handed_on else base + k, at
                 at += x
         return group.drop_columns("__block").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.groupBy("__block").applyInArrow(pack, schema)
+    return pack
 
 
 def _runs(values: np.ndarray):
@@ -239,29 +281,39 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
-        for batch in batches:
-            texts = batch.column(1)
-            for row, data, offsets in text_slices(texts):
-                part = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+        for batch in _gathered(batches):
+            for row, part in sliced(batch.column(1), SLICE):
                 ids, bounds = encoder.encode(part, end)
                 raw = ids.astype("<u4")
-                docs_, pieces, starts, lengths, crcs, own = [], [], [], [], [], []
-                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    for p, s in enumerate(range(a, b, capacity)):
-                        e = min(b, s + capacity)
-                        docs_.append(row + k), pieces.append(p), starts.append(s - a), lengths.append(e - s), crcs.append(zlib.crc32(raw[s:e]))
-                        if with_ids:
-                            own.append(raw[s:e].astype(np.int32))
-                columns = [batch.column(0).take(pa.array(docs_, pa.int64())), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
+                whole = -(-np.diff(bounds) // capacity)
+                doc = np.repeat(np.arange(len(part)), whole)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole)
+                lows = bounds[doc] + piece * capacity
+                highs = np.minimum(bounds[doc + 1], lows + capacity)
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(lows.tolist(), highs.tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(row + doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(highs - lows), pa.array(crcs, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(lows, bounds[-1]), pa.int32()), pa.array(raw.view(np.int32)))
+                    columns, names = [*columns, lists], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(cut, schema)
 
 
+def _gathered(batches):
+    """Batches joined to about SLICE bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= SLICE:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end: int = 1, with_ids: bool = False) -> DataFrame:
     """One row for every piece of every row of ``docs`` with its place: sequence_id and offset.
 

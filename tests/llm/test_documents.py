@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -187,6 +188,57 @@ def test_bins_against_all_packings():
         assert len(packing.complete_bins(lengths, 100)) == fewest_bins(lengths, 100)
 
 
+@pytest.mark.parametrize(("lengths", "fewest"), [([1366] * 100 + [1] * 1200, 50), ([1365] * 100 + [1] * 1200, 34), ([1] * 5000, 2), ([4095] * 3 + [1] * 4, 4)])
+def test_bins_of_many_short_pieces(lengths, fewest):
+    assert len(packing.complete_bins(lengths, 4096)) == fewest
+
+
+def test_bins_of_few_lengths_against_all_packings():
+    rng = random.Random(16)
+    for _ in range(200):
+        kinds = [rng.randint(8, 70) for _ in range(3)]
+        lengths = sorted((rng.choice(kinds) for _ in range(8)), reverse=True)
+        assert len(packing.complete_bins(lengths, 100)) == fewest_bins(lengths, 100)
+
+
+def fits_into(small, large):
+    """Whether the elements of ``small`` fit into elements of ``large``, side by side."""
+    if not small:
+        return True
+    for k, room in enumerate(large):
+        if room >= small[0] and fits_into(small[1:], [*large[:k], room - small[0], *large[k + 1 :]]):
+            return True
+    return False
+
+
+def test_fillings_against_all_subsets():
+    rng = random.Random(17)
+    for _ in range(150):
+        room, items = rng.randint(5, 40), sorted((rng.randint(1, 20) for _ in range(rng.randint(0, 7))), reverse=True)
+        subsets = {c for r in range(len(items) + 1) for c in itertools.combinations(items, r) if sum(c) <= room}
+        wanted = {f for f in subsets if not any(g != f and fits_into(f, g) for g in subsets)}
+        counts = np.bincount(items, minlength=64).tolist()
+        got = [f for _, f in packing.fillings(room, counts, sum(1 << x for x, c in enumerate(counts) if c)) if f is not None]
+        assert set(got) == wanted and len(got) == len(wanted)
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_blocks_share_what_they_leave_open(spark):
+    rng = random.Random(18)
+    rows = [(7, k % 3, rng.choice((300, 300, rng.randint(1, 512)))) for k in range(1500)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(3).cache()
+    got = packing.pack_pieces(pieces, 512, block=64).collect()
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted((r["doc_id"], r["piece"], r["length"]) for r in got) == sorted(rows) and all(r["sequence_id"] >= 0 for r in got)
+    for own in filled.values():
+        own.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 512
+    alone = packing.pack_pieces(pieces, 512, block=10_000).select("sequence_id").distinct().count()
+    assert alone <= len(filled) <= alone * 1.1 + 2
+
+
 def test_packed_documents(spark, hard, empty, tokenizer):
     rows = packing.pack_documents(hard, capacity=512, with_ids=True).collect()
     texts = collections.defaultdict(list)
