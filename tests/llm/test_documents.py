@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -398,6 +399,41 @@ def test_long_written_addresses_are_redacted_whole(field, address):
     assert pii.redacted(f"write to {address} for more about it", field) == "write to <EMAIL> for more about it"
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("call 030-123-4567" + "," * 60 + "040-123-4567 now", ["030-123-4567", "040-123-4567"]),
+        ("call 030-123-4567" + "," * 60 + "040-123-4567" + "," * 60 + "050-123-4567 now", ["030-123-4567", "040-123-4567", "050-123-4567"]),
+        ("(030) 123-4567xxx" + "\u2026;" * 40 + " and so on", []),
+        ('the token = "87e15d78b9d8ef29b6c10061e3551a60fa07e990" and 1234 of them', []),
+        ("on 2024-01-15 at 10:22 there were 123 456 789 rows of 17 + 4", []),
+        ("in 1999 they had 12 dogs, in 2001 then 14; see p. 33-35", []),
+        ("ISBN 978-3-16-148410-0, order 123-4567890-1234567", []),
+        ("seen at 10[.]20[.]0[.]1 today", ["10[.]20[.]0[.]1"]),
+        ("fax 01 23 45 67 89.", ["01 23 45 67 89"]),
+    ],
+)
+def test_added_spans(field, text, wanted):
+    base = pii.base_spans(text)
+    assert [text[s:e] for s, e, _ in pii.added_spans(text, field, base)] == wanted
+
+
+@pytest.mark.parametrize("text", ["x1" * 500_000, "1" * 1_000_000, "1." * 500_000, "1 " * 300_000, " ".join(str(k * 7919 % 10_000) for k in range(100_000)), " ".join(["a" * 100 + "1"] * 2000), "a@" * 200_000, "x (at) " * 50_000, ("é" * 70 + "1,") * 5000])
+def test_field_is_linear_and_spans_apart(field, text):
+    began = time.process_time()
+    spans = pii.added_spans(text, field, pii.base_spans(text))
+    assert time.process_time() - began < 12
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_stretches_do_not_change_the_spans(field, monkeypatch):
+    rng = random.Random(19)
+    text = " ".join(rng.choice(("+1/415/5550172", "4111.1111.1111.1111", "030-123-4567", "12", "2024-05-11", "bob [at] mail [dot] org", "so", "(040) 123-4567,")) for _ in range(3000))
+    whole = pii.added_spans(text, field, [])
+    monkeypatch.setattr(pii, "STRETCH", 1500)
+    assert len(whole) > 1000 and pii.added_spans(text, field, []) == whole
+
+
 def test_decode_against_all_segmentations(field):
     def best(tokens, own, j):
         if j == 0:
