@@ -95,6 +95,47 @@ def test_budget_against_all_subsets():
         assert got == max(x for x in sums if x <= budget)
 
 
+@pytest.mark.parametrize(("copies", "share"), [(1, 0.5), (3, 0.3), (1, 0.9)])
+def test_lengths_are_taken_evenly(copies, share):
+    sizes = np.arange(1, 2001)
+    counts = np.full(2000, copies)
+    budget = int((sizes * counts).sum() * share)
+    taken = mixing.fit_budget(sizes, counts, budget)
+    assert int((taken * sizes).sum()) == budget and (taken <= counts).all() and (taken >= 0).all()
+    for quarter in np.split(taken, 4):
+        assert abs(quarter.sum() / (500 * copies) - share) < 0.05
+
+
+def test_large_documents_against_all_subsets():
+    rng = np.random.default_rng(20)
+    for _ in range(12):
+        sizes = np.unique(rng.integers(20_000, 200_000, 6))
+        counts = rng.integers(1, 3, len(sizes))
+        sums = {sum(n * int(s) for n, s in zip(c, sizes, strict=True)) for c in itertools.product(*(range(n + 1) for n in counts))}
+        budget = int((sizes * counts).sum() * rng.uniform(0.1, 0.9))
+        assert int((mixing.fit_budget(sizes, counts, budget) * sizes).sum()) == max(x for x in sums if x <= budget)
+
+
+def test_many_large_documents_meet_the_budget():
+    rng = np.random.default_rng(21)
+    sizes, n = np.unique(rng.integers(20_000, 200_000, 900), return_counts=True)
+    for share in (0.2, 0.55):
+        budget = int((sizes * n).sum() * share)
+        assert int((mixing.fit_budget(sizes, n, budget) * sizes).sum()) == budget
+
+
+@pytest.mark.parametrize("broadcast", [1 << 17, 0])
+def test_rows_that_repeat_are_taken_as_often_as_wanted(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "TIED_BITS", 4)
+    monkeypatch.setattr(mixing, "BROADCAST_LENGTHS", broadcast)
+    rows = [(1, "one two three", "en", "a")] * 700 + [(k, f"w{k} two three", "en", "a") for k in range(2, 40)] + [(k, "one two three", "en", "b") for k in range(100, 300)]
+    got = mixing.mixed_documents(docs_of(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["__size"] * r["__copies"] for r in own) - own[0]["__target"]) <= 3
+
+
 def reference_targets(sizes, weights):
     budget, held = 1.5 * sum(sizes), [False] * len(sizes)
     while True:
@@ -126,7 +167,9 @@ def test_mix(spark, hard, empty):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
     again = {r["doc_id"]: r["__copies"] for r in mixing.mixed_documents(docs_of(spark, rows[::-1])).collect()}
     assert again == {r["doc_id"]: r["__copies"] for r in got}
-    assert mixing.repeated(mixed).count() == sum(r["__copies"] for r in got)
+    every = mixing.repeated(mixing.mixture(docs_of(spark, rows)))
+    assert every.columns == docs_of(spark, rows[:1]).columns
+    assert collections.Counter(r["doc_id"] for r in every.collect()) == collections.Counter({r["doc_id"]: r["__copies"] for r in got if r["__copies"]})
     assert len(mixing.mixed_documents(hard).collect()) == len(HARD) and mixing.mixed_documents(empty).count() == 0
     nothing = mixing.mixed_documents(docs_of(spark, [(1, None), (2, "")])).collect()
     assert {(r["__size"], r["__target"]) for r in nothing} == {(0, 0.0)}
