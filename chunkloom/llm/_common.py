@@ -140,13 +140,14 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, component) of every end of ``edges`` (a, b): the smallest id that it reaches.
 
     Large-star and small-star rounds, each an aggregate with map-side combining and a join
-    on the vertex; no vertex's links are collected. Every round is checkpointed.
+    on the vertex; no vertex's links are collected, and a vertex with many can be split by the join. Every round is
+    checkpointed. Paths halve, at least, with each round or two; links that ``rounds`` do not settle are an error.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -155,6 +156,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 

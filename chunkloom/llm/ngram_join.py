@@ -8,15 +8,18 @@ prefix shingles asked for before a pair is verified on the full sets.
 
 A posting list is led by the document of smallest hash in it, and documents meet in their leaders' groups:
 two that share a list are both in its leader's group, and lists of one family have few leaders, so a set is
-shipped a few times and not once for each pair.
+shipped a few times and not once for each pair. In a large group each member is first compared with the leader; those that link
+with it are connected, and only pairs with one that does not are compared further.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, components, mixed, plan_bytes, release, shingle_hashes, small_batches, table, text_column, text_slices, word_hashes
@@ -33,8 +36,10 @@ CLASS_STEP = 16
 MOST_MATCHES = 8
 #: Cost of verifying a pair, in posting-list entries read.
 VERIFY_COST = 20.0
-#: A leader's group is cut in tiles of about so many documents; each two tiles are compared in a task of their own.
-TILE = 512
+#: A leader's group is cut in tiles of about so many documents, and shingles; each two tiles are compared in a task of their own.
+TILE, TILE_SHINGLES = 512, 1 << 20
+#: Rows (leader, tiles) that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 1 << 19
 #: Distinct shingles that a task compares at once.
 COLUMNS = 4096
 
@@ -44,6 +49,12 @@ def _sets(batch_texts: pa.Array, width: int):
         yield row, shingle_hashes(*word_hashes(data, offsets), width)
 
 
+def _signature(s: np.ndarray) -> tuple[int, int, int]:
+    """A set's size and two sums of hashes of its shingles."""
+    again = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
+    return len(s), *(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, again))
+
+
 def _place(fingerprints: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
     return (mixed(fingerprints + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -163,18 +174,15 @@ def shingle_index(docs: DataFrame, width: int, percent: int, shared: Broadcast,
             ids, n, s1, s2, matches, prefixes = batch.column(0), [], [], [], [], []
             for _, sets in _sets(batch.column(1), width):
                 sizes = np.array([len(s) for s in sets])
-                every = np.concatenate(sets)
-                level, posted = order_of.look_up(every)
-                again = mixed(every ^ np.uint64(0x5851F42D4C957F2D))
+                level, posted = order_of.look_up(np.concatenate(sets))
                 ends = np.cumsum(sizes)
                 for k, s in enumerate(sets):
-                    n.append(len(s))
+                    for own, x in zip((n, s1, s2), _signature(s), strict=True):
+                        own.append(x)
                     if not len(s):
-                        s1.append(0), s2.append(0), matches.append(0), prefixes.append(np.zeros(0, np.int64))
+                        matches.append(0), prefixes.append(np.zeros(0, np.int64))
                         continue
                     part = slice(ends[k] - len(s), ends[k])
-                    s1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                    s2.append(int(again[part].sum(dtype=np.uint64).view(np.int64)))
                     least_shared = -(-percent * len(s) // 100)
                     if np.count_nonzero(posted[part]) < least_shared:
                         matches.append(0), prefixes.append(np.zeros(0, np.int64))
@@ -203,8 +211,8 @@ def _id_map(ids: DataFrame) -> np.ndarray:
     return _map_of(rows["p"].to_numpy(np.int64))
 
 
-def _set_store(docs: DataFrame, wanted: DataFrame, width: int, percent: int, shared: Broadcast) -> DataFrame:
-    """(id, shingles) of the documents in ``wanted``, and of few others that share a place of the map.
+def _set_store(docs: DataFrame, wanted: DataFrame, width: int, shared: Broadcast) -> DataFrame:
+    """(class, shingles) of the documents whose id is in ``wanted``, and of few others that share a place of the map.
 
     Shingles are in the global order, without those that no other document has: no intersection holds them.
     """
@@ -213,16 +221,37 @@ def _set_store(docs: DataFrame, wanted: DataFrame, width: int, percent: int, sha
     def keep(batches):
         marks, order_of = marks_of.value, shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(_marked(marks, batch.column(1).to_numpy()).astype(bool)))
-            out = []
-            for _, sets in _sets(batch.column(2), width):
+            texts = batch.column(1).filter(pa.array(_marked(marks, batch.column(0).to_numpy()).astype(bool)))
+            signatures, out = [], []
+            for _, sets in _sets(texts, width):
                 for s in sets:
                     level, posted = order_of.look_up(s)
+                    signatures.append(_signature(s))
                     out.append(s[posted][np.argsort(level[posted], kind="stable")].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
-
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - MAP_BITS).alias("place"), text_column().alias("text"))
-    return checkpointed(rows.mapInArrow(keep, "id long, shingles binary").dropDuplicates(["id", "shingles"]))
+            columns = [pa.array([x[k] for x in signatures], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["n", "s1", "s2", "shingles"])
+
+    rows = docs.filter("doc_id is not null").select(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - MAP_BITS).alias("place"), text_column().alias("text"))
+    sets = rows.mapInArrow(keep, "n long, s1 long, s2 long, shingles binary")
+    return sets.select(F.xxhash64("n", "s1", "s2").alias("class"), "shingles").dropDuplicates(["class"])
+
+
+def _common(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each two of ``n`` rows share, by products of bounded column blocks."""
+    _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    keep = counts[column] > 1
+    rows = rows[keep]
+    _, column = np.unique(column[keep], return_inverse=True)
+    kind = np.float32 if len(column) < 1 << 24 else np.float64
+    out = np.zeros((n, n), kind)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        block = np.zeros((n, COLUMNS), kind)
+        block[rows[a:b], column[a:b] - lo] = 1
+        out += block @ block.T
+    return out
 
 
 def _linked(groups: DataFrame, percent: int) -> DataFrame:
@@ -232,29 +261,12 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
     the intersection of their whole sets. Of two tiles only pairs across are looked at.
     """
 
-    def common(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-        """How many tokens each two rows share, by products of bounded column blocks."""
-        _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        keep = counts[column] > 1
-        rows = rows[keep]
-        _, column = np.unique(column[keep], return_inverse=True)
-        out = np.zeros((n, n), np.float32)
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            a, b = np.searchsorted(column, (lo, lo + COLUMNS))
-            block = np.zeros((n, COLUMNS), np.float32)
-            block[rows[a:b], column[a:b] - lo] = 1
-            out += block @ block.T
-        return out
-
     def verify(group: pa.Table) -> pa.Table:
-        ids, n, asked = (group.column(c).to_numpy() for c in ("id", "n", "matches"))
+        ids, n, asked, posted = (group.column(c).to_numpy() for c in ("id", "n", "matches", "prefix_size"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
-        posted = group.column("prefix_size").to_numpy()
         prefixes = [s[:p] for s, p in zip(sets, posted, strict=True)]
         m = len(ids)
-        near = common(np.repeat(np.arange(m), posted), np.concatenate(prefixes), m) >= np.minimum(asked[:, None], asked[None, :])
+        near = _common(np.repeat(np.arange(m), posted), np.concatenate(prefixes), m) >= np.minimum(asked[:, None], asked[None, :])
         near &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         near &= np.triu(np.ones((m, m), bool), 1)
         if group.column("t1")[0].as_py() != group.column("t2")[0].as_py():
@@ -265,7 +277,7 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
             used = np.unique(np.concatenate((a, b)))
             place = np.full(m, -1)
             place[used] = np.arange(len(used))
-            shared = common(np.repeat(np.arange(len(used)), [len(sets[k]) for k in used]), np.concatenate([sets[k] for k in used]), len(used))
+            shared = _common(np.repeat(np.arange(len(used)), [len(sets[k]) for k in used]), np.concatenate([sets[k] for k in used]), len(used))
             inter = shared[place[a], place[b]].astype(np.int64)
             linked = (inter > 0) & (100 * inter >= percent * (n[a] + n[b] - inter))
             a, b = a[linked], b[linked]
@@ -289,35 +301,105 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("leader", "t1", "t2").applyInArrow(verify, "a long, b long")
 
 
+def _leader_links(members: DataFrame, store: DataFrame, percent: int) -> DataFrame:
+    """(leader, class, id, of): members of many-tiled groups that link with their leader itself, and the leader's id."""
+    heads = members.filter(F.col("leader") == F.col("class")).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rest = members.filter(F.col("leader") != F.col("class")).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
+    columns = ["leader", "tile", "class", "id", "n"]
+
+    def verify(group: pa.Table) -> pa.Table:
+        classes, n = group.column("class").to_numpy(), group.column("n").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        head = int(np.flatnonzero(classes == group.column("leader")[0].as_py())[0])
+        own = np.sort(sets[head])
+        inter = np.array([np.isin(s, own, assume_unique=True).sum() for s in sets])
+        linked = (inter > 0) & (100 * inter >= percent * (n + n[head] - inter))
+        linked[head] = False
+        ids = group.column("id")
+        return pa.table({"leader": group.column("leader"), "class": group.column("class"), "id": ids, "of": pa.array([ids[head].as_py()] * len(ids), pa.int64())}).filter(pa.array(linked))
+
+    both = heads.select(columns).unionByName(rest.select(columns)).join(store, "class")
+    return both.groupBy("leader", "tile").applyInArrow(verify, "leader long, class long, id long, of long")
+
+
+def _tiles(count: Column, shingles: Column) -> Column:
+    """Tiles of a bounded number of documents, and of shingles but for the longest texts."""
+    return F.least(F.ceil(F.greatest(count / TILE, shingles / TILE_SHINGLES)), count)
+
+
+def _by_leader(members: DataFrame, counts: DataFrame) -> DataFrame:
+    """``members`` with what ``counts`` has of their leader, if anything."""
+    return members.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "leader", "left")
+
+
+def _tiled_groups(members: DataFrame) -> DataFrame:
+    """``members`` (with linked) in groups (leader, t1, t2) in which all pairs meet but those of two that link with their leader.
+
+    Members that do not link with it have the first tiles, ``open``, the others the next ones; a tile meets all open ones.
+    """
+
+    def part(own: Column) -> Column:
+        return F.coalesce(_tiles(F.count(F.when(own, 1)), F.sum(F.when(own, F.col("n")))), F.lit(0).cast("long"))
+
+    counts = members.groupBy("leader").agg(part(~F.col("linked")).alias("open"), part(F.col("linked")).alias("closed"))
+    members = _by_leader(members, checkpointed(counts.filter("open + closed <> 1"))).fillna({"open": 1, "closed": 0}).filter("open > 0")
+    tile = F.when(F.col("linked"), F.col("open") + F.pmod(F.xxhash64("class"), F.col("closed"))).otherwise(F.pmod(F.xxhash64("class"), F.col("open")))
+    last = F.when(F.col("linked"), F.col("open")).otherwise(F.col("open") + F.col("closed")) - 1
+    members = members.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return members.select("leader", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "class", "id", "n", "matches", "prefix_size")
+
+
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) for every row of ``docs``.
 
     ``width``: words in a shingle; ``percent``: documents link when 100 * intersection >= percent * union.
     Equal sets are one class, compared once. Text null, empty or without words: no shingles, linked
-    with nothing. Fewer words than ``width``: the whole sequence is the one shingle. Rows that
-    repeat a doc_id are one document of the graph. A null doc_id links with nothing and is its own (null)
+    with nothing. Rows that repeat a doc_id are one document of the graph, which has the links of all their texts;
+    each row has its own text's n_shingles. Fewer words than ``width``: the whole sequence is the one shingle. A null doc_id
+    links with nothing and is its own (null)
     component. Columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
     order, least = shingle_order(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    index = shingle_index(docs, width, percent, shared, least)
-    classes = index.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
-    by_token = Window.partitionBy("token")
-    candidates = index.filter("size(prefix) > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-    postings = candidates.select("id", "n", "matches", F.size("prefix").alias("prefix_size"), F.explode("prefix").alias("token"))
-    postings = postings.select("*", F.count("*").over(by_token).alias("m"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).over(by_token)["id"].alias("leader")).filter("m > 1")
-    members = checkpointed(postings.select("leader", "id", "n", "matches", "prefix_size").distinct())
+    index = shingle_index(docs, width, percent, shared, least).withColumn("class", F.xxhash64("n", "s1", "s2"))
+    classes = index.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"))
+    candidates = index.filter("size(prefix) > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "matches", "prefix")))
+    candidates = checkpointed(candidates)
+    postings = candidates.select("class", F.explode("prefix").alias("token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("class").alias("h"), "class")).alias("first"))
+    lists = checkpointed(lists.filter("m > 1").select("token", F.col("first")["class"].alias("leader")))
+    meetings = postings.join(lists, "token").select("leader", "class").distinct()
+    members = checkpointed(meetings.join(candidates.select("class", "id", "n", "matches", F.size("prefix").alias("prefix_size")), "class"))
     release(docs.sparkSession)
-    tiles = members.groupBy("leader").agg(F.ceil(F.count("*") / TILE).alias("tiles")).filter("tiles > 1")
-    members = members.join(tiles, "leader", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
-    members = members.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    members = members.select("leader", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "matches", "prefix_size")
-    store = _set_store(docs, members, width, percent, shared)
-    links = checkpointed(_linked(members.join(store, "id"), percent))
+    store = _set_store(docs, members, width, shared)
+    sizes = checkpointed(members.groupBy("leader").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles")).filter("tiles > 1"))
+    members, edges = members.withColumn("linked", F.lit(False)), []
+    if not sizes.isEmpty():
+        store = checkpointed(store)
+        large = _by_leader(members, sizes).filter("tiles > 1")
+        stars = checkpointed(_leader_links(large, store, percent))
+        edges.append(stars.select(F.col("of").alias("a"), F.col("id").alias("b")))
+        members = members.drop("linked").join(stars.select("leader", "class", F.lit(True).alias("linked")), ["leader", "class"], "left")
+        members = checkpointed(members.withColumn("linked", F.coalesce("linked", F.lit(False))))
+        release(docs.sparkSession)
+    edges.append(checkpointed(_linked(_tiled_groups(members).join(store, "class"), percent)))
     release(docs.sparkSession)
-    groups = components(links)
-    named = classes.select("n", "s1", "s2", "id").join(groups, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
-    return index.drop("prefix", "matches").join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    repeated = index.filter("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    repeated = checkpointed(repeated.filter("least <> most").select("doc_id"))
+    again = not repeated.isEmpty()
+    if again:
+        own = index.filter("n > 0").select("doc_id", "class").join(repeated, "doc_id").distinct()
+        edges.append(own.join(classes, "class").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    groups = components(reduce(DataFrame.unionAll, edges))
+    named = classes.join(groups, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
+    rows = index.select("doc_id", F.col("n").alias("n_shingles"), "class")
+    has_links = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = rows.filter(has_links).join(named, "class").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = out.unionByName(rows.filter(~has_links).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    if again:
+        of_doc = groups.join(repeated, groups["id"] == repeated["doc_id"], "left_semi").select(F.col("id").alias("doc_id"), "component")
+        out = out.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    return out
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,48 @@ def test_tiles_of_one_family(spark, monkeypatch):
     assert got == reference_components(rows, 3, 80)
 
 
+@pytest.mark.parametrize("broadcast", [1 << 19, 0])
+def test_a_large_family_around_its_leader(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(22)
+    own = words(rng, 100).split()
+    rows = [(k, " ".join([*own[:97], f"x{k}", f"y{k}", f"z{k}"])) for k in range(120)]
+    # a chain that leaves the family step by step, and some that share words but link with nothing
+    for k in range(1, 13):
+        rows.append((200 + k, " ".join([f"c{j}" for j in range(3 * k)] + own[3 * k :])))
+    rows += [(300 + k, " ".join([*own[:50], *(f"q{k}.{j}" for j in range(50))])) for k in range(40)]
+    for width, percent in ((1, 90), (3, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(docs_of(spark, rows), width, percent).collect()}
+        assert got == reference_components(rows, width, percent)
+
+
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    rng = random.Random(23)
+    texts = [words(rng, 30) for _ in range(12)]
+    rows = [(k % 30 + (k % 7 == 0) * 50, f"{rng.choice(texts)} w{k % 5}") for k in range(150)] + [(3, None), (4, ""), (60, " "), (None, texts[0]), (None, None)]
+    sets = [shingles(t, 3) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        ids = rows[a][0], rows[b][0]
+        linked = sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+        if None not in ids and (ids[0] == ids[1] or linked):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for k, (ident, _) in enumerate(rows):
+        if ident is not None:
+            least[find(k)] = min(ident, least.get(find(k), ident))
+    wanted = collections.Counter((rows[k][0], len(sets[k]), least.get(find(k))) for k in range(len(rows)))
+    got = ngram_join.link_components(docs_of(spark, rows), 3, 90).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == wanted
+
+
 def test_hard_rows_link(spark, hard, empty):
     got = collections.defaultdict(set)
     for r in ngram_join.link_components(hard, 3, 90).collect():
@@ -382,6 +424,12 @@ def test_components(spark):
     assert all(got[a] == got[b] <= min(a, b) for a, b in edges if a != b)
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
+
+
 # --- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
