@@ -371,18 +371,17 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     meetings = postings.join(lists, "token").select("leader", "class").distinct()
     members = checkpointed(meetings.join(candidates.select("class", "id", "n", "matches", F.size("prefix").alias("prefix_size")), "class"))
     release(docs.sparkSession)
-    store = _set_store(docs, members, width, shared)
     sizes = checkpointed(members.groupBy("leader").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles")).filter("tiles > 1"))
     members, edges = members.withColumn("linked", F.lit(False)), []
     if not sizes.isEmpty():
-        store = checkpointed(store)
         large = _by_leader(members, sizes).filter("tiles > 1")
-        stars = checkpointed(_leader_links(large, store, percent))
+        stars = checkpointed(_leader_links(large, _set_store(docs, large, width, shared), percent))
         edges.append(stars.select(F.col("of").alias("a"), F.col("id").alias("b")))
         members = members.drop("linked").join(stars.select("leader", "class", F.lit(True).alias("linked")), ["leader", "class"], "left")
         members = checkpointed(members.withColumn("linked", F.coalesce("linked", F.lit(False))))
         release(docs.sparkSession)
-    edges.append(checkpointed(_linked(_tiled_groups(members).join(store, "class"), percent)))
+    groups = _tiled_groups(members).join(_set_store(docs, members, width, shared), "class")
+    edges.append(checkpointed(_linked(groups, percent)))
     release(docs.sparkSession)
     repeated = index.filter("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most"))
     repeated = checkpointed(repeated.filter("least <> most").select("doc_id"))
