@@ -10,18 +10,20 @@ lets it reach the last of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import checkpointed, numbered, table
 from ._vectors import matrix, most_common_dimension, usable
 
 #: Rows that codebooks are fitted on, at most; drawn by a hash of vec_id. Every row is indexed.
 SAMPLE = 4096
-#: Vectors and queries in a block.
-VECTORS, QUERIES = 8192, 512
+#: Vectors in a block, queries that are broadcast at once, and queries whose tables are held at once.
+VECTORS, QUERIES, TABLES = 8192, 4096, 64
 #: Candidates of a block that are reranked first, for each neighbour asked for.
 RERANK = 8
 #: Share of the largest inner products that the loss cares for, as a cosine.
@@ -94,10 +96,51 @@ class Quantiser:
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
-    def tables(self, query: np.ndarray) -> np.ndarray:
-        """Inner products with pairs of centres: one table of 256 for every packed byte."""
-        each = (self._split(query[None])[0][:, None, :] * self.centres).sum(axis=2).astype(np.float32)
-        return (each[1::2, :, None] + each[::2, None, :]).reshape(-1, 256)
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """For each query, inner products with pairs of centres: one table of 256 for every packed byte."""
+        each = np.einsum("qmd,mcd->qmc", self._split(queries), self.centres).astype(np.float32)
+        return (each[:, 1::2, :, None] + each[:, ::2, None, :]).reshape(len(queries), -1, 256)
+
+
+class Nearest:
+    """The ``k`` best of each of some queries among all vectors seen so far."""
+
+    def __init__(self, quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
+        self.quantiser, self.ids, self.queries, self.k, self.rerank = quantiser, ids, queries, k, rerank
+        self.norms = np.linalg.norm(queries, axis=1)
+        self.scores, self.best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def scan(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray) -> None:
+        """Add a block of vectors: ``codes`` has a row for each packed byte."""
+        near, part = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+        for lo in range(0, len(self.ids), TABLES):
+            for at, tables in enumerate(self.quantiser.tables(self.queries[lo : lo + TABLES]), lo):
+                near[:] = 0
+                for own, byte in zip(tables, codes, strict=True):
+                    near += np.take(own, byte, out=part, mode="clip")
+                other = ids != self.ids[at]
+                near[~other] = -np.inf
+                best = _largest(near, self.k * self.rerank)
+                best = best[other[best]]
+                self._add(at, ids, x, best)
+                # whatever its error lets reach the last of the best is reranked too
+                rest = other & ~(near + self.norms[at] * error < self.scores[at, -1])
+                rest[best] = False
+                self._add(at, ids, x, np.flatnonzero(rest))
+
+    def _add(self, at: int, ids: np.ndarray, x: np.ndarray, places: np.ndarray) -> None:
+        if not len(places):
+            return
+        # summed from the first component to the last
+        scores = np.concatenate((self.scores[at], np.cumsum(x[places] * self.queries[at], axis=1)[:, -1]))
+        own = np.concatenate((self.best[at], ids[places]))
+        order = np.lexsort((own, -scores))[: self.k]
+        self.scores[at], self.best[at] = scores[order], own[order]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of queries, ids of vectors and scores."""
+        query, place = np.nonzero(self.scores > -np.inf)
+        return self.ids[query], self.best[query, place], self.scores[query, place]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
@@ -105,21 +148,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
 
     ``vectors`` has vec_id and embedding; further columns are ignored. Vectors that are null, zero, hold
     null or non-finite components or have another dimension than most take no part, nor do rows without
-    vec_id. Scores are exact, in double precision; ties go to the smaller vec_id. Rows that
+    vec_id. The result is exact at any ``sample`` and ``rerank``: these only say on how many rows codebooks are fitted, and
+    how many candidates are reranked before the bound on the others is known. Scores are in double precision, summed
+    in the order of components; ties go to the smaller vec_id. Rows that
     repeat a vec_id are candidates each, and a query takes the least of their vectors.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Queries are broadcast QUERIES at a time, each time to one pass over the coded vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("query")).filter(F.col("vec_id").isNotNull() & usable("embedding"))
     dimension, n = most_common_dimension(rows, "embedding")
-    schema = "query_id long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("embedding") == dimension)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     shared = spark.sparkContext.broadcast(Quantiser(dimension).fit(matrix(drawn.column(0), dimension)))
-    queries = rows.filter("query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks, query_blocks = -(-n // VECTORS), max(1, -(-queries.count() // QUERIES))
+    queries = numbered(rows.filter("query").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vec_id")
+    asked = queries.count()
+    tasks = min(-(-n // VECTORS), max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def encode(batches):
         quantiser = shared.value
@@ -129,39 +174,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
             packed = pa.array([c.tobytes() for c in quantiser.pack(codes)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array(quantiser.error(x, codes))], ["vec_id", "embedding", "code", "error"])
 
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        quantiser = shared.value
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
-            ids, x = left.column("vec_id").to_numpy(), matrix(left.column("embedding"), dimension)
-            error = left.column("error").to_numpy()
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
-            for query_id, q in zip(right.column("vec_id").to_pylist(), matrix(right.column("embedding"), dimension), strict=True):
-                near = np.zeros(len(ids), np.float32)
-                for own, byte in zip(quantiser.tables(q), codes, strict=True):
-                    near += own[byte]
-                own = ids == query_id
-                near[own] = -np.inf
-                best = _largest(near, k * rerank)
-                best = best[~own[best]]
-                score = (x[best] * q).sum(axis=1)
-                if len(best) >= k:
-                    rest = ~own & ~(near + np.linalg.norm(q) * error < np.partition(score, -k)[-k])
-                    rest[best] = False
-                    rest = np.flatnonzero(rest)
-                    best, score = np.concatenate((best, rest)), np.concatenate((score, (x[rest] * q).sum(axis=1)))
-                best, score = (a[np.lexsort((ids[best], -score))[:k]] for a in (best, score))
-                out.append((np.full(len(best), query_id), ids[best], score))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
-    coded = rows.select("vec_id", "embedding").mapInArrow(encode, "vec_id long, embedding array<double>, code binary, error double")
-    coded = coded.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "query_block": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>"))})
-    queries = queries.withColumns({"query_block": F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))})
-    found = coded.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(scan, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scanner(asked):
+        def scan(batches):
+            nearest = Nearest(shared.value, *asked.value, k, rerank)
+            for block in _blocks(batches):
+                codes = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(block.num_rows, -1).T.copy()
+                nearest.scan(block.column("vec_id").to_numpy(), matrix(block.column("embedding"), dimension), codes, block.column("error").to_numpy())
+            columns = nearest.found()
+            for lo in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns], ["query_id", "vec_id", "score"])
+
+        return scan
+
+    coded = checkpointed(rows.select("vec_id", "embedding").repartition(tasks).mapInArrow(encode, "vec_id long, embedding array<double>, code binary, error double"))
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    done = []
+    for first in range(0, max(1, asked), QUERIES):
+        own = queries.filter(F.col("row").between(first, first + QUERIES - 1)).select("vec_id", "embedding").toArrow()
+        sent = spark.sparkContext.broadcast((own.column(0).to_numpy(), matrix(own.column(1), dimension)))
+        found = coded.mapInArrow(scanner(sent), "query_id long, vec_id long, score double")
+        ranked = found.withColumn("rank", F.row_number().over(by_query).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if asked > QUERIES:
+            ranked = checkpointed(ranked)
+            sent.destroy()
+        done.append(ranked)
+    return reduce(DataFrame.unionAll, done)
+
+
+def _blocks(batches):
+    """Batches joined to at least VECTORS rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= VECTORS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
 
 def _largest(values: np.ndarray, n: int) -> np.ndarray:

@@ -52,6 +52,23 @@ def test_search_recall_and_ties(spark, vectors):
         assert scores == sorted(scores, reverse=True)
 
 
+def test_search_by_blocks_and_chunks_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "VECTORS", 300)
+    monkeypatch.setattr(ann, "QUERIES", 64)
+    rng = np.random.default_rng(7)
+    x = np.vstack([clustered(2500, 7), rng.normal(size=(500, 8)).astype(np.float32) * 3])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(40, x[40].tolist(), 1), (41, x[7].tolist(), 2)]
+    got = collections.defaultdict(list)
+    for r in ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0, 20, sample=500, rerank=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    assert set(got) == set(range(0, 3000, 20))
+    for q, own in got.items():
+        s = np.cumsum(y * x[q].astype(np.float64), axis=1)[:, -1]
+        s[ids == q] = -np.inf
+        assert own == [(int(ids[k]), float(s[k])) for k in np.lexsort((ids, -s))[:20]]
+
+
 def test_search_of_few_and_none(spark):
     few = frame(spark, [(0, [1.0, 0.0], 1), (20, [0.5, 0.5], 1), (3, [0.5, 0.5], 1)])
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
@@ -117,6 +134,17 @@ def with_family(n, seed, dimension=64, cosine=0.985):
     return x.astype(np.float32)
 
 
+@pytest.mark.parametrize(("prefix", "fewest", "few"), [(1, 16, 0.0), (3, 64, 1.0), (16, 16, 0.05)])
+def test_no_link_is_lost_at_any_prefix(spark, monkeypatch, prefix, fewest, few):
+    for name, value in (("PREFIX", prefix), ("FEWEST_PIVOTS", fewest), ("FEW", few), ("TILE", 128)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    x = np.vstack([clustered(1500, 8), with_family(600, 9, 8, 0.982)])
+    rows = [(k, v.tolist(), k % 2) for k, v in enumerate(x)]
+    want = reference(rows, 0.98)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 10_000
+
+
 @pytest.mark.parametrize("cosine", [0.981, 0.985])
 def test_near_duplicates_of_a_large_family(spark, cosine):
     x = with_family(6000, 5, cosine=cosine)
