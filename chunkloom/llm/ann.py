@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, numbered, table
+from ._common import checkpointed, least_hashed, numbered, table
 from ._vectors import matrix, most_common_dimension, usable
 
 #: Rows that codebooks are fitted on, at most; drawn by a hash of vec_id. Every row is indexed.
@@ -131,9 +131,14 @@ class Nearest:
     def _add(self, at: int, ids: np.ndarray, x: np.ndarray, places: np.ndarray) -> None:
         if not len(places):
             return
+        x, ids, query = x[places], ids[places], self.queries[at]
+        if self.scores[at, -1] > -np.inf:
+            # rounding cannot lift the others to the last of the best
+            some = np.flatnonzero(x @ query >= self.scores[at, -1] - 1e-9 * self.norms[at] * np.abs(x).max() * len(query))
+            x, ids = x[some], ids[some]
         # summed from the first component to the last
-        scores = np.concatenate((self.scores[at], np.cumsum(x[places] * self.queries[at], axis=1)[:, -1]))
-        own = np.concatenate((self.best[at], ids[places]))
+        scores = np.concatenate((self.scores[at], np.cumsum(x * query, axis=1)[:, -1]))
+        own = np.concatenate((self.best[at], ids))
         order = np.lexsort((own, -scores))[: self.k]
         self.scores[at], self.best[at] = scores[order], own[order]
 
@@ -160,7 +165,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("embedding") == dimension)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    drawn = least_hashed(rows, sample, 1, "vec_id", total=n).select("embedding").toArrow()
     shared = spark.sparkContext.broadcast(Quantiser(dimension).fit(matrix(drawn.column(0), dimension)))
     queries = numbered(rows.filter("query").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vec_id")
     asked = queries.count()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, components, table
+from ._common import checkpointed, components, least_hashed, table
 from ._vectors import matrix, most_common_dimension, usable
 
 #: Pivots are twice the root of the vectors' number at most, between these; drawn farthest-first from CANDIDATES times as many.
@@ -74,7 +74,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     most = min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(2 * n**0.5)))
-    pivots = matrix(classes.orderBy(F.xxhash64("id"), "id").limit(CANDIDATES * most).select("embedding").toArrow().column(0), dimension)
+    pivots = matrix(least_hashed(classes, CANDIDATES * most, 2, "id", total=n).select("embedding").toArrow().column(0), dimension)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     reach = max(0.0, 2 - 2 * cosine) ** 0.5 + SLACK
     index = spark.sparkContext.broadcast(pivots[spread_out(pivots, most, 2 * reach)])

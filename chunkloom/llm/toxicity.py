@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import sliced, small_batches, table, text_column
+from ._common import least_hashed, sliced, small_batches, table, text_column
 from ._words import SENTENCE_END, sentence_words, word_features
 
 #: Hash bits of the features.
@@ -93,8 +93,10 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, seed: int = 11) -> DataFrame:
     """At most ``sample`` labelled documents (text, label); doc_ids whose crc32 is 2 modulo 4 are held out."""
     known = labels.filter(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
-    known = known.filter(~held_out("doc_id")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", text_column().alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "__label")
+    known = least_hashed(known.filter(~held_out("doc_id")), sample, seed, "doc_id")
+    rows = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(known), "doc_id")
+    # of rows that repeat a doc_id, the one with the least text
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__label").alias("__label"))
 
 
 def held_out(name: str):
