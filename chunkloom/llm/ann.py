@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, least_hashed, numbered, table
+from ._common import checkpointed, frugal, least_hashed, numbered, table
 from ._vectors import matrix, most_common_dimension, usable
 
 #: Rows that codebooks are fitted on, at most; drawn by a hash of vec_id. Every row is indexed.
@@ -191,13 +191,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
 
         return scan
 
-    coded = checkpointed(rows.select("vec_id", "embedding").repartition(tasks).mapInArrow(encode, "vec_id long, embedding array<double>, code binary, error double"))
+    coded = checkpointed(rows.select("vec_id", "embedding").repartition(tasks).mapInArrow(frugal(encode), "vec_id long, embedding array<double>, code binary, error double"))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     done = []
     for first in range(0, max(1, asked), QUERIES):
         own = queries.filter(F.col("row").between(first, first + QUERIES - 1)).select("vec_id", "embedding").toArrow()
         sent = spark.sparkContext.broadcast((own.column(0).to_numpy(), matrix(own.column(1), dimension)))
-        found = coded.mapInArrow(scanner(sent), "query_id long, vec_id long, score double")
+        found = coded.mapInArrow(frugal(scanner(sent)), "query_id long, vec_id long, score double")
         ranked = found.withColumn("rank", F.row_number().over(by_query).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if asked > QUERIES:
             ranked = checkpointed(ranked)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, sliced, small_batches, table, text_column
+from ._common import checkpointed, frugal, sliced, small_batches, table, text_column
 from ._words import sentence_words, word_features
 
 BITS, GRAMS = 16, (2, 3, 4)
@@ -99,7 +99,7 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(languages), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["page_id", "host", "declared", "text"])
 
-    scored = checkpointed(rows.mapInArrow(read, "page_id long, host string, declared string, text array<double>").withColumn("suffix", F.regexp_extract("host", r"\.([a-z]+)$", 1)))
+    scored = checkpointed(rows.mapInArrow(frugal(read), "page_id long, host string, declared string, text array<double>").withColumn("suffix", F.regexp_extract("host", r"\.([a-z]+)$", 1)))
     each = range(len(languages))
     sums = [F.sum(F.col("text")[k]).alias(f"s{k}") for k in each]
 

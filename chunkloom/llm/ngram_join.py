@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, components, mixed, plan_bytes, release, shingle_hashes, small_batches, table, text_column, text_slices, word_hashes
+from ._common import checkpointed, components, frugal, mixed, plan_bytes, release, shingle_hashes, small_batches, table, text_column, text_slices, word_hashes
 
 #: Bits of the fixed-size maps that are broadcast (2 MB each).
 MAP_BITS = 24
@@ -112,7 +112,7 @@ def _frequencies(docs: DataFrame, width: int, bucket_bits: int, above: int) -> D
         found = {"token": [*(tokens[edges[:-1]][keep].astype(np.int64) | (bucket << 32)).tolist(), bucket], "n": [*n[keep].tolist(), 0], "marks": [None] * int(keep.sum()) + [np.packbits(flags, bitorder="little").tobytes()]}
         return pa.table(found, schema=pa.schema([("token", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())]))
 
-    return docs.select(text_column()).mapInArrow(pack, "bucket long, packed binary").groupBy("bucket").applyInArrow(count, "token long, n long, marks binary")
+    return docs.select(text_column()).mapInArrow(frugal(pack), "bucket long, packed binary").groupBy("bucket").applyInArrow(count, "token long, n long, marks binary")
 
 
 def _frequency_maps(docs: DataFrame, width: int, bucket_bits: int) -> tuple[list[np.ndarray], np.ndarray, int]:
@@ -202,7 +202,7 @@ def shingle_index(docs: DataFrame, width: int, percent: int, shared: Broadcast,
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(matches, pa.int32()), lists], ["doc_id", "n", "s1", "s2", "matches", "prefix"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return checkpointed(kept.mapInArrow(index, "doc_id long, n long, s1 long, s2 long, matches int, prefix array<long>"))
+    return checkpointed(kept.mapInArrow(frugal(index), "doc_id long, n long, s1 long, s2 long, matches int, prefix array<long>"))
 
 
 def _id_map(ids: DataFrame) -> np.ndarray:
@@ -232,7 +232,7 @@ def _set_store(docs: DataFrame, wanted: DataFrame, width: int, shared: Broadcast
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["n", "s1", "s2", "shingles"])
 
     rows = docs.filter("doc_id is not null").select(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - MAP_BITS).alias("place"), text_column().alias("text"))
-    sets = rows.mapInArrow(keep, "n long, s1 long, s2 long, shingles binary")
+    sets = rows.mapInArrow(frugal(keep), "n long, s1 long, s2 long, shingles binary")
     return sets.select(F.xxhash64("n", "s1", "s2").alias("class"), "shingles").dropDuplicates(["class"])
 
 

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import WordEncoder
-from ._common import checkpointed, sliced, small_batches, table, text_column
+from ._common import checkpointed, frugal, sliced, small_batches, table, text_column
 
 #: Pieces in a block, about.
 BLOCK = 4096
 #: Fillings that the search of a block looks at before it keeps its incumbent; a search that ends sooner is exact.
 NODES = 4096
 #: Bytes of text that are tokenised at once, about.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -299,7 +299,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(frugal(cut), schema)
 
 
 def _gathered(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, text_column
+from ._common import frugal, small_batches, table, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens and characters in an entity of the field, at most.
@@ -481,7 +481,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
 
     kind = "array<struct<start:int,end:int,kind:string>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return rows.mapInArrow(find, f"doc_id long, base {kind}, spans {kind}")
+    return rows.mapInArrow(frugal(find), f"doc_id long, base {kind}, spans {kind}")
 
 
 def redacted(text: str, field: Field) -> str:
@@ -509,7 +509,7 @@ def redact(docs: DataFrame, field: Field | None = None, column: str = "text") ->
             texts = pa.array([t if t is None else redacted(t, own) for t in batch.column(at).to_pylist()], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(replace, schema)
+    return docs.mapInArrow(frugal(replace), schema)
 
 
 def _joined(spans):

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drawn, sliced, small_batches, table, text_column
+from ._common import drawn, frugal, sliced, small_batches, table, text_column
 from ._words import word_features
 
 BITS, GRAMS = 16, (2, 3)
@@ -163,7 +163,7 @@ def vote_patterns(docs: DataFrame) -> dict[int, int]:
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["pattern", "n"])
 
-    rows = docs.select(text_column()).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_column()).mapInArrow(frugal(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return {r["pattern"]: r["n"] for r in rows.collect()}
 
 
@@ -198,7 +198,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(frugal(score), "doc_id long, score double")
 
 
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

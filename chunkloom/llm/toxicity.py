@@ -14,20 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import least_hashed, sliced, small_batches, table, text_column
+from ._common import frugal, least_hashed, sliced, small_batches, table, text_column
 from ._words import SENTENCE_END, sentence_words, word_features
 
 #: Hash bits of the features.
 BITS = 18
 #: Labelled documents that a model is fitted on, at most; drawn by a seeded hash of doc_id.
 SAMPLE = 10_000
+#: Bytes of text that are scored at once, about.
+SLICE = 1 << 19
 #: Documents with at least this score are toxic.
 THRESHOLD = 0.3
 _ENDS = re.compile(SENTENCE_END.replace(r"\x{2026}\x{3002}", "…。"))
 
 
 def _slices(texts: pa.Array):
-    for row, part in sliced(texts):
+    for row, part in sliced(texts, SLICE):
         yield row, sentence_words(part)
 
 
@@ -125,7 +127,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
         for batch in batches:
             texts = batch.column(1)
             scores, spans = [], []
-            for row, part in sliced(texts):
+            for row, part in sliced(texts, SLICE):
                 toxic, z, firsts = _scores(part, weights, bias)
                 scores.append(toxic)
                 for k, bad in enumerate(toxic >= threshold):
@@ -133,7 +135,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(spans, pa.list_(span))], ["doc_id", "score", "sentences"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return rows.mapInArrow(score, "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(frugal(score), "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
@@ -145,10 +147,10 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
     def keep(batches):
         weights, bias = shared.value
         for batch in batches:
-            scores = [_scores(part, weights, bias)[0] for _, part in sliced(batch.column(at))]
+            scores = [_scores(part, weights, bias)[0] for _, part in sliced(batch.column(at), SLICE)]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold) if scores else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def _scores(texts: pa.Array, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
