@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import clean_doc_comment, doc_comment, is_doc_comment
 from .operators import java, prompt, retrieval
-from .sources.jsonl import source_exists, write_sources
+from .sources.jsonl import unwritten, write_sources
 
 # Seconds between two calls of a chat model.
 LEAST_WAIT = 5.0
@@ -22,11 +22,9 @@ def document_project(spark: SparkSession, files: DataFrame, store: DataFrame, em
     Calls are made by the driver one at a time, at least ``wait`` seconds apart, as chat services ask for.
     Files that exist below ``out`` are skipped; answers that are no doc comment are left out.
     """
-    missing = java.undocumented_methods(java.scan(files)).orderBy("file", "line")
-    answers, last, done = [], float("-inf"), {}
+    missing = java.undocumented_methods(java.scan(unwritten(files, out))).orderBy("file", "line")
+    answers, last = [], float("-inf")
     for row in (missing if most is None else missing.limit(most)).toLocalIterator():
-        if done.setdefault(row["file"], source_exists(spark, out, row["file"])):
-            continue
         time.sleep(max(0.0, last + wait - time.monotonic()))
         last = time.monotonic()
         question = prompt.DOC_QUESTION.replace("{}", row["signature"], 1).replace("{}", row["class"], 1)

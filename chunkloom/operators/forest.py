@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import section_of, section_weight
 from .numbering import checkpointed
 
-#: Deepest chain of parents followed; a chain that comes back to itself ends before.
-MAX_DEPTH = 64
-
 
-def ancestor_closure(hits: DataFrame, chunks: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestor_closure(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(hit_id, node_id, parent_id, section, depth) of each distinct hit and its existing ancestors.
 
     ``chunks`` has id, parent and section. depth is 0 at the hit. A parent that does not exist
-    ends the chain, and so does one seen before. Hits that do not exist are dropped.
+    ends the chain, and so does one seen before. Hits that do not exist are dropped. Each level looks its nodes up by one
+    semi-join of ``chunks``, which is read once a level and not shuffled where the level is small.
     """
-    nodes = chunks.groupBy("id").agg(F.min(F.struct(F.coalesce(F.nullif(F.col("parent"), F.lit("")), F.lit(None)).alias("parent"), F.col("section").alias("section"))).alias("n")).select("id", "n.parent", "n.section")
-    level = hits.select("id").distinct().join(nodes, "id").select(F.col("id").alias("hit_id"), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "section", F.lit(0).alias("depth"), F.array("id").alias("seen"))
+
+    def nodes(ids: DataFrame) -> DataFrame:
+        own = chunks.join(ids.distinct(), "id", "left_semi")
+        first = F.min(F.struct(F.nullif(F.col("parent"), F.lit("")).alias("parent"), F.col("section").alias("section")))
+        return own.groupBy("id").agg(first.alias("n")).select("id", "n.parent", "n.section")
+
+    level = nodes(hits.select("id")).select(F.col("id").alias("hit_id"), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "section", F.lit(0).alias("depth"), F.array("id").alias("seen"))
     level = checkpointed(level)
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
+        up = level.filter("parent_id is not null and not array_contains(seen, parent_id)").select("hit_id", "parent_id", "seen")
+        up = up.join(nodes(up.select(F.col("parent_id").alias("id"))), F.col("parent_id") == F.col("id"))
+        level = checkpointed(up.select("hit_id", F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "section", F.lit(depth).alias("depth"), F.concat("seen", F.array("id")).alias("seen")))
         if level.isEmpty():
             break
-        up = level.filter("parent_id is not null and not array_contains(seen, parent_id)").select("hit_id", "parent_id", "seen").join(nodes, F.col("parent_id") == F.col("id"))
-        level = checkpointed(up.select("hit_id", F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "section", F.lit(depth).alias("depth"), F.concat("seen", F.array("id")).alias("seen")))
         out = out.unionByName(level)
     return out.drop("seen")
 

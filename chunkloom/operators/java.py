@@ -329,7 +329,7 @@ def scanned(path: str, text: str) -> list[dict]:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     try:
         source = parse(text)
-    except (JavaError, IndexError) as e:
+    except Exception as e:  # whatever one file holds, the others are scanned
         return [{"file": path, "kind": "error", "a": str(e) or "unexpected end of file"}]
     name = path.rsplit("/", 1)[-1].removesuffix(".java")
     primary = next((t for t in source.types if t.name == name), source.types[0])
@@ -406,13 +406,13 @@ def imports(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'import'").select("file", F.col("a").alias("import"), F.col("whole").alias("is_wildcard")).distinct()
 
 
-def raw_edges(rows: DataFrame) -> DataFrame:
-    """(source, target) with the names of types resolved."""
+def raw_edges(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(source, target) with the names of types resolved, by the symbols ``known`` if given, else by those of ``rows``."""
     from .graph import resolve_names
 
     edges = rows.filter("kind = 'edge'").select("file", F.col("a").alias("source"), F.col("b").alias("name"), F.col("section").alias("use"), F.col("prefix").alias("package"))
     named = edges.filter("use <> 'import'")
-    found = resolve_names(named, imports(rows), symbols(rows)).select("file", "package", "name", "fqn")
+    found = resolve_names(named, imports(rows), symbols(rows) if known is None else known).select("file", "package", "name", "fqn")
     return edges.filter("use = 'import'").select("source", F.col("name").alias("target")).union(named.join(found, ["file", "package", "name"]).select("source", F.col("fqn").alias("target")))
 
 

@@ -11,6 +11,7 @@ from ..functions.scalars import insert_before
 from ..functions.split import combine
 from ..schema import SECTION_KEY
 from . import forest, retrieval
+from .numbering import checkpointed
 
 # The texts of which contexts and prompts consist, and the budget of a context in characters.
 BUDGET = 50_000
@@ -121,11 +122,17 @@ def assembled(contexts: DataFrame, ranks: DataFrame, validators: list[Validator]
 
 
 def context_of(hits: DataFrame, chunks: DataFrame, validators: list[Validator] = (), budget: int = BUDGET) -> DataFrame:
-    """The assembled context of ``hits`` (id) in ``chunks``."""
+    """The assembled context of ``hits`` (id) in ``chunks``.
+
+    Parents are climbed on ids alone, as the lowest part of each unit has them; only the units of the trees, with their docs and
+    reports, are put together.
+    """
     section = F.coalesce(F.col("metadata")[SECTION_KEY], F.lit("unknown"))
-    whole = combine(chunks)
-    closure = forest.ancestor_closure(hits, whole.select("id", "parent", section.alias("section")))
-    return assembled(tree_contexts(forest.forest(closure), whole), forest.tree_ranks(closure), validators, budget)
+    lowest = checkpointed(forest.ancestor_closure(hits, chunks.filter("part = 0").select("id", "parent", section.alias("section"))))
+    nodes = checkpointed(forest.forest(lowest))
+    ids = nodes.select(F.explode(F.array(F.col("node_id"), *(F.concat("node_id", F.lit(s)) for s in (".javadoc", ".dependencies")))).alias("id")).distinct()
+    whole = combine(chunks.join(ids, "id", "left_semi"))
+    return assembled(tree_contexts(nodes, whole), forest.tree_ranks(lowest), validators, budget)
 
 
 def enrich(spark: SparkSession, store: DataFrame, question: str, embedder: retrieval.Embedder, start: tuple[int, float] = retrieval.CONTEXT_START, template: str = CONTEXT_PROMPT, validators: list[Validator] = (not_empty,), prefetched: DataFrame | None = None) -> str:
@@ -135,16 +142,14 @@ def enrich(spark: SparkSession, store: DataFrame, question: str, embedder: retri
     steps = retrieval.ladder(*start)
     found = retrieval.similar(store, embedder([question])[0], max(k for _, k, _ in steps), steps[-1][2], digits=None)
     hits = [(r["id"], r["score"], i) for i, r in enumerate(found.select("id", "score").collect())]
-    extra = [] if prefetched is None else [(r["id"],) for r in prefetched.select("id").distinct().limit(1000).collect()]
     tried: set[tuple] = set()
     for _, k, least in steps:
-        own = tuple(sorted({i for i, score, at in hits if at < k and score >= least} | {i for (i,) in extra}))
-        if own in tried:
+        own = tuple(sorted({i for i, score, at in hits if at < k and score >= least}))
+        if own in tried or not own and prefetched is None:
             continue
         tried.add(own)
-        if not own:
-            continue
-        rows = context_of(spark.createDataFrame([(i,) for i in own], "id string"), store, list(validators))
+        ids = spark.createDataFrame([(i,) for i in own], "id string")
+        rows = context_of(ids if prefetched is None else ids.union(prefetched.select("id")), store, list(validators))
         first = rows.select("context", all_valid(F.col("context"), list(validators)).alias("ok")).first()
         if first and first["ok"]:
             return _format(template, first["context"], question)

@@ -119,7 +119,9 @@ def javadoc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def javadoc_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).filter("turn % 2 = 0").select("conv_id", "turn", clean_doc_comment(doc_comment(F.col("answer")), "Made by a model").alias("text"))
+    """Every answer's doc comment made clean; answers without one have no text."""
+    found = doc_comment(F.col("answer"))
+    return _answers(spark, sf_dir).select("conv_id", "turn", F.when(is_doc_comment(found), clean_doc_comment(found, "Made by a model")).alias("text"))
 
 
 QUERIES = {f.__name__: f for f in (split_documents, split_prefixed, split_small_windows, part_lines, unsplit_roundtrip, combine_units, chunk_flat_map, chunk_roundtrip_map, jsonl_roundtrip, jsonl_malformed_dropped, veto_pages, whitelist_suffix, file_type_of_path, chunkers_of_file, has_text_filter, batches_of_50, javadoc_extract, javadoc_sanitize)}
@@ -155,5 +157,5 @@ SELECT page_id, part, total, CASE WHEN len < 599 THEN 0 ELSE 50 END AS overlap,
     "has_text_filter": r"SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE regexp_matches(text, '\S') GROUP BY role",
     "batches_of_50": "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 50 AS BIGINT) AS batch FROM documents",
     "javadoc_extract": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '/**' || chr(10) || ' * Turn ' || turn || ' of ' || role || '.' || chr(10) || ' * @return nothing' || chr(10) || ' */' ELSE 'no comment' END AS comment, turn % 2 = 0 AS is_comment FROM conversations",
-    "javadoc_sanitize": "SELECT conv_id, turn, chr(10) || '    Turn ' || turn || ' of ' || role || '.' || chr(10) || '    @return nothing' || chr(10) || chr(10) || '    Made by a model' || chr(10) || chr(10) AS text FROM conversations WHERE turn % 2 = 0",
+    "javadoc_sanitize": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(10) || '    Turn ' || turn || ' of ' || role || '.' || chr(10) || '    @return nothing' || chr(10) || chr(10) || '    Made by a model' || chr(10) || chr(10) END AS text FROM conversations",
 }

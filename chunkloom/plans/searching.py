@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_text
-from ..operators import retrieval
-from ..sources.jsonl import to_lines
+from ..functions.split import split_content
+from ..operators import prompt, retrieval
+from ..operators.chunk_maps import chunk_columns
+from ..operators.numbering import shared_folder
+from ..registry import Registry, chunk_folder
+from ..schema import SECTION_KEY
+from ..sources.jsonl import to_lines, unwritten, write_sources
 from ..streaming import streams
 from .common import CHUNKS_SQL, document_chunks, table
 
 DIGITS = 6
+QUESTION = "Was ist ein Vektor?"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +87,7 @@ def union_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folders(spark: SparkSession) -> str:
     """A new folder in the shared place of checkpoints."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def incremental_embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +111,109 @@ def prompt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("value string, chars int").parquet(f"{folder}/out")
 
 
-QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, incremental_embed_stream, prompt_stream)}
+def answered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns as a stream of prompts, each filled into the frame of a question without context."""
+    folder = _folders(spark)
+    table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.regexp_replace("text", r"\s+", " ").alias("value")).write.text(f"{folder}/prompts")
+
+    def answer(rows: DataFrame) -> DataFrame:
+        return rows.select("value", F.md5(prompt.filled(prompt.CONTEXT_PROMPT, F.lit("-"), F.col("value"))).alias("prompt_md5"))
+
+    streams.answer_batches(spark.readStream.text(f"{folder}/prompts"), answer, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("value string, prompt_md5 string").parquet(f"{folder}/out").select("value", "prompt_md5")
+
+
+def _vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a stored chunk: even ones are classes, odd ones methods of the class before."""
+    vectors = table(spark, sf_dir, "embeddings")
+    key, method = F.col("vec_id").cast("string"), F.col("vec_id") % 2 == 1
+    own_class = F.concat(F.lit("vec"), (F.col("vec_id") - F.col("vec_id") % 2).cast("string"))
+    text = F.when(method, F.concat(F.lit("\nRumpf "), key)).otherwise(F.concat(F.lit("\nVektor "), key, F.lit(" mit m"), (F.col("vec_id") + 1).cast("string"), F.lit("()")))
+    section = F.create_map(F.lit(SECTION_KEY), F.when(method, "method").otherwise("classFrame"))
+    given = {"part": F.lit(0), "total": F.lit(1), "overlap": F.lit(0), "size": F.length(text), "content": text, "metadata": section}
+    return vectors.select(*chunk_columns(id=F.when(method, F.concat(own_class, F.lit(".m"), key, F.lit("()"))).otherwise(own_class), parent=F.when(method, own_class), **given), "embedding")
+
+
+def question_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question whose vector is the first one: search, ladder, trees, ranks, contexts and prompt; and what a chat model that echoes answers."""
+    store = _vector_chunks(spark, sf_dir)
+    vector = store.filter("id = 'vec0'").first()["embedding"]
+    asked = prompt.enrich(spark, store, QUESTION, lambda texts: [vector])
+    answered = prompt.ask(spark, store, QUESTION, lambda texts: [vector], chat=lambda text: text, prefetched=store.filter("id = 'vec2'"))
+    return spark.createDataFrame([("context", asked), ("ask", answered), ("blank", prompt.enrich(spark, store, " ", lambda texts: [vector]))], "kind string, prompt string")
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of a new folder, in their source's folder, their ending by language."""
+    root = f"{_folders(spark)}/project"
+    write_sources(table(spark, sf_dir, "documents").select(_file_path().alias("path"), F.col("text").alias("content")), root)
+    return root
+
+
+def _file_path():
+    ending = F.when(F.col("lang") == "en", ".xml").when(F.col("lang") == "de", ".html").when(F.col("lang") == "fr", ".png").otherwise(".txt")
+    return F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ending)
+
+
+def folder_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder that no veto and no earlier run keeps out, cut by every registered chunker, and what a step after them adds."""
+    root = _folder(spark, sf_dir)
+    own = Registry()
+    own.veto(lambda path, length: path.contains("/src1/"))
+
+    @own.chunker("XML", "HTML")
+    def parts(files: DataFrame) -> DataFrame:
+        cut = split_content(files.select("path", F.col("content").alias("text")), "text", 1300, 100)
+        given = {c: F.col(c) for c in ("part", "total", "size", "overlap", "fromLine", "toLine", "content")}
+        return cut.select(*chunk_columns(id=F.regexp_extract("path", "[^/]+$", 0), mimeType=F.lit("parts"), **given))
+
+    @own.chunker("HTML")
+    class Whole:
+        def __call__(self, files: DataFrame) -> DataFrame:
+            return files.select(*chunk_columns(id=F.regexp_extract("path", "[^/]+$", 0), mimeType=F.lit("whole"), part=F.lit(0), total=F.lit(1), size=F.length("content"), overlap=F.lit(0), content=F.col("content")))
+
+    own.post_step(lambda: table(spark, sf_dir, "region").select(*chunk_columns(id=F.col("r_name"), mimeType=F.lit("after"), part=F.lit(0), total=F.lit(1), size=F.lit(0), overlap=F.lit(0), content=F.lit(""))))
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    qualified = spark._jvm.org.apache.hadoop.fs.Path(root).toString()
+    done = labelled.select(F.concat(F.lit(f"{qualified}/"), _file_path()).alias("path"))
+    chunks = chunk_folder(spark, root, own, white_list="xml,html,txt,png", done=done)
+    return chunks.select("id", F.col("mimeType").alias("kind"), "part", "total", "size", F.md5("content").alias("content_md5"))
+
+
+def unwritten_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents' files, those whose target does not exist after the labelled ones are written."""
+    docs, root = table(spark, sf_dir, "documents"), f"{_folders(spark)}/out"
+    rows = docs.select("doc_id", _file_path().alias("path"), F.col("text").alias("content"))
+    labelled = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    written = write_sources(labelled, root)
+    again = write_sources(labelled, root)
+    return unwritten(rows, root).select("doc_id", "path", F.lit(int(again)).alias("again"), F.lit(int(written)).alias("written"))
+
+
+QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, incremental_embed_stream, prompt_stream, answered_stream, question_prompt, folder_chunks, unwritten_sources)}
 
 _PAIRS = f"p AS (SELECT q.vec_id AS query_id, v.vec_id, round((1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, {DIGITS}) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0)"
 _LADDER = "l(level, max_result, min_score) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({c!r} AS DOUBLE))" for a, b, c in retrieval.ladder(*retrieval.ASK_START)) + ")"
+_QUOTED = {k: v.replace("'", "''") for k, v in {"role": prompt.ROLE, "why": prompt.WHAT_AND_WHY, "none": prompt.NO_CONTEXT}.items()}
+_FOUND = "s AS (SELECT v.vec_id, v.vec_id - v.vec_id % 2 AS c, (1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2 AS score, CASE WHEN v.vec_id % 2 = 1 THEN 'vec' || (v.vec_id - 1) || '.m' || v.vec_id || '()' ELSE 'vec' || v.vec_id END AS id FROM embeddings v JOIN embeddings q ON q.vec_id = 0)"
+
+
+def _prompt_sql(kind: str, k: int, least: float, more: str, head: str) -> str:
+    """The prompt of one search: the hits, one context for each class, by falling rank, then name."""
+    return f"""(WITH h AS (SELECT c, vec_id FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT {k}) WHERE score >= {least} {more}),
+t AS (SELECT c, sum(CASE WHEN vec_id = c THEN 2 ELSE 5 END) AS rank, bool_or(vec_id <> c) AS body FROM h GROUP BY c)
+SELECT '{kind}' AS kind, '{head}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || string_agg(chr(10) || chr(10) || '## Hier ein Rumpf der Klasse vec' || c || ':' || chr(10) || chr(10) || '```java' || chr(10) || 'Vektor ' || c || ' mit ' || CASE WHEN body THEN 'Rumpf ' || (c + 1) ELSE 'm' || (c + 1) || '()' END || chr(10) || '```' || chr(10), '' ORDER BY rank DESC, 'vec' || c) || chr(10) || chr(10) || 'FRAGE: {QUESTION}' || chr(10) || chr(10) AS prompt FROM t)"""
+
+
+_ENDING = "CASE lang WHEN 'en' THEN '.xml' WHEN 'de' THEN '.html' WHEN 'fr' THEN '.png' ELSE '.txt' END"
 ORACLE_SQL = {
+    "answered_stream": rf"SELECT value, md5('{_QUOTED['role']}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || '-' || chr(10) || chr(10) || 'FRAGE: ' || value || chr(10) || chr(10)) AS prompt_md5 FROM (SELECT regexp_replace(text, '\s+', ' ', 'g') AS value FROM conversations WHERE role = 'user' AND regexp_matches(text, '\S') AND lower(trim(text)) <> 'exit')",
+    "question_prompt": f"WITH {_FOUND} SELECT * FROM {_prompt_sql('context', 20, 0.75, '', _QUOTED['role'])} UNION ALL SELECT * FROM {_prompt_sql('ask', 8, 0.85, 'UNION SELECT 2, 2', _QUOTED['role'] + _QUOTED['why'])} UNION ALL SELECT 'blank', '{_QUOTED['none']}'",
+    "folder_chunks": f"""WITH {CHUNKS_SQL}, f AS (SELECT * FROM chunks WHERE source <> 'src1' AND lang IN ('en', 'de') AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT doc_id || {_ENDING} AS id, 'parts' AS kind, part, total, size, md5(content) AS content_md5 FROM f
+UNION ALL SELECT doc_id || '.html', 'whole', 0, 1, CAST(length(coalesce(text, '')) AS INT), md5(coalesce(text, '')) FROM documents WHERE source <> 'src1' AND lang = 'de' AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT r_name, 'after', 0, 1, 0, md5('') FROM region""",
+    "unwritten_sources": f"SELECT doc_id, 'src/' || source || '/' || doc_id || {_ENDING} AS path, 0 AS again, CAST((SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS INT) AS written FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "similar_top_k": f"WITH {_PAIRS} SELECT vec_id, score FROM p WHERE query_id = 0 AND score >= 0.6 ORDER BY score DESC, vec_id LIMIT 10",
     "similar_top_k_per_query": f"WITH {_PAIRS} SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p WHERE score >= 0.55 QUALIFY rank <= 8",
     "relaxation_ladder": f"""WITH {_PAIRS}, {_LADDER}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ from .operators.vetoes import Veto, standard_vetoes
 from .schema import CHUNK_COLUMNS
 from .sources.files import source_files
 
+#: Entry points under which packages offer registries.
+ENTRY_POINTS = "chunkloom.registries"
 #: A chunker: (path, content) rows of its file types -> chunks.
 Chunker = Callable[[DataFrame], DataFrame]
 
@@ -27,6 +30,7 @@ class Registry:
     chunkers: list[tuple[tuple[str, ...], Chunker]] = field(default_factory=list)
     post_steps: list[Callable[[], DataFrame]] = field(default_factory=list)
     before: list[Callable[[DataFrame], None]] = field(default_factory=list)
+    scans: list[Callable[[DataFrame], None]] = field(default_factory=list)
 
     def veto(self, condition: Veto) -> Veto:
         self.vetoes.append(condition)
@@ -49,15 +53,35 @@ class Registry:
         self.before.append(step)
         return step
 
+    def scan_step(self, step: Callable[[DataFrame], None]):
+        self.scans.append(step)
+        return step
+
     def merged(self, other: Registry) -> Registry:
-        return Registry(self.vetoes + other.vetoes, self.chunkers + other.chunkers, self.post_steps + other.post_steps, self.before + other.before)
+        return Registry(self.vetoes + other.vetoes, self.chunkers + other.chunkers, self.post_steps + other.post_steps, self.before + other.before, self.scans + other.scans)
+
+
+def discovered(group: str = ENTRY_POINTS) -> Registry:
+    """All registries that installed packages offer: entry points of ``group``, each a registry or a function that gives one."""
+    found = Registry()
+    for point in sorted(metadata.entry_points(group=group), key=lambda p: p.name):
+        own = point.load()
+        found = found.merged(own if isinstance(own, Registry) else own())
+    return found
 
 
 def java_registry(prefix: str = "", size: int | None = None, overlap: int | None = None) -> Registry:
-    """Code chunks, and after all files the dependency reports of classes under ``prefix``."""
+    """Code chunks, and after all files the dependency reports of classes under ``prefix``.
+
+    Names are those of all Java files, also of vetoed ones, so that imports of these resolve.
+    """
     own = Registry()
     seen: dict[str, DataFrame] = {}
 
+    @own.scan_step
+    def names(files: DataFrame) -> None:
+        seen["names"] = checkpointed(java.symbols(java.scan(files)))
+
     @own.chunker("JAVA_CODE")
     def code(files: DataFrame) -> DataFrame:
         seen["rows"] = checkpointed(java.scan(files))
@@ -65,16 +89,23 @@ def java_registry(prefix: str = "", size: int | None = None, overlap: int | None
 
     @own.post_step
     def reports() -> DataFrame:
-        edges = graph.dependency_edges(java.raw_edges(seen["rows"]), prefix)
+        edges = graph.dependency_edges(java.raw_edges(seen["rows"], seen.get("names")), prefix)
         return graph.dependency_chunks(edges, size or graph.REPORT_SIZE, overlap or graph.REPORT_OVERLAP)
 
     return own
 
 
 def chunk_folder(spark: SparkSession, root: str, registry: Registry | None = None, white_list: str | None = None, standard: bool = True, done: DataFrame | None = None) -> DataFrame:
-    """All chunks of the files below ``root``: scan, vetoes, chunkers, then the steps that need all files."""
+    """All chunks of the files below ``root``: scan, vetoes, chunkers, then the steps that need all files.
+
+    Scan steps get all files below ``root``, vetoed or not, the steps before chunkers those that no veto keeps out.
+    """
     registry = registry or java_registry()
     files = source_files(spark, root, [*standard_vetoes(white_list, enabled=standard), *registry.vetoes], done=done)
+    if registry.scans:
+        every = source_files(spark, root, [])
+        for step in registry.scans:
+            step(every)
     for step in registry.before:
         step(files)
     out = [chunk(files.filter(file_type(files["path"]).isin(*types))).select(*CHUNK_COLUMNS) for types, chunk in registry.chunkers]

@@ -1,4 +1,4 @@
-"""Scans of folders of text files."""
+"""Scans of folders of text files. Files without a byte hold nothing to take and are not listed."""
 
 from __future__ import annotations
 

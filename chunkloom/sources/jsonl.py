@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import path_from_source_root
 from ..schema import CHUNK_COLUMNS, CHUNK_SCHEMA
 
 
@@ -40,33 +47,48 @@ def load_by_id(spark: SparkSession, path: str, partitions: int | None = None) ->
     return chunks.repartition(partitions, "id") if partitions else chunks.repartition("id")
 
 
-def source_exists(spark: SparkSession, root: str, path: str) -> bool:
-    """Whether ``write_sources`` would find the file of ``path`` below ``root``."""
-    at = path.find("src")
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path[at:] if at >= 0 else path.rsplit('/', 1)[-1]}")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _uri(spark: SparkSession, root: str) -> str:
+    """``root`` as its file system names it, in the form that pyarrow's file systems take."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", whole).rstrip("/")
 
 
-def write_sources(files: DataFrame, root: str) -> int:
-    """Write (path, content) below ``root``, each under its path from "src" on; returns the number of files written.
+def unwritten(files: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """The rows of ``files`` whose file does not exist below ``root`` yet, under its path from "src" on.
 
-    Files that exist are left as they are. Writing goes through the cluster's file system, from the executors'
-    rows one partition at a time.
+    Executors look the files up, all of a batch at once; ``root`` must be in a store that pyarrow's file systems reach.
     """
-    from ..functions.scalars import path_from_source_root
+    uri = _uri(files.sparkSession, root)
 
-    spark = files.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    written = 0
-    for row in files.select(path_from_source_root(F.col("path")).alias("path"), "content").toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{root}/{row['path']}")
-        fs = target.getFileSystem(conf)
-        if not fs.exists(target):
-            out = fs.create(target)
-            out.write(bytearray(row["content"].encode()))
-            out.close()
-            written += 1
-    return written
+    @F.pandas_udf("boolean")
+    def missing(below: pd.Series) -> pd.Series:
+        fs, top = pafs.FileSystem.from_uri(uri)
+        found = fs.get_file_info([f"{top}/{x}" for x in below])
+        return pd.Series([x.type == pafs.FileType.NotFound for x in found], dtype=bool)
 
+    return files.filter(missing(F.coalesce(path_from_source_root(F.col(path)), F.lit("/"))))
 
 
+def write_sources(files: DataFrame, root: str) -> int:
+    """Write (path, content) below ``root``, each under its path from "src" on; returns the number of files written.
+
+    Files that exist are left as they are. Executors write their own rows, each file under another name first, so that a task
+    which runs again leaves whole files.
+    """
+    uri = _uri(files.sparkSession, root)
+
+    def write(batches):
+        fs, top = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{top}/{path}"
+                part = f"{target.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                fs.move(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = unwritten(files, root).select(path_from_source_root(F.col("path")).alias("path"), "content").filter("path is not null").dropDuplicates(["path"])
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

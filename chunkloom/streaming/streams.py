@@ -33,8 +33,23 @@ def prompts(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(has_text(text) & (F.lower(F.trim(text)) != "exit"))
 
 
+def answer_batches(lines: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, column: str = "value") -> StreamingQuery:
+    """Write what ``answer`` makes of each batch of prompts below ``path``; a batch that runs again replaces its own rows.
+
+    Answers are made by the executors, for any number of prompts.
+    """
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        answer(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return prompts(lines, column).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(availableNow=True).start()
+
+
 def answer_prompts(lines: DataFrame, enrich: Callable[[str], str], sink: Callable[[str, str], None], checkpoint: str, column: str = "value") -> StreamingQuery:
-    """Call ``sink`` with each prompt and its enriched form, in order of arrival within a batch."""
+    """Call ``sink`` with each prompt and its enriched form, in order of arrival within a batch.
+
+    For a console: the driver handles one prompt after the other. See ``answer_batches`` for many.
+    """
 
     def handle(rows: DataFrame, _: int) -> None:
         for row in rows.toLocalIterator():

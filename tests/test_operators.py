@@ -3,8 +3,9 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from chunkloom import registry
 from chunkloom.functions import scalars
-from chunkloom.operators import forest, graph, prompt, retrieval, vetoes
+from chunkloom.operators import chunk_maps, forest, graph, numbering, prompt, retrieval, vetoes
 from chunkloom.operators.numbering import batches, row_numbers
 from chunkloom.sources import jsonl
 from chunkloom.sources.files import text_lines
@@ -138,3 +139,69 @@ def test_ask(spark, chat):
     answer = prompt.ask(spark, store, "void m() { go(); }", embed, chat)
     assert answer == "" if chat is prompt.silent_chat else "void m() { go(); }" in answer and "class K" in answer
     assert prompt.enrich(spark, store, "zzz", embed, validators=[prompt.mentions("absent")]) == prompt.NO_CONTEXT
+
+
+def test_chains_of_any_depth_and_cycles(spark):
+    chain = [(f"n{k}", f"n{k + 1}", "method") for k in range(90)] + [("n90", None, "classFrame"), ("a", "b", "method"), ("b", "a", "method"), ("lone", "absent", "method")]
+    chunks = spark.createDataFrame(chain, "id string, parent string, section string")
+    hits = spark.createDataFrame([("n0",), ("a",), ("lone",), ("not there",)], "id string")
+    closure = forest.ancestor_closure(hits, chunks)
+    assert {(r["hit_id"], r["root_id"]) for r in forest.roots(closure).collect()} == {("n0", "n90"), ("a", "b"), ("lone", "lone")}
+    assert closure.filter("hit_id = 'n0'").count() == 91
+
+
+def test_registries_of_installed_packages(spark, monkeypatch):
+    class Point:
+        def __init__(self, name, own):
+            self.name, self.load = name, lambda: own
+
+    one, two = registry.Registry(), registry.Registry()
+    one.veto(lambda path, length: path.contains("a"))
+    two.chunker("XML")(lambda files: files)
+    asked = []
+    monkeypatch.setattr(registry.metadata, "entry_points", lambda group: asked.append(group) or [Point("b", lambda: two), Point("a", one)])
+    found = registry.discovered()
+    assert len(found.vetoes) == 1 and len(found.chunkers) == 1 and asked == ["chunkloom.registries"]
+
+
+def test_names_of_vetoed_files_resolve(spark, tmp_path):
+    for name, text in {"src/p/A.java": "package p;\nimport q.B;\nclass A { B b; }\n", "build/q/B.java": "package q;\nclass B {}\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    chunks = registry.chunk_folder(spark, str(tmp_path), registry.java_registry("q"))
+    got = {r["id"]: r["content"] for r in chunks.collect()}
+    assert "  * q.B\n" in got["p.A.dependencies"] and "q.B" not in got
+
+
+def test_sources_are_written_once(spark, tmp_path):
+    files = spark.createDataFrame([(f"/x/src/p/F{k}.java", f"text {k} \u00fc\n" * k) for k in range(20)] + [("/x/src/p/F1.java", "other"), ("/y/src/q/N.java", None)], "path string, content string").repartition(4)
+    root = f"file://{tmp_path}/out"
+    assert jsonl.unwritten(files, root).count() == 22 and jsonl.write_sources(files, root) == 21
+    assert jsonl.write_sources(files, root) == 0 and jsonl.unwritten(files, root).isEmpty()
+    assert (tmp_path / "out/src/p/F7.java").read_text() == "text 7 \u00fc\n" * 7 and (tmp_path / "out/src/q/N.java").read_text() == ""
+    assert not [p for p in (tmp_path / "out").rglob(".*") if not p.name.endswith(".crc")]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        numbering.shared_folder(Session)
+
+
+def test_many_prefetched_chunks_are_kept(spark):
+    embed = retrieval.hashing_embedder(16)
+    rows = [(f"c{k}", f"\nbody of {k}") for k in range(1200)]
+    chunks = spark.createDataFrame(rows, "id string, content string").select(*chunk_maps.chunk_columns(id=F.col("id"), part=F.lit(0), total=F.lit(1), size=F.lit(1), overlap=F.lit(0), content=F.col("content"), metadata=F.create_map(F.lit("java_code_section"), F.lit("classFrame"))))
+    store = retrieval.embedded(chunks, embed).drop("embed_error").cache()
+    text = prompt.enrich(spark, store, "body of 7", embed, template="{}|{}", prefetched=store.select("id"))
+    assert text.count("## Hier ein Rumpf der Klasse") > 500 and len(text) > 50_000
