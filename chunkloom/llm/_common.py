@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 _U64 = np.uint64
 
@@ -20,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder of ``spark.checkpoint.dir`` and cut its lineage.
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files and checkpoints of frames that are no longer referred to."""
     gc.collect()
@@ -183,7 +173,9 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "row") -> DataFram
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    order = (*order, "__own")
+    rows = df.withColumn("__own", F.monotonically_increasing_id())  # equal rows may lie in several partitions
+    rows = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__own"))
     at = F.monotonically_increasing_id()
     rows = rows.select("*", F.shiftright(at, 33).alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
     counts = {r["__part"]: r["c"] for r in rows.groupBy("__part").agg(F.count("*").alias("c")).collect()}

@@ -7,25 +7,29 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import checkpointed, table
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row of ``docs``.
+def shard_by_bytes(docs: DataFrame, shards: int = 16, whole: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row of ``docs``, and with ``whole`` the row itself as a struct ``doc``.
 
     Rows are ordered by doc_id (null first), then by checksum and size; a row's size is its text's UTF-8
     bytes (null: none) plus 1. Each partition's total gives its first byte's place; a row goes to
     the shard in which its middle byte lies when all bytes are cut at equal targets, so a shard
     differs from its target by one row at most. slot counts a shard's rows from 0. Rows that repeat
-    are all kept; other columns are ignored; an empty table gives an empty result.
+    are all kept, each with its own slot, and may lie in several partitions; other columns are ignored; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    order = ("doc_id", "text_crc32", "size")
-    rows = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *kept)
+    order = ("doc_id", "text_crc32", "size", "own")
+    rows = rows.withColumn("own", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.drop("own"))
     totals = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("size").alias("bytes")).collect()
     before, total = {}, 0
     for part, size in sorted((r["part"], r["bytes"]) for r in totals):
@@ -50,7 +54,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     firsts: dict[int, dict[int, int]] = {}
     seen = [0] * shards
-    for r in sorted(rows.mapInArrow(count, "part int, shard int, n long").collect()):
+    for r in sorted(rows.select("doc_id", "size").mapInArrow(count, "part int, shard int, n long").collect()):
         firsts.setdefault(r["part"], {})[r["shard"]] = seen[r["shard"]]
         seen[r["shard"]] += r["n"]
 
@@ -64,15 +68,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
                 used[shard] += int(here.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(slots)], [*batch.schema.names, "shard", "slot"])
 
-    return rows.mapInArrow(assign, "doc_id long, size long, text_crc32 long, shard int, slot long")
+    return rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write ``docs`` to ``path``, one folder for each shard, rows in order of their slots within a file."""
-    placed = shard_by_bytes(docs, shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("__crc", crc).alias("d").join(placed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("__crc") == F.col("p.text_crc32")))
-    rows = rows.select(*(F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")), "p.shard", "p.slot")
+    """Write ``docs`` to ``path``, one folder for each shard, rows in order of their slots within a file.
+
+    The columns shard and slot are the new ones; columns of ``docs`` with these names are left out.
+    """
+    placed = shard_by_bytes(docs, shards, whole=True)
+    rows = placed.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
     rows.repartition("shard", F.shiftright("slot", 20)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

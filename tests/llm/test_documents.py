@@ -68,6 +68,16 @@ def test_written_shards(spark, hard, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == len(HARD)
 
 
+def test_written_rows_that_repeat_have_slots_of_their_own(spark, tmp_path):
+    rows = [(1, "same text")] * 300 + [(None, None)] * 200 + [(k, "x" * (k % 50)) for k in range(2, 100)]
+    sharding.write_shards(docs_of(spark, rows), f"file://{tmp_path}/out", 4)
+    got = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(rows)
+    for shard in range(4):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own))) and own
+
+
 def test_numbers(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"))
     assert [r["row"] for r in numbered(df, "k").orderBy("k").collect()] == list(range(500))
