@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import checkpointed
 
+#: Bytes of text that a model is fitted on, at most.
+SAMPLE_BYTES = 1 << 26
 WORD = r"[^\x20\x09-\x0D]+"
 _U64 = np.uint64
 
@@ -207,6 +209,21 @@ def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.join(F.broadcast(least_hashed(ids, n, seed, key)), key)
 
 
+def sample_table(rows: DataFrame, most: int = SAMPLE_BYTES) -> pa.Table:
+    """A bounded number of ``rows`` (doc_id, text, ...), one for a doc_id at most, on the driver, in order of doc_id.
+
+    In the order of a hash of doc_id, texts that would exceed ``most`` bytes together are left out.
+    """
+    rows = checkpointed(rows)
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    kept, left = [], most
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left:
+            kept.append(r["doc_id"])
+            left -= r["n"]
+    return (rows if len(kept) == len(sizes) else rows.filter(F.col("doc_id").isin(kept))).toArrow().sort_by("doc_id")
+
+
 def sliced(texts: pa.Array, most: int = 1 << 20):
     """(first row, texts) of slices of about ``most`` bytes."""
     for row, data, offsets in text_slices(texts, most):

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, frugal, sliced, small_batches, table, text_column
+from ._common import checkpointed, frugal, sample_table, sliced, small_batches, table, text_column
 from ._words import sentence_words, word_features
 
 BITS, GRAMS = 16, (2, 3, 4)
@@ -26,15 +26,15 @@ EACH = 50
 SMOOTHING = 5.0
 #: Copies of the host table against hot hosts.
 SALTS = 16
-#: Text evidence counts as so many words at most.
-MOST_WORDS = 60.0
+#: A text's evidence is tempered: all its words are read, and their mean counts as that of so many words at most, since words of one text are not independent.
+EVIDENCE = 60.0
 
 
 class TextModel:
     """Log-probabilities of hashed features of words by language."""
 
-    def __init__(self, languages: list[str], texts: list[str], labels: list[str]):
-        self.languages = languages
+    def __init__(self, languages: list[str], texts: list[str], labels: list[str], evidence: float = EVIDENCE):
+        self.languages, self.evidence = languages, evidence
         counts = np.full((len(languages), 1 << BITS), 0.1)
         rows = np.array([languages.index(x) for x in labels], np.int64)
         for start, part in sliced(pa.array(texts, pa.large_string())):
@@ -55,14 +55,17 @@ class TextModel:
             n = np.maximum(np.bincount(text, minlength=len(part)), 1)
             for k in range(len(self.languages)):
                 own = np.bincount(word, weights=self.table[feature, k], minlength=len(words)) / features
-                out[start : start + len(part), k] = np.bincount(text, weights=own[codes], minlength=len(part)) * (np.minimum(n, MOST_WORDS) / n)
+                out[start : start + len(part), k] = np.bincount(text, weights=own[codes], minlength=len(part)) * (np.minimum(n, self.evidence) / n)
         out -= out.max(axis=1, keepdims=True)
         p = np.exp(out)
         return p / p.sum(axis=1, keepdims=True)
 
 
 def text_model(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """A model of every language that a document has; each is counted on an even part of ``sample``, but EACH documents at least."""
+    """A model of every language that a document has; each is counted on an even part of ``sample``, but EACH documents at least.
+
+    ``sample`` and SAMPLE_BYTES bound only what the model is counted on; a doc_id is taken once.
+    """
     known = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", text_column().alias("text"))
     most = min(1000, max(EACH, sample // max(1, known.select("lang").distinct().count())))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id"))
@@ -70,8 +73,10 @@ def text_model(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     # of a large language, only about four times as many as are drawn are ranked
     thin = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(4 * most) * F.lit(float(1 << 30))
     ids = ids.join(F.broadcast(counts), "lang").filter(thin).select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).toPandas().sort_values("doc_id")
-    return TextModel(sorted(rows["lang"].unique()), rows["text"].tolist(), rows["lang"].tolist())
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    rows = sample_table(rows.select("doc_id", "row.lang", "row.text"))
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    return TextModel(languages, rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drawn, frugal, sliced, small_batches, table, text_column
+from ._common import drawn, frugal, sample_table, sliced, small_batches, table, text_column
 from ._words import word_features
 
 BITS, GRAMS = 16, (2, 3)
@@ -35,6 +35,8 @@ HEURISTICS = (
     ("letters", "<", 0.75, ">", 0.85),
     ("endings", ">", 0.3, "<", 0.1),
 )
+#: Edges of the steps in which the scorer sees shares of words.
+STEPS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 #: Shorter documents get no votes.
 FEWEST_WORDS = 8
 
@@ -128,23 +130,35 @@ def posteriors(v: np.ndarray, share: float, rates: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
+def _steps(words: pa.Array, codes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Each text's two steps, as places behind the hashed features: of the share of repeated words, and of distinct ones."""
+    n = np.bincount(text, minlength=texts)
+    over = np.maximum(n, 1)
+    repeats = np.bincount(text[_repeats(codes, text)], minlength=texts) / over
+    pairs = np.unique(text * (len(words) + 1) + codes)
+    distinct = np.bincount(pairs // (len(words) + 1), minlength=texts) / over ** np.where(n > 400, 0.85, 1.0)
+    return (1 << BITS) + np.stack([np.searchsorted(STEPS, repeats), len(STEPS) + 1 + np.searchsorted(STEPS, distinct)])
+
+
 def fit(texts: list[str], targets: np.ndarray, rounds: int = 120, rate: float = 0.3, penalty: float = 1e-4) -> np.ndarray:
-    """Weights of the hashed features, of repeated words and the bias, by Adam on soft labels."""
-    weights = np.zeros((1 << BITS) + 2)
+    """Weights of the hashed features, of the steps of repeated and distinct words and the bias, by Adam on soft labels."""
+    weights = np.zeros((1 << BITS) + 2 * (len(STEPS) + 1) + 1)
     if not len(texts):
         return weights
     words, codes, text = _split(pa.array(texts, pa.large_string()))
     feature, word = word_features(words, BITS, GRAMS)
     over = np.maximum(np.bincount(text, minlength=len(texts)), 1)
-    repeats = np.bincount(text[_repeats(codes, text)], minlength=len(texts)) / over
+    steps = _steps(words, codes, text, len(texts))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     balance = np.where(targets > 0.5, 0.5 / max(targets.sum(), 1e-9), 0.5 / max((1 - targets).sum(), 1e-9))
     for t in range(1, rounds + 1):
         own = np.bincount(word, weights=weights[feature], minlength=len(words))
-        z = np.bincount(text, weights=own[codes], minlength=len(texts)) / over + weights[-2] * repeats + weights[-1]
+        z = np.bincount(text, weights=own[codes], minlength=len(texts)) / over + weights[steps].sum(axis=0) + weights[-1]
         slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets) * balance
         by_word = np.bincount(codes, weights=(slope / over)[text], minlength=len(words))
-        grad = np.concatenate((np.bincount(feature, weights=by_word[word], minlength=1 << BITS), [(slope * repeats).sum(), slope.sum()])) + penalty * weights / len(weights)
+        grad = np.bincount(np.concatenate((feature, *steps)), weights=np.concatenate((by_word[word], slope, slope)), minlength=len(weights))
+        grad[-1] = slope.sum()
+        grad += penalty * weights / len(weights)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         weights = weights - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
     return weights
@@ -168,10 +182,11 @@ def vote_patterns(docs: DataFrame) -> dict[int, int]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The scorer's weights: vote patterns are counted over all documents; ``sample`` (and SAMPLE_BYTES) bound only what the scorer is fitted on."""
     counts = vote_patterns(docs)
     share, rates = estimate(counts, len(HEURISTICS)) if counts else (0.5, np.full((2, len(HEURISTICS), 3), 1 / 3))
-    rows = drawn(docs.select("doc_id", text_column().alias("text")), "doc_id", sample, 23).toPandas().sort_values("doc_id")
-    texts = rows["text"].tolist()
+    rows = drawn(docs.select("doc_id", text_column().alias("text")), "doc_id", sample, 23).groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = sample_table(rows).column("text").to_pylist()
     return fit(texts, posteriors(votes(pa.array(texts, pa.large_string())) + 1, share, rates) if texts else np.zeros(0))
 
 
@@ -193,8 +208,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
                 feature, word = word_features(words, BITS, GRAMS)
                 own = np.bincount(word, weights=weights[feature], minlength=len(words))
                 over = np.maximum(np.bincount(text, minlength=len(part)), 1)
-                repeats = np.bincount(text[_repeats(codes, text)], minlength=len(part)) / over
-                z = np.bincount(text, weights=own[codes], minlength=len(part)) / over + weights[-2] * repeats + weights[-1]
+                z = np.bincount(text, weights=own[codes], minlength=len(part)) / over + weights[_steps(words, codes, text, len(part))].sum(axis=0) + weights[-1]
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["doc_id", "score"])
 

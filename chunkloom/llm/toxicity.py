@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import frugal, least_hashed, sliced, small_batches, table, text_column
+from ._common import frugal, least_hashed, sample_table, sliced, small_batches, table, text_column
 from ._words import SENTENCE_END, sentence_words, word_features
 
 #: Hash bits of the features.
@@ -106,8 +106,8 @@ def held_out(name: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """A model from the labelled documents that are not held out; labels are used for nothing else."""
-    rows = training_rows(docs, labels, "toxic", sample).toArrow().sort_by("doc_id")
+    """A model from at most ``sample`` labelled documents, of SAMPLE_BYTES at most, that are not held out; labels are used for nothing else."""
+    rows = sample_table(training_rows(docs, labels, "toxic", sample))
     return fit(rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("__label").to_numpy())
 
 

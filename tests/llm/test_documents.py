@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm import language, mixing, ngram_join, packing, pii, quality, sharding, toxicity
 from chunkloom.llm._bpe import WordEncoder
-from chunkloom.llm._common import components, numbered
+from chunkloom.llm._common import components, numbered, sample_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score int, n int, shard string, __copies int"
 
@@ -621,6 +621,14 @@ def test_noisy_or_and_labels(spark):
     assert max(scores) < 0.01
 
 
+def test_samples_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(k, "x" * (k * 10), k) for k in range(100)], "doc_id long, text string, extra int")
+    table = sample_table(rows, 5000)
+    sizes = [len(x) for x in table.column("text").to_pylist()]
+    assert 4000 < sum(sizes) <= 5000 and table.column("doc_id").to_pylist() == sorted(table.column("doc_id").to_pylist())
+    assert sample_table(rows).num_rows == 100 and sample_table(rows.limit(0)).num_rows == 0
+
+
 # --- quality
 
 
@@ -636,6 +644,14 @@ def test_estimated_accuracies():
     assert abs(share - 0.7) < 0.05 and np.abs(got - accuracy).max() < 0.05
 
 
+def test_repeated_words_are_bad(spark):
+    rng = random.Random(15)
+    rows = [(k, ". ".join(words(rng, 10, 900).capitalize() for _ in range(5)) + ".") for k in range(500)]
+    rows += [(500 + k, " ".join(f"w{rng.randrange(900)} " * 15 for _ in range(6))) for k in range(60)]
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs_of(spark, rows)).collect()}
+    assert sum(got[k] >= 0.5 for k in range(500)) > 490 and sum(got[k] < 0.5 for k in range(500, 560)) > 57
+
+
 def test_quality(spark, hard, empty):
     rng = random.Random(14)
     rows, good = [], {}
