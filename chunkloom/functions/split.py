@@ -36,17 +36,15 @@ def split_content(df: DataFrame, content: str | Column, size: int, overlap: int,
     total = F.when(alone, 1).otherwise(F.ceil(F.length("__text") / (F.col("__window") - overlap)).cast("int"))
     bodies = F.transform(F.sequence(F.lit(0), F.col("total") - 1), lambda i: F.substring(F.col("__text"), i * (F.col("__window") - overlap) + 1, F.col("__window")))
     df = df.withColumns({"total": total, "__alone": alone}).withColumn("__bodies", bodies).withColumn("__breaks", F.transform("__bodies", lambda b: count_of(b, "\n")))
-    # all that a part needs stands in its own struct, so that no row after the explosion carries the whole text
-    breaks = F.col("__breaks")
-    parts = F.transform("__bodies", lambda b, i: F.struct(b.alias("body"), (F.col("__first") + F.aggregate(F.slice(breaks, 1, i), F.lit(0), lambda s, x: s + x)).alias("start"), F.element_at(breaks, i + 1).alias("breaks")))
-    df = df.withColumn("__parts", parts).drop("__text", "__window", "__first", "__bodies", "__breaks")
-    df = df.select("*", F.posexplode("__parts").alias("part", "__part")).drop("__parts")
-    start, own = F.col("__part.start"), F.col("__part.breaks")
+    # rows after the explosion carry the numbers of line breaks, but neither the text nor the other parts
+    df = df.select("*", F.posexplode("__bodies").alias("part", "__body")).drop("__bodies", "__text", "__window")
+    start = F.col("__first") + F.aggregate(F.slice("__breaks", 1, F.col("part")), F.lit(0), lambda s, x: s + x)
+    own = F.element_at("__breaks", F.col("part") + 1)
     end = F.concat(start.cast("string"), own.cast("string")) if compat_lines else (start + own).cast("string")
-    content_column = F.concat("__prefix", F.lit("\n"), "__part.body")
+    content_column = F.concat("__prefix", F.lit("\n"), "__body")
     single = (F.col("total") == 1) & F.col("__alone")
     out = {"content": content_column, "size": F.length(content_column), "overlap": F.when(single, 0).otherwise(overlap), "fromLine": start.cast("string"), "toLine": F.when(single, F.col("__last")).otherwise(end)}
-    return df.withColumns(out).drop("__prefix", "__last", "__alone", "__part")
+    return df.withColumns(out).drop("__prefix", "__first", "__last", "__alone", "__breaks", "__body")
 
 
 def _joined(parts: Column) -> Column:
