@@ -209,7 +209,7 @@ _ENDING = "CASE lang WHEN 'en' THEN '.xml' WHEN 'de' THEN '.html' WHEN 'fr' THEN
 ORACLE_SQL = {
     "answered_stream": rf"SELECT value, md5('{_QUOTED['role']}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || '-' || chr(10) || chr(10) || 'FRAGE: ' || value || chr(10) || chr(10)) AS prompt_md5 FROM (SELECT regexp_replace(text, '\s+', ' ', 'g') AS value FROM conversations WHERE role = 'user' AND regexp_matches(text, '\S') AND lower(trim(text)) <> 'exit')",
     "question_prompt": f"WITH {_FOUND} SELECT * FROM {_prompt_sql('context', 20, 0.75, '', _QUOTED['role'])} UNION ALL SELECT * FROM {_prompt_sql('ask', 8, 0.85, 'UNION SELECT 2, 2', _QUOTED['role'] + _QUOTED['why'])} UNION ALL SELECT 'blank', '{_QUOTED['none']}'",
-    "folder_chunks": f"""WITH {CHUNKS_SQL}, f AS (SELECT * FROM chunks WHERE source <> 'src1' AND lang IN ('en', 'de') AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels))
+    "folder_chunks": f"""WITH {CHUNKS_SQL}, f AS (SELECT * FROM chunks WHERE source <> 'src1' AND lang IN ('en', 'de') AND body <> '' AND doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT doc_id || {_ENDING} AS id, 'parts' AS kind, part, total, size, md5(content) AS content_md5 FROM f
 UNION ALL SELECT doc_id || '.html', 'whole', 0, 1, CAST(length(coalesce(text, '')) AS INT), md5(coalesce(text, '')) FROM documents WHERE source <> 'src1' AND lang = 'de' AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT r_name, 'after', 0, 1, 0, md5('') FROM region""",
