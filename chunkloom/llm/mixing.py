@@ -135,7 +135,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text_column().cast("binary")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key.alias("key"), size.alias("size"), hashed.alias("hash"))
     rows = rows.withColumn("group", F.shiftrightunsigned("hash", 64 - (GROUPS - 1).bit_length()).cast("int"))
-    counts = checkpointed(rows.groupBy("key", "size", "group").agg(F.count("*").alias("n")))
+    # texts are read here, and once more for the result
+    sized = checkpointed(rows.select("key", "size", "group", "hash"))
+    counts = checkpointed(sized.groupBy("key", "size", "group").agg(F.count("*").alias("n")))
     lengths = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     sources = numbered(sources.withColumn("last", (F.col("key") == "").cast("int")), "last", "key")
@@ -154,7 +156,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edges = counts.withColumn("before", earlier).join(plan, ["key", "size"]).filter((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
     edges = checkpointed(edges.select("key", "size", "group", (F.col("extra") - F.col("before")).alias("take")))
-    at_edge = rows.select("key", "size", "group", "hash").join(_small(edges), ["key", "size", "group"]).groupBy("key", "size", "group", "take", "hash").agg(F.count("*").alias("alike"))
+    at_edge = sized.join(_small(edges), ["key", "size", "group"]).groupBy("key", "size", "group", "take", "hash").agg(F.count("*").alias("alike"))
     up_to = F.sum("alike").over(Window.partitionBy("key", "size").orderBy("hash"))
     last = at_edge.withColumn("up_to", up_to).filter((F.col("up_to") - F.col("alike") < F.col("take")) & (F.col("take") <= F.col("up_to")))
     last = last.select("key", "size", F.col("group").alias("last_group"), F.col("hash").alias("last_hash"), F.when(F.col("take") < F.col("up_to"), F.col("take") - F.col("up_to") + F.col("alike")).alias("tied"))
