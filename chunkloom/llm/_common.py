@@ -228,3 +228,25 @@ def sliced(texts: pa.Array, most: int = 1 << 20):
     """(first row, texts) of slices of about ``most`` bytes."""
     for row, data, offsets in text_slices(texts, most):
         yield row, pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string as it is; null counts as empty."""
+    strings = strings.cast(pa.large_string()).fill_null("")
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    powers, inverse = _powers_to(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * powers[: len(data)], out=sums[1:])
+    return mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + _U64(1))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting: for many values faster than np.unique's hashing."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return values[first]

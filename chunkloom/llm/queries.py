@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op1_inner_product_search
+from .divergence import op12_source_divergence
 from .embedding_dedup import op7_embedding_near_dedup
 from .language import op10_page_language
+from .lexical_search import op13_lexical_search
+from .line_dedup import op11_line_dedup
 from .mixing import op9_source_mixing
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_sharding,
         op9_source_mixing,
         op10_page_language,
+        op11_line_dedup,
+        op12_source_divergence,
+        op13_lexical_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -60,4 +66,27 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label
 r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
 c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id), d AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v LEFT JOIN d USING (vec_id) JOIN c USING (vec_id)""",
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) <> max(doc_id)),
+d AS (SELECT k.*, f.first IS NOT NULL AND f.first <> k.doc_id AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+w AS (SELECT d, lang, source, unnest(t) AS term FROM d), v AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN v USING (lang, term) GROUP BY ALL), s AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT d.lang, d.source, coalesce(s.n, 0) AS n FROM d LEFT JOIN s USING (lang, source)),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5) // (g.n + 5 * l.v) AS BIGINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (v.c + 5) // (l.n + 5 * l.v) AS BIGINT) AS q FROM g JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS o, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x ON x.lang = a.lang AND x.s = a.source AND x.o = b.source
+UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_lexical_search": r"""
+WITH t AS (SELECT d, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS d FROM documents)),
+f AS (SELECT d, doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT d, count(*) AS n FROM t GROUP BY d), a AS (SELECT count(DISTINCT d) AS n, count(*) AS l FROM t),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * a.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, a.n),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT q.item_id, f.d, f.doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n.n * a.n) // a.l)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (d), a GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
 }
