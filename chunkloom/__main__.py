@@ -51,6 +51,7 @@ def main(arguments: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     from .operators import prompt, retrieval
+    from .operators.store import ChunkStore
     from .registry import chunk_folder, java_registry
     from .sources import files, jsonl
 
@@ -64,7 +65,7 @@ def main(arguments: list[str] | None = None) -> None:
             for row in jsonl.to_lines(chunks).toLocalIterator():
                 sys.stdout.write(row["value"] + "\n")
         return
-    embedder, store = _named(given.embedder, retrieval.hashing_embedder()), retrieval.ChunkStore(spark, given.store)
+    embedder, store = _named(given.embedder, retrieval.hashing_embedder()), ChunkStore(spark, given.store)
     if given.command == "embed":
         if given.reset:
             store.reset()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,23 +26,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_numbers(df: DataFrame, *order: str | Column, name: str = "row") -> DataFrame:
-    """Adds each row's place, from 0, in the order of ``order``.
+def _ordered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` in the order of ``order``, range-partitioned, sorted and checkpointed, with each row's __partition and __place there.
 
-    Rows are range-partitioned and sorted; only one count for each partition reaches the driver.
+    Rows that are equal in ``order`` are told apart by where they were, so that many of them spread over partitions.
     """
-    spark = df.sparkSession
-    rows = checkpointed(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order))
+    order = (*order, "__own")
+    rows = df.withColumn("__own", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
-    rows = rows.select("*", F.shiftright(place, 33).alias("__partition"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    return checkpointed(rows.drop("__own")).select("*", F.shiftright(place, 33).alias("__partition"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+
+
+def row_numbers(df: DataFrame, *order: str | Column, name: str = "row") -> DataFrame:
+    """Adds each row's place, from 0, in the order of ``order``; only one count for each partition reaches the driver."""
+    rows = _ordered(df, *order)
     firsts, total = [], 0
     for r in sorted(rows.groupBy("__partition").agg(F.count("*").alias("n")).collect()):
         firsts.append((r["__partition"], total))
         total += r["n"]
-    starts = spark.createDataFrame(firsts, "__partition long, __first long")
+    starts = df.sparkSession.createDataFrame(firsts, "__partition long, __first long")
     return rows.join(F.broadcast(starts), "__partition").withColumn(name, F.col("__first") + F.col("__place")).drop("__partition", "__place", "__first")
 
 
+def until(df: DataFrame, amount: Column, most: int, *order: str | Column) -> DataFrame:
+    """The rows of ``df``, in the order of ``order``, up to and with the first that makes the sum of ``amount`` (0 or more) exceed ``most``.
+
+    One sum for each partition reaches the driver; running sums are taken only within the one partition at which the sum passes ``most``.
+    """
+    rows = _ordered(df.withColumn("__amount", F.coalesce(amount.cast("long"), F.lit(0).cast("long"))), *order)
+    whole, total, passing = -1, 0, -1
+    for r in sorted(rows.groupBy("__partition").agg(F.sum("__amount").alias("n")).collect()):
+        if total + r["n"] > most:
+            passing = r["__partition"]
+            break
+        whole, total = r["__partition"], total + r["n"]
+    before = Window.partitionBy("__partition").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    part = rows.filter(F.col("__partition") == passing).withColumn("__before", F.coalesce(F.sum("__amount").over(before), F.lit(0)) + total)
+    kept = rows.filter(F.col("__partition") <= whole).unionByName(part.filter(F.col("__before") <= most).drop("__before"))
+    return kept.select(*df.columns)
+
+
 def batches(df: DataFrame, size: int, *order: str | Column, name: str = "batch") -> DataFrame:
     """Adds the number of the batch of ``size`` rows to which each row belongs."""
     return row_numbers(df, *order, name="__row").withColumn(name, F.floor(F.col("__row") / size)).drop("__row")

@@ -1,4 +1,4 @@
-"""A store of embedded chunks: incremental embedding, lookups, similarity search and its relaxation."""
+"""Embedded chunks: incremental embedding, lookups, similarity search and its relaxation."""
 
 from __future__ import annotations
 
@@ -8,19 +8,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import dot, has_text, norm
 from ..schema import CHUNK_COLUMNS
+from . import vector_search
 
 #: An embedder: texts -> one vector each. Called in the executors, on batches.
 Embedder = Callable[[list[str]], list[list[float]]]
 #: Rows that one call of an embedder gets.
 BATCH = 50
-#: Query vectors broadcast at once; more are taken in turns.
-QUERY_BLOCK = 1000
 
 # How a search without valid result is relaxed, and where searches start.
 WIDER, MOST_RESULTS, LOWER, LEAST_SCORE = 2, 16, 0.05, 0.5
@@ -67,42 +66,6 @@ def embedded(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, column:
     return chunks.mapInPandas(run, schema)
 
 
-class ChunkStore:
-    """Chunks with their embeddings in a folder of Parquet files."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if self.exists() else None
-
-    def add(self, chunks: DataFrame, embedder: Embedder, batch: int = BATCH) -> None:
-        """Embed and append what is new; rows that failed are left for the next time."""
-        rows = embedded(new_chunks(chunks, self.read()), embedder, batch)
-        rows.filter("embedding is not null").drop("embed_error").write.mode("append").parquet(self.path)
-
-    def reset(self) -> None:
-        rows = self.read()
-        if rows is not None:
-            self.spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(self.path)
-
-    def find_by_id(self, chunk_id: str) -> DataFrame:
-        return find_by_id(self.read(), chunk_id)
-
-    def find_by_metadata(self, wanted: dict[str, str]) -> DataFrame:
-        return find_by_metadata(self.read(), wanted)
-
-    def find_relevant(self, question: str, embedder: Embedder, k: int, min_score: float) -> DataFrame:
-        rows = self.read()
-        if not question.strip():
-            return rows.withColumn("score", F.lit(0.0)).limit(0)
-        return similar(rows, embedder([question])[0], k, min_score)
-
-
 def find_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
     return chunks.filter(F.col("id") == chunk_id)
 
@@ -122,25 +85,9 @@ def similar(vectors: DataFrame, query: list[float], k: int, min_score: float, ke
     return vectors.withColumn("score", score).filter(F.col("score") >= min_score).orderBy(F.desc("score"), key).limit(k)
 
 
-def similar_per_query(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, key: str = "id", digits: int = 6) -> DataFrame:
-    """(query_id, key, score, rank) for each of ``queries`` (query_id, embedding).
-
-    The queries are a stated set against all rows: they are broadcast in blocks of QUERY_BLOCK, and each
-    row of ``vectors`` meets each once. Partial ranking within partitions comes before the shuffle.
-    """
-    out = None
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        own = own.select("query_id", F.col("embedding").cast("array<double>").alias("__q"), norm(F.col("embedding")).alias("__n"))
-        rows = vectors.select(key, F.col("embedding").cast("array<double>").alias("__v"), norm(F.col("embedding")).alias("__m"))
-        pairs = rows.join(F.broadcast(own), F.lit(True))
-        pairs = pairs.select("query_id", key, F.round((1 + dot(F.col("__v"), F.col("__q")) / (F.col("__m") * F.col("__n"))) / 2, digits).alias("score")).filter(F.col("score") >= min_score)
-        out = pairs if out is None else out.unionByName(pairs)
-    if out is None:
-        out = vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+def similar_per_query(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, key: str = "id", digits: int | None = None) -> DataFrame:
+    """(query_id, key, score, rank) for each of ``queries`` (query_id, embedding): ``similar`` for all of them in one pass."""
+    return vector_search.nearest(vectors, queries, k, min_score, key, digits)
 
 
 def ladder(max_result: int, min_score: float) -> list[tuple[int, int, float]]:

@@ -12,6 +12,8 @@ from ..functions.split import split_content
 from ..operators import prompt, retrieval
 from ..operators.chunk_maps import chunk_columns
 from ..operators.numbering import shared_folder
+from ..operators.store import ChunkStore
+from ..operators.vector_search import VectorStore
 from ..registry import Registry, chunk_folder
 from ..schema import SECTION_KEY
 from ..sources.jsonl import to_lines, unwritten, write_sources
@@ -20,6 +22,8 @@ from .common import CHUNKS_SQL, document_chunks, table
 
 DIGITS = 6
 QUESTION = "Was ist ein Vektor?"
+#: Characters of a context, so that the budget ends some.
+SMALL_BUDGET = 700
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +98,7 @@ def incremental_embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk lines through a stream into a store, twice; the second run finds nothing new."""
     folder = _folders(spark)
     to_lines(document_chunks(spark, sf_dir)).write.text(f"{folder}/lines")
-    store = retrieval.ChunkStore(spark, f"{folder}/store")
+    store = ChunkStore(spark, f"{folder}/store")
     for run in (1, 2):
         streams.embed_incrementally(streams.chunk_lines(spark, f"{folder}/lines"), store, retrieval.hashing_embedder(16), f"{folder}/state{run}").awaitTermination()
     return store.read().select("id", "part", F.md5("content").alias("content_md5"))
@@ -111,16 +115,60 @@ def prompt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("value string, chars int").parquet(f"{folder}/out")
 
 
+def _code_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a stored chunk, eight to a class: the class, two methods, a doc of the second, a report, imports, another class and a chunk of no section."""
+    kind, base = F.col("vec_id") % 8, F.col("vec_id") - F.col("vec_id") % 8
+    own, n = F.concat(F.lit("vec"), base.cast("string")), F.col("vec_id").cast("string")
+
+    def chosen(*values):
+        out = F.when(kind == 0, values[0])
+        for k, v in enumerate(values[1:], 1):
+            out = out.when(kind == k, v)
+        return out
+
+    def of_class(name):
+        return F.concat(own, F.lit(name))
+
+    lone, none = F.concat(F.lit("vec"), n), F.lit(None).cast("string")
+    ids = chosen(own, of_class(".m1()"), of_class(".m2()"), of_class(".m2().javadoc"), of_class(".dependencies"), of_class(".imports"), lone, lone)
+    parents = chosen(none, own, own, of_class(".m2()"), own, own, none, none)
+    sections = chosen(*map(F.lit, ("classFrame", "method", "method", "methodDoc", "dependenciesInfo", "imports", "classFrame", "unknown")))
+    texts = chosen(*(F.concat(F.lit(f"\n{a}"), n, F.lit(b)) for a, b in (("Vektor ", " mit m1() und m2()"), ("Rumpf ", ""), ("Rumpf m2() ", ""), ("/** Doku ", " */ "), ("Bericht ", ""), ("import ", ""), ("Allein ", ""), ("Rest ", ""))))
+    given = {"part": F.lit(0), "total": F.lit(1), "overlap": F.lit(0), "size": F.length(texts), "content": texts, "metadata": F.create_map(F.lit(SECTION_KEY), sections)}
+    return table(spark, sf_dir, "embeddings").select(*chunk_columns(id=ids, parent=parents, **given), "embedding")
+
+
+def questions_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question, whose vector is a stored one: all enriched together, in a small budget."""
+    turns, vectors = table(spark, sf_dir, "conversations").filter("role = 'user'"), _vectors(spark, sf_dir)
+    total = vectors.agg(F.max("vec_id")).first()[0] + 1
+    asked = turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(total)).alias("vec_id"))
+    told = prompt.enrich_many(asked.join(vectors, "vec_id"), _code_vectors(spark, sf_dir), digits=DIGITS, budget=SMALL_BUDGET)
+    return told.select("question_id", F.md5("prompt").alias("prompt_md5"), "level", "trees")
+
+
+def _axis_of_length(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model: the axis that a text's length names."""
+    return [[float(len(t) % 64 == k) for k in range(64)] for t in texts]
+
+
 def answered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users' turns as a stream of prompts, each filled into the frame of a question without context."""
+    """The users' turns as a stream of prompts, each enriched with what is found for it."""
     folder = _folders(spark)
     table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.regexp_replace("text", r"\s+", " ").alias("value")).write.text(f"{folder}/prompts")
+    lines = spark.readStream.text(f"{folder}/prompts")
+    streams.enrich_batches(lines, _code_vectors(spark, sf_dir), _axis_of_length, f"{folder}/out", f"{folder}/state", digits=DIGITS, budget=SMALL_BUDGET).awaitTermination()
+    rows = spark.read.schema("question string, prompt string, level int, trees long").parquet(f"{folder}/out")
+    return rows.select("question", F.md5("prompt").alias("prompt_md5"), "level", "trees")
 
-    def answer(rows: DataFrame) -> DataFrame:
-        return rows.select("value", F.md5(prompt.filled(prompt.CONTEXT_PROMPT, F.lit("-"), F.col("value"))).alias("prompt_md5"))
 
-    streams.answer_batches(spark.readStream.text(f"{folder}/prompts"), answer, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema("value string, prompt_md5 string").parquet(f"{folder}/out").select("value", "prompt_md5")
+def clustered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``similar_top_k_per_query`` from a store of clusters, of which only those folders are read that can hold them."""
+    store = VectorStore(spark, f"{_folders(spark)}/vectors", "vec_id")
+    vectors = _vectors(spark, sf_dir)
+    store.create(vectors.filter("vec_id % 3 > 0"))
+    store.add(vectors.filter("vec_id % 3 = 0"))
+    return store.search(_queries(vectors), 8, 0.55, DIGITS)
 
 
 def _vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +238,7 @@ def unwritten_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten(rows, root).select("doc_id", "path", F.lit(int(again)).alias("again"), F.lit(int(written)).alias("written"))
 
 
-QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, incremental_embed_stream, prompt_stream, answered_stream, question_prompt, folder_chunks, unwritten_sources)}
+QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, incremental_embed_stream, prompt_stream, answered_stream, questions_prompts, clustered_top_k, question_prompt, folder_chunks, unwritten_sources)}
 
 _PAIRS = f"p AS (SELECT q.vec_id AS query_id, v.vec_id, round((1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, {DIGITS}) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0)"
 _LADDER = "l(level, max_result, min_score) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({c!r} AS DOUBLE))" for a, b, c in retrieval.ladder(*retrieval.ASK_START)) + ")"
@@ -205,9 +253,39 @@ t AS (SELECT c, sum(CASE WHEN vec_id = c THEN 2 ELSE 5 END) AS rank, bool_or(vec
 SELECT '{kind}' AS kind, '{head}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || string_agg(chr(10) || chr(10) || '## Hier ein Rumpf der Klasse vec' || c || ':' || chr(10) || chr(10) || '```java' || chr(10) || 'Vektor ' || c || ' mit ' || CASE WHEN body THEN 'Rumpf ' || (c + 1) ELSE 'm' || (c + 1) || '()' END || chr(10) || '```' || chr(10), '' ORDER BY rank DESC, 'vec' || c) || chr(10) || chr(10) || 'FRAGE: {QUESTION}' || chr(10) || chr(10) AS prompt FROM t)"""
 
 
+_TURNS = r"a AS (SELECT row_number() OVER () AS q, value AS name, value AS text, list_transform(range(64), lambda k: CAST(length(value) % 64 = k AS DOUBLE)) AS v FROM (SELECT regexp_replace(text, '\s+', ' ', 'g') AS value FROM conversations WHERE role = 'user' AND regexp_matches(text, '\S') AND lower(trim(text)) <> 'exit'))"
+_ASKED = "a AS (SELECT row_number() OVER () AS q, conv_id || '/' || turn AS name, text, CAST(embedding AS DOUBLE[]) AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE role = 'user')"
+
+
+def _prompts_sql(questions: str) -> str:
+    """The prompts of many questions over the classes of ``_code_vectors``: the first level of the ladder that finds a tree of rank over 0."""
+    steps = ", ".join(f"({a}, {b}, CAST({c!r} AS DOUBLE))" for a, b, c in retrieval.ladder(*retrieval.CONTEXT_START))
+    name = "question" if questions is _TURNS else "question_id"
+
+    def before(text: str, mark: str, more: str) -> str:
+        return f"CASE WHEN instr({text}, '{mark}') > 0 THEN substr({text}, 1, instr({text}, '{mark}') - 1) || {more} || substr({text}, instr({text}, '{mark}')) ELSE {text} END"
+
+    return f"""{questions}, l(level, most, least) AS (VALUES {steps}),
+e AS (SELECT vec_id, vec_id % 8 AS k, vec_id - CASE WHEN vec_id % 8 < 6 THEN vec_id % 8 ELSE 0 END AS c, 'vec' || CASE WHEN vec_id % 8 < 6 THEN vec_id - vec_id % 8 ELSE vec_id END || CASE vec_id % 8 WHEN 1 THEN '.m1()' WHEN 2 THEN '.m2()' WHEN 3 THEN '.m2().javadoc' WHEN 4 THEN '.dependencies' WHEN 5 THEN '.imports' ELSE '' END AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.q, e.k, e.c, e.id, round((1 + list_cosine_similarity(e.v, a.v)) / 2, {DIGITS}) AS score FROM a JOIN e ON regexp_matches(a.text, '\\S')),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS nr FROM s),
+t AS (SELECT q, level, c, max(k) AS last, sum(CASE k WHEN 0 THEN 2 WHEN 6 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 5 THEN 1 ELSE 0 END) AS rank, bool_or(k = 1) AS m1, bool_or(k IN (2, 3)) AS m2, bool_or(k = 3) AS doc, bool_or(k = 4) AS report FROM r JOIN l ON nr <= most AND score >= least GROUP BY ALL),
+b AS (SELECT *, chr(10) || chr(10) || '## Hier ein Rumpf der Klasse vec' || c || ':' || chr(10) || chr(10) || '```java' || chr(10) || CASE WHEN last = 6 THEN 'Allein ' || c ELSE 'Vektor ' || c || ' mit m1() und m2()' END || chr(10) || '```' || chr(10)
+  || CASE WHEN c % 8 = 0 AND c + 4 IN (SELECT vec_id FROM e) THEN chr(10) || chr(10) || '### Hier noch Infos zu den Dependencies innerhalb des Projekts:' || chr(10) || chr(10) || 'Bericht ' || (c + 4) ELSE '' END || CASE WHEN report THEN 'Bericht ' || (c + 4) ELSE '' END AS x FROM t WHERE rank > 0 AND last <> 7),
+b1 AS (SELECT *, CASE WHEN m1 THEN replace(x, 'm1()', 'Rumpf ' || (c + 1)) ELSE x END AS x1 FROM b),
+b2 AS (SELECT *, CASE WHEN m2 AND c + 3 IN (SELECT vec_id FROM e) THEN {before('x1', 'm2()', "'/** Doku ' || (c + 3) || ' */ '")} ELSE x1 END AS x2 FROM b1),
+b3 AS (SELECT *, CASE WHEN m2 THEN replace(x2, 'm2()', 'Rumpf m2() ' || (c + 2)) ELSE x2 END AS x3 FROM b2),
+b4 AS (SELECT *, CASE WHEN doc THEN {before('x3', 'm2()', "'/** Doku ' || (c + 3) || ' */ '")} ELSE x3 END AS x4 FROM b3),
+w AS (SELECT *, coalesce(sum(length(x4)) OVER (PARTITION BY q, level ORDER BY rank DESC, 'vec' || c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM b4),
+o AS (SELECT q, level, string_agg(x4, '' ORDER BY rank DESC, 'vec' || c) AS context, count(*) AS trees FROM w WHERE spent <= {SMALL_BUDGET} GROUP BY q, level),
+p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY q ORDER BY level) = 1)
+SELECT a.name AS {name}, md5(CASE WHEN p.q IS NULL THEN '{_QUOTED['none']}' ELSE '{_QUOTED['role']}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || context || chr(10) || chr(10) || 'FRAGE: ' || a.text || chr(10) || chr(10) END) AS prompt_md5, CAST(level AS INT) AS level, trees FROM a LEFT JOIN p USING (q)"""
+
+
 _ENDING = "CASE lang WHEN 'en' THEN '.xml' WHEN 'de' THEN '.html' WHEN 'fr' THEN '.png' ELSE '.txt' END"
 ORACLE_SQL = {
-    "answered_stream": rf"SELECT value, md5('{_QUOTED['role']}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || '-' || chr(10) || chr(10) || 'FRAGE: ' || value || chr(10) || chr(10)) AS prompt_md5 FROM (SELECT regexp_replace(text, '\s+', ' ', 'g') AS value FROM conversations WHERE role = 'user' AND regexp_matches(text, '\S') AND lower(trim(text)) <> 'exit')",
+    "answered_stream": f"""WITH {_prompts_sql(_TURNS)}""",
+    "questions_prompts": f"""WITH {_prompts_sql(_ASKED)}""",
     "question_prompt": f"WITH {_FOUND} SELECT * FROM {_prompt_sql('context', 20, 0.75, '', _QUOTED['role'])} UNION ALL SELECT * FROM {_prompt_sql('ask', 8, 0.85, 'UNION SELECT 2, 2', _QUOTED['role'] + _QUOTED['why'])} UNION ALL SELECT 'blank', '{_QUOTED['none']}'",
     "folder_chunks": f"""WITH {CHUNKS_SQL}, f AS (SELECT * FROM chunks WHERE source <> 'src1' AND lang IN ('en', 'de') AND body <> '' AND doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT doc_id || {_ENDING} AS id, 'parts' AS kind, part, total, size, md5(content) AS content_md5 FROM f
@@ -216,6 +294,7 @@ UNION ALL SELECT r_name, 'after', 0, 1, 0, md5('') FROM region""",
     "unwritten_sources": f"SELECT doc_id, 'src/' || source || '/' || doc_id || {_ENDING} AS path, 0 AS again, CAST((SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS INT) AS written FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "similar_top_k": f"WITH {_PAIRS} SELECT vec_id, score FROM p WHERE query_id = 0 AND score >= 0.6 ORDER BY score DESC, vec_id LIMIT 10",
     "similar_top_k_per_query": f"WITH {_PAIRS} SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p WHERE score >= 0.55 QUALIFY rank <= 8",
+    "clustered_top_k": f"WITH {_PAIRS} SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p WHERE score >= 0.55 QUALIFY rank <= 8",
     "relaxation_ladder": f"""WITH {_PAIRS}, {_LADDER}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p),
 m AS (SELECT query_id, level, max_result, min_score, count(*) AS hits FROM s JOIN l ON rank <= max_result AND score >= min_score GROUP BY ALL HAVING count(*) >= 5)
 SELECT query_id, level, max_result, min_score, hits FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level) = 1""",

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import has_text
-from ..operators.retrieval import BATCH, ChunkStore, Embedder
+from ..operators import prompt
+from ..operators.numbering import checkpointed
+from ..operators.retrieval import BATCH, Embedder, embedded
+from ..operators.store import ChunkStore
 from ..sources.jsonl import decode
 
 
@@ -45,10 +48,26 @@ def answer_batches(lines: DataFrame, answer: Callable[[DataFrame], DataFrame], p
     return prompts(lines, column).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(availableNow=True).start()
 
 
+def enrich_batches(lines: DataFrame, store: DataFrame, embedder: Embedder, path: str, checkpoint: str, column: str = "value", **how) -> StreamingQuery:
+    """Write the enriched form of every prompt of a stream, (question, prompt, level, trees), with the chunks of ``store`` as context.
+
+    A batch's prompts are embedded in the executors and searched together; the same words asked twice in a batch are enriched once and
+    written twice. ``how`` goes to ``prompt.enrich_many``.
+    """
+
+    def answer(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy(F.col(column).alias("question_id")).agg(F.count("*").alias("times")).withColumn("question", F.col("question_id"))
+        asked = checkpointed(embedded(asked, embedder, column="question"))
+        told = prompt.enrich_many(asked, store, **how).join(asked.select("question_id", "times"), "question_id")
+        return told.select(F.col("question_id").alias("question"), "prompt", "level", "trees", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
+
+    return answer_batches(lines, answer, path, checkpoint, column)
+
+
 def answer_prompts(lines: DataFrame, enrich: Callable[[str], str], sink: Callable[[str, str], None], checkpoint: str, column: str = "value") -> StreamingQuery:
     """Call ``sink`` with each prompt and its enriched form, in order of arrival within a batch.
 
-    For a console: the driver handles one prompt after the other. See ``answer_batches`` for many.
+    For a console: the driver handles one prompt after the other. See ``enrich_batches`` for many.
     """
 
     def handle(rows: DataFrame, _: int) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chunkloom import registry
 from chunkloom.functions import scalars
+from chunkloom.operators.store import ChunkStore
 from chunkloom.operators import chunk_maps, forest, graph, numbering, prompt, retrieval, vetoes
 from chunkloom.operators.numbering import batches, row_numbers
 from chunkloom.sources import jsonl
@@ -59,7 +60,7 @@ def test_failed_batches_are_reported(spark):
 
 
 def test_store(spark, tmp_path):
-    store = retrieval.ChunkStore(spark, f"file://{tmp_path}/store")
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([("a", 0, "red apple"), ("b", 0, " \n"), ("c", 0, "green tree")], "id string, part int, content string")
     embed = retrieval.hashing_embedder(32)
     store.add(rows, embed)
