@@ -155,7 +155,7 @@ def top_ranked(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     state = state.withColumnsRenamed(value)
     code = F.hex(F.encode("item", "UTF-8"))
     open_ = state.filter("n > need").select(*keys, "threshold", "need", F.lit("").alias("prefix"))
-    closed = state.filter("n <= need").select(*keys, "threshold", F.lit(None).cast("string").alias("last"))
+    closed = state.filter("n <= need").select(*keys, "threshold", F.lit(None).cast("string").alias("last"), F.lit(0).alias("seen"))
     ties = rows.join(_small(open_.select(*keys, "threshold")), keys).filter("value = threshold").select(*keys, code.alias("code"))
     ties = checkpointed(ties)
     at = 0
@@ -166,12 +166,13 @@ def top_ranked(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
         digit = F.substring("code", at + 1, PLACES)
         found = checkpointed(_cut(inside.groupBy(*keys, "threshold", "prefix", "need", digit.alias("digit")).agg(F.count("*").alias("n")), keys, ["threshold", "prefix", "need"], F.col("digit")))
         prefix = F.concat("prefix", "digit")
-        closed = closed.unionByName(found.filter("n <= need").select(*keys, "threshold", prefix.alias("last")))
+        closed = closed.unionByName(found.filter("n <= need").select(*keys, "threshold", prefix.alias("last"), F.lit(at + PLACES).alias("seen")))
         open_ = found.filter("n > need").select(*keys, "threshold", "need", prefix.alias("prefix"))
         at += PLACES
     limits = sizes.select(*keys).join(checkpointed(closed), keys, "left")
     out = rows.join(_small(limits), keys)
-    tied = F.col("last").isNull() | (F.substring(code, F.lit(1), F.length("last")) <= F.col("last"))
+    # as many places as were seen: an item that ends before them comes before those that go on
+    tied = F.col("last").isNull() | (F.substring(code, F.lit(1), F.col("seen")) <= F.col("last"))
     out = out.filter(F.col("threshold").isNull() | (F.col("value") > F.col("threshold")) | (F.col("value") == F.col("threshold")) & tied)
     release(spark)
     return out.select(*keys, "item", "value")
