@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is logistic in hashed features of its
-words; a document is toxic unless all of its sentences are clean (noisy-or), and only
-documents have labels. The trained sentence scores locate the offending sentences.
+words; a document is toxic unless all of its sentences are clean and nothing leaks (leaky noisy-or), and only
+documents have labels. Sentences without a telling feature, or with a score that is less than NOTHING, are clean for certain and add nothing, so a
+score does not grow with the length of a clean text. The trained sentence scores locate the offending sentences.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ BITS = 18
 SAMPLE = 10_000
 #: Bytes of text that are scored at once, about.
 SLICE = 1 << 19
+#: Sentences that score less are clean; of the others the excess counts.
+NOTHING = 0.02
+#: The log-odds of a telling sentence before its features, if nothing is known.
+PRIOR = -6.0
 #: Documents with at least this score are toxic.
 THRESHOLD = 0.3
 _ENDS = re.compile(SENTENCE_END.replace(r"\x{2026}\x{3002}", "…。"))
@@ -49,20 +54,24 @@ def _telling(texts: pa.Array, labels: np.ndarray, most: int, least: int, sigmas:
     return np.sort(best[strength[best] > 0])
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, penalty: float = 0.02, features: int = 2048, least: int = 4, sigmas: float = 4.5, lift: float = 2.5) -> tuple[np.ndarray, float]:
-    """Feature weights and a sentence's bias, by Adam on the likelihood of the documents' labels.
+#: Weights of the features, the log-odds of a telling sentence before its features, and those of a document without any.
+Model = tuple[np.ndarray, float, float]
 
-    Only the ``features`` that tell most between the labels, by ``sigmas`` and ``lift`` at least, are weighted.
-    Without texts of both labels the score is constant.
+
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, penalty: float = 0.02, features: int = 2048, least: int = 4, sigmas: float = 4.5, lift: float = 2.5, held: float = 0.01) -> Model:
+    """Feature weights, a telling sentence's bias and the leak, by Adam on the likelihood of the documents' labels.
+
+    Only the ``features`` that tell most between the labels, by ``sigmas`` and ``lift`` at least, are weighted. The bias is ``held`` near PRIOR,
+    so that one feature, as a word may have by chance, is no proof. Without texts of both labels the score is constant.
     """
     weights = np.zeros(1 << BITS, np.float32)
     if not len(texts) or labels.min() == labels.max():
-        return weights, (3.0 if len(texts) and labels.min() else -12.0)
+        return weights, -12.0, (3.0 if len(texts) and labels.min() else -12.0)
     used = _telling(texts, labels, features, least, sigmas, lift)
     place = np.full(1 << BITS, -1, np.int64)
     place[used] = np.arange(len(used))
-    cells, firsts, bags = [], [0], 0
-    for _, (words, codes, sentence, text_of, first) in _slices(texts):
+    rows, columns, owners, bags = [], [], [], 0
+    for at, (words, codes, sentence, text_of, _) in _slices(texts):
         feature, word = word_features(words, BITS)
         keep = place[feature] >= 0
         feature, word = place[feature[keep]], word[keep]
@@ -70,26 +79,29 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.
         feature, counts = feature[order], np.bincount(word, minlength=len(words))
         begin = np.cumsum(counts) - counts
         each = counts[codes]
-        at = np.repeat(begin[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        cells.append(np.stack([np.repeat(sentence, each) + bags, feature[at]]).astype(np.int32))
-        firsts.extend((first[1:] + bags).tolist())
-        bags += len(text_of)
-    (row, column), firsts = np.concatenate(cells, axis=1), np.array(firsts)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    w = np.zeros(len(used) + 1)
-    w[-1] = -7.0
+        own = np.repeat(begin[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        telling, row = np.unique(np.repeat(sentence, each), return_inverse=True)
+        rows.append(row + bags)
+        columns.append(feature[own])
+        owners.append(text_of[telling] + at)
+        bags += len(telling)
+    row, column, text_of = (np.concatenate(x) for x in (rows, columns, owners))
+    w = np.zeros(len(used) + 2)
+    w[-2:] = PRIOR, -4.0
     first, second = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[column], minlength=bags) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.add.reduceat(-np.logaddexp(0, z), firsts[:-1])
+        z = np.bincount(row, weights=w[column], minlength=bags) + w[-2]
+        p, leak = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-np.clip(w[-1], -30, 30)))
+        counts = p > NOTHING
+        clean = np.bincount(text_of, weights=np.where(counts, -np.logaddexp(0, z) - np.log1p(-NOTHING), 0), minlength=len(texts)) - np.logaddexp(0, w[-1])
         toxic = np.maximum(-np.expm1(clean), 1e-12)
-        slope = (np.where(labels == 1, -np.exp(clean) / toxic, 1.0) / len(texts))[text_of] * p
-        grad = np.append(np.bincount(column, weights=slope[row], minlength=len(used)) + penalty / len(texts) * w[:-1], slope.sum())
+        of_text = np.where(labels == 1, -np.exp(clean) / toxic, 1.0) / len(texts)
+        slope = of_text[text_of] * p * (counts | (labels[text_of] == 1))  # what does not count yet can come to count in toxic texts
+        grad = np.concatenate((np.bincount(column, weights=slope[row], minlength=len(used)) + penalty / len(texts) * w[:-2], [slope.sum() + held * (w[-2] - PRIOR), of_text.sum() * leak]))
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    weights[used] = w[:-1]
-    return weights, float(w[-1])
+    weights[used] = w[:-2]
+    return weights, float(w[-2]), float(w[-1])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, seed: int = 11) -> DataFrame:
@@ -105,17 +117,17 @@ def held_out(name: str):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents, of SAMPLE_BYTES at most, that are not held out; labels are used for nothing else."""
     rows = sample_table(training_rows(docs, labels, "toxic", sample))
     return fit(rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("__label").to_numpy())
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, sentences) of every row: noisy-or over all sentences of the whole text, and those at fault.
 
     ``sentences`` holds (start, end, score) in code points of the sentences that reach ``threshold`` alone,
-    or of the worst one where only all together do; it is empty below the threshold. A null or empty text
+    or of the worst one where only all together do; it is empty below the threshold, and where no sentence tells. A null or empty text
     is one empty sentence. Rows that repeat are scored alike; a null doc_id is kept.
     """
     small_batches(docs.sparkSession)
@@ -123,48 +135,51 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def score(batches):
-        weights, bias = shared.value
+        model = shared.value
         for batch in batches:
             texts = batch.column(1)
             scores, spans = [], []
             for row, part in sliced(texts, SLICE):
-                toxic, z, firsts = _scores(part, weights, bias)
+                toxic, p, firsts = _scores(part, model)
                 scores.append(toxic)
                 for k, bad in enumerate(toxic >= threshold):
-                    spans.append(_offending(texts[row + k].as_py(), z[firsts[k] : firsts[k + 1]], threshold) if bad else [])
+                    spans.append(_offending(texts[row + k].as_py(), p[firsts[k] : firsts[k + 1]], threshold) if bad else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(spans, pa.list_(span))], ["doc_id", "score", "sentences"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     return rows.mapInArrow(frugal(score), "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
-def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text scores below ``threshold``; a null text is an empty one."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batches):
-        weights, bias = shared.value
+        model = shared.value
         for batch in batches:
-            scores = [_scores(part, weights, bias)[0] for _, part in sliced(batch.column(at), SLICE)]
+            scores = [_scores(part, model)[0] for _, part in sliced(batch.column(at), SLICE)]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold) if scores else pa.array([], pa.bool_()))
 
     return docs.mapInArrow(frugal(keep), docs.schema)
 
 
-def _scores(texts: pa.Array, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents' scores, sentences' log-odds and each document's first sentence."""
+def _scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' scores, sentences' scores and each document's first sentence."""
+    weights, bias, leak = model
     words, codes, sentence, text_of, firsts = sentence_words(texts)
     feature, word = word_features(words, BITS)
-    own = np.bincount(word, weights=weights[feature], minlength=len(words))
-    z = np.bincount(sentence, weights=own[codes], minlength=len(text_of)) + bias
-    return -np.expm1(np.add.reduceat(-np.logaddexp(0, z), firsts[:-1])), z, firsts
+    own, tells = (np.bincount(word, weights=x, minlength=len(words))[codes] for x in (weights[feature], weights[feature] != 0))
+    z = np.bincount(sentence, weights=own, minlength=len(text_of)) + bias
+    p = np.where(np.bincount(sentence, weights=tells, minlength=len(text_of)) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+    p = np.maximum(0, (p - NOTHING) / (1 - NOTHING))
+    clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-13)), firsts[:-1]) - np.logaddexp(0, leak)
+    return -np.expm1(clean), p, firsts
 
 
-def _offending(text: str, z: np.ndarray, threshold: float) -> list[dict]:
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    bad = np.flatnonzero(p >= min(threshold, p.max()))
+def _offending(text: str, p: np.ndarray, threshold: float) -> list[dict]:
+    bad = np.flatnonzero(p >= min(threshold, p.max())) if p.max() > 0 else np.zeros(0, int)
     ends = [(m.start(), m.end()) for m in _ENDS.finditer(text)]
     starts, stops = [0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)]
     return [{"start": starts[k], "end": stops[k], "score": float(p[k])} for k in bad.tolist()]

@@ -602,9 +602,9 @@ def test_toxicity_where_many_labels_are_toxic(share):
     bad = bad[:600]
     taken = np.concatenate((bad, good[: round(len(bad) * (1 / share - 1))]))
     used, held = taken[np.arange(len(taken)) % 3 > 0], taken[np.arange(len(taken)) % 3 == 0]
-    weights, bias = toxicity.fit(pa.array([texts[k] for k in used], pa.large_string()), labels[used])
-    assert (weights != 0).any()
-    found = toxicity._scores(pa.array([texts[k] for k in held], pa.large_string()), weights, bias)[0] >= 0.3
+    model = toxicity.fit(pa.array([texts[k] for k in used], pa.large_string()), labels[used])
+    assert (model[0] != 0).any()
+    found = toxicity._scores(pa.array([texts[k] for k in held], pa.large_string()), model)[0] >= 0.3
     truth = labels[held] == 1
     assert (found & truth).sum() / truth.sum() > 0.95 and (found & ~truth).sum() / (~truth).sum() < 0.05
 
@@ -616,9 +616,23 @@ def test_noisy_or_and_labels(spark):
     used = {r["doc_id"] for r in toxicity.training_rows(rows, table, "toxic", 100_000).collect()}
     assert used == {k for k in range(300) if k != 7 and zlib.crc32(str(k).encode()) % 4 != 2} | ({7} if zlib.crc32(b"7") % 4 != 2 else set())
     assert toxicity.training_rows(rows, table, "toxic", 20).count() == 20
-    weights, bias = toxicity.train(rows, table.limit(0))
-    scores = {r["score"] for r in toxicity.score_documents(rows, (weights, bias)).collect()}
-    assert max(scores) < 0.01
+    got = toxicity.score_documents(rows, toxicity.train(rows, table.limit(0))).collect()
+    assert max(r["score"] for r in got) < 0.01 and {r["score"] for r in got if r["doc_id"] == 5000} == {min(r["score"] for r in got)}
+
+
+def test_toxicity_does_not_grow_with_length():
+    texts, labels = toxic_corpus(1500)
+    model = toxicity.fit(pa.array(texts[:1000], pa.large_string()), labels[:1000])
+
+    def score(*sentences):
+        return float(toxicity._scores(pa.array([". ".join(sentences)], pa.large_string()), model)[0][0])
+
+    clean = [t for t, y in zip(texts[1000:], labels[1000:], strict=True) if not y]
+    one = score("kato mira")
+    assert abs(score(*["kato mira"] * 20_000) - one) < 0.05 and abs(score("") - one) < 0.05
+    joined = (clean * 60)[:20_000]
+    assert score(*joined) - score(clean[0]) < 0.05
+    assert score(*joined[:10_000], "you zorkish person", *joined[10_000:]) > 0.3 and score(*["kato mira"] * 20_000, "you zorkest lot") > 0.3
 
 
 def test_samples_are_bounded_in_bytes(spark):

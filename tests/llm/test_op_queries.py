@@ -161,22 +161,24 @@ def test_quality_and_language_queries(results, duck):
 def test_noisy_or_against_brute_force():
     rng = random.Random(1)
     texts = ["", "one two. three!", ". ".join("w" + str(rng.randrange(50)) for _ in range(40)), "alone"]
-    weights, bias = np.zeros(1 << toxicity.BITS, np.float32), -1.5
+    bias, leak = -1.5, -4.0
     from chunkloom.llm._words import sentence_words, word_features
 
     table = np.random.default_rng(2).normal(size=1 << toxicity.BITS).astype(np.float32)
-    weights[:] = table
-    got, _, firsts = toxicity._scores(pa.array(texts, pa.large_string()), weights, bias)
+    table[np.random.default_rng(3).random(len(table)) < 0.97] = 0  # most features tell nothing
+    got, _, firsts = toxicity._scores(pa.array(texts, pa.large_string()), (table, bias, leak))
     for text, score in zip(texts, got, strict=True):
-        clean = 1.0
+        clean = 1 - 1 / (1 + np.exp(-leak))
         words, codes, sentence, text_of, _ = sentence_words(pa.array([text], pa.large_string()))
         for s in range(len(text_of)):
-            z = bias
+            z, tells = bias, False
             for code, own in zip(codes.tolist(), sentence.tolist(), strict=True):
                 if own == s:
                     features, _ = word_features(words.slice(code, 1), toxicity.BITS)
                     z += float(table[features].astype(np.float64).sum())
-            clean *= 1 - 1 / (1 + np.exp(-z))
+                    tells |= bool((table[features] != 0).any())
+            p = 1 / (1 + np.exp(-z))
+            clean *= 1 - (p - toxicity.NOTHING) / (1 - toxicity.NOTHING) if tells and p > toxicity.NOTHING else 1
         assert score == pytest.approx(1 - clean, abs=1e-9)
 
 
