@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,16 @@ def silent_chat(prompt: str) -> str:
     return ""
 
 
+def answered(text: Column, chat: Chat) -> Column:
+    """A chat model's answers to a column of prompts, asked by the executors; null where there is no prompt."""
+
+    @F.pandas_udf("string")
+    def ask_each(prompts: pd.Series) -> pd.Series:
+        return prompts.map(chat, na_action="ignore")
+
+    return ask_each(text)
+
+
 def not_empty(context: Column) -> Column:
     return F.length(context) > 0
 

@@ -88,7 +88,7 @@ class ChunkStore:
         rows = self._with_cuts(manifest)
         return None if rows is None else rows.drop("__cut")
 
-    def _with_cuts(self, manifest: dict | None) -> DataFrame | None:
+    def _with_cuts(self, manifest: dict | None, keep_folder: bool = False) -> DataFrame | None:
         if manifest is None:
             return None
         schema = T.StructType.fromJson(manifest["schema"])
@@ -96,7 +96,7 @@ class ChunkStore:
             return self.spark.createDataFrame([], schema).withColumn("__cut", F.lit(None).cast("int"))
         whole = T.StructType([*schema.fields, T.StructField("__folder", T.StringType()), T.StructField("__cut", T.IntegerType())])
         rows = self.spark.read.schema(whole).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/__folder={f}" for f in manifest["folders"]))
-        return rows.drop("__folder")
+        return rows if keep_folder else rows.drop("__folder")
 
     def find_by_id(self, chunk_id: str) -> DataFrame:
         """The chunk's parts, read from its own cut."""
@@ -156,6 +156,22 @@ class ChunkStore:
                 return
         raise RuntimeError(f"no manifest could be written in {TRIES} tries")
 
+    def retract(self, files: DataFrame) -> None:
+        """Take out the chunks whose ``file`` is among ``files`` (file); only folders that hold some are written anew."""
+        files = checkpointed(files.select("file").filter("file is not null").distinct())
+        for _ in range(TRIES):
+            base = self.manifest()
+            rows = self._with_cuts(base, keep_folder=True) if base and base["folders"] else None
+            hit = [] if rows is None else sorted(r[0] for r in rows.select("file", "__folder").join(files, "file", "left_semi").select("__folder").distinct().collect())
+            if not hit:
+                return
+            rest = self._rows({**base, "folders": hit}).join(files, "file", "left_anti").select(*T.StructType.fromJson(base["schema"]).names)
+            folder = self._write(rest, base["cuts"])
+            kept = [f for f in base["folders"] if f not in hit]
+            if self._commit({**base, "version": base["version"] + 1, "folders": [*kept, *([folder] if folder else [])]}):
+                return
+        raise RuntimeError(f"no manifest could be written in {TRIES} tries")
+
     def compact(self) -> bool:
         """Bring all rows into one folder; false, and nothing changed, if another writer came in between."""
         base = self.manifest()

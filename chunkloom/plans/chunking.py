@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import clean_doc_comment, doc_comment, extension, file_type, has_text, is_doc_comment
+from ..functions.scalars import clean_doc_comment, doc_comment, extension, file_type, has_text, is_doc_comment, line_range, method_name, simple_method_name
 from ..functions.split import combine, split_content, unsplit
 from ..operators.chunk_maps import chunk_from_map, flat_map
 from ..operators.numbering import batches
@@ -96,6 +96,14 @@ def chunkers_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(F.broadcast(known), pages["path"].endswith(known["suffix"])).select("page_id", "chunker")
 
 
+def text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines of each document, and the parts of a method's name made of its columns."""
+    docs, first = table(spark, sf_dir, "documents"), (F.col("doc_id") % 4).cast("int")
+    method = F.concat(F.col("lang"), F.lit(" get"), F.col("doc_id").cast("string"), F.lit("(a."), F.col("lang"), F.lit(")"))
+    names = [method_name(F.concat("source", F.lit("."), method), F.col("source")).alias("method"), simple_method_name(F.concat(F.lit("public "), method)).alias("simple")]
+    return docs.select("doc_id", F.md5(line_range(F.coalesce("text", F.lit("")), first, first + 2)).alias("lines_md5"), *names)
+
+
 def has_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter(has_text(F.col("text"))).groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 
@@ -124,7 +132,7 @@ def javadoc_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("conv_id", "turn", F.when(is_doc_comment(found), clean_doc_comment(found, "Made by a model")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (split_documents, split_prefixed, split_small_windows, part_lines, unsplit_roundtrip, combine_units, chunk_flat_map, chunk_roundtrip_map, jsonl_roundtrip, jsonl_malformed_dropped, veto_pages, whitelist_suffix, file_type_of_path, chunkers_of_file, has_text_filter, batches_of_50, javadoc_extract, javadoc_sanitize)}
+QUERIES = {f.__name__: f for f in (split_documents, split_prefixed, split_small_windows, part_lines, unsplit_roundtrip, combine_units, chunk_flat_map, chunk_roundtrip_map, jsonl_roundtrip, jsonl_malformed_dropped, veto_pages, whitelist_suffix, file_type_of_path, chunkers_of_file, text_places, has_text_filter, batches_of_50, javadoc_extract, javadoc_sanitize)}
 
 _CASES = " ".join(f"WHEN suffix(url, '{s}') THEN '{n}'" for n, s in FILE_TYPES)
 _URL_NAME = "regexp_extract(url, '[^/]*$')"
@@ -154,6 +162,8 @@ SELECT page_id, part, total, CASE WHEN len < 599 THEN 0 ELSE 50 END AS overlap,
     "whitelist_suffix": f"SELECT page_id, {_ENDING} AS ending, ({_ENDING}) IN ('html', 'php', 'txt') AS listed, contains('{WHITE_LIST}', {_ENDING}) AS contained FROM pages",
     "file_type_of_path": f"SELECT page_id, CASE {_CASES} ELSE 'UNKNOWN' END AS file_type FROM pages",
     "chunkers_of_file": "SELECT page_id, c.chunker FROM pages JOIN (VALUES " + ", ".join(f"('{n}', '{s}')" for n, s in [*FILE_TYPES, ("ANY_PAGE", "l"), ("ANY", "")]) + ") c(chunker, suffix) ON suffix(url, c.suffix)",
+    "text_places": """WITH l AS (SELECT *, list_slice(string_split(coalesce(text, ''), chr(10)), 1 + doc_id % 4, 3 + doc_id % 4) AS l FROM documents)
+SELECT doc_id, md5(CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) || chr(10) ELSE '' END) AS lines_md5, lang || ' get' || doc_id || '(a.' || lang || ')' AS method, ' get' || doc_id || '(' AS simple FROM l""",
     "has_text_filter": r"SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE regexp_matches(text, '\S') GROUP BY role",
     "batches_of_50": "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 50 AS BIGINT) AS batch FROM documents",
     "javadoc_extract": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '/**' || chr(10) || ' * Turn ' || turn || ' of ' || role || '.' || chr(10) || ' * @return nothing' || chr(10) || ' */' ELSE 'no comment' END AS comment, turn % 2 = 0 AS is_comment FROM conversations",

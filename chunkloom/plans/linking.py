@@ -86,6 +86,11 @@ def forest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("root_id", "node_id", F.array_join("path", ">").alias("path"))
 
 
+def forest_root_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, hits = _tree(spark, sf_dir)
+    return forest.forest_roots(forest.ancestor_closure(hits, rows))
+
+
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("context"))
     kept = prompt.within_budget(turns, ["conv_id"], [F.desc(F.length("context")), F.col("turn")], 900)
@@ -164,7 +169,7 @@ def documented_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java.documented(files, comments)
 
 
-QUERIES = {f.__name__: f for f in (dependency_edges, dependencies_of, used_by, dependency_report, dependency_report_chunks, resolve_names, ancestor_closure, tree_roots, tree_rank, forest_order, context_budget, conversation_prompt, java_chunks, java_dependencies, java_symbols, java_errors, undocumented_methods, method_fold, documented_sources)}
+QUERIES = {f.__name__: f for f in (dependency_edges, dependencies_of, used_by, dependency_report, dependency_report_chunks, resolve_names, ancestor_closure, tree_roots, tree_rank, forest_order, forest_root_list, context_budget, conversation_prompt, java_chunks, java_dependencies, java_symbols, java_errors, undocumented_methods, method_fold, documented_sources)}
 
 _EDGES = "e AS (SELECT DISTINCT 'segment.' || c_mktsegment AS source, 'nation' || c_nationkey AS target FROM customer UNION SELECT 'nation' || n_nationkey, 'region' || n_regionkey FROM nation)"
 _REPORT = f"""{_EDGES}, f AS (SELECT source, list_sort(list(target)) AS t FROM e GROUP BY source), b AS (SELECT target, list_sort(list(source)) AS s FROM e GROUP BY target),
@@ -199,6 +204,7 @@ SELECT file, package, name, CASE WHEN package IS NULL THEN name WHEN count(fqn)
     "tree_roots": f"WITH RECURSIVE {_NODES}, {_ROOTS} SELECT hit_id, root_id FROM roots",
     "tree_rank": f"WITH RECURSIVE {_NODES}, {_ROOTS} SELECT root_id, CAST(sum(CASE section WHEN 'classFrame' THEN 2 WHEN 'method' THEN 5 WHEN 'methodDoc' THEN 5 WHEN 'imports' THEN 1 ELSE 0 END) AS BIGINT) AS rank, count(*) AS hits FROM roots JOIN nodes ON nodes.id = roots.hit_id GROUP BY root_id",
     "forest_order": f"WITH RECURSIVE {_NODES}, {_ROOTS}, paths AS (SELECT a.hit_id, a.node_id, string_agg(b.node_id, '>' ORDER BY b.depth DESC) AS path FROM up a JOIN up b ON a.hit_id = b.hit_id AND b.depth >= a.depth GROUP BY a.hit_id, a.node_id) SELECT DISTINCT root_id, node_id, path FROM paths JOIN roots USING (hit_id)",
+    "forest_root_list": f"WITH RECURSIVE {_NODES}, {_ROOTS} SELECT DISTINCT root_id FROM roots",
     "java_chunks": f"""WITH {_CLASSES}
 SELECT id, parent, 0 AS part, 1 AS total, section, content, CAST(l1 AS VARCHAR) AS "fromLine", CAST(l2 AS VARCHAR) AS "toLine" FROM (
 SELECT fqn AS id, NULL AS parent, 'classFrame' AS section, chr(10) || head || '    ' || first_name || chr(10) || '    int count()' || chr(10) || '}}' || chr(10) AS content, 2 + more AS l1, 14 + more AS l2 FROM m

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_text
-from ..functions.split import split_content
+from ..functions.split import combine, split_content
 from ..operators import prompt, retrieval
-from ..operators.chunk_maps import chunk_columns
+from ..operators.chunk_maps import chunk_columns, from_segments, to_segments
 from ..operators.numbering import shared_folder
 from ..operators.store import ChunkStore
 from ..operators.vector_search import VectorStore
-from ..registry import Registry, chunk_folder
+from ..registry import Registry, chunk_folder, update_store
 from ..schema import SECTION_KEY
-from ..sources.jsonl import to_lines, unwritten, write_sources
+from ..sources import prompt_streams
+from ..sources.chunk_table import save
+from ..sources.files import text_lines
+from ..sources.jsonl import decode, load_by_id, to_lines, unwritten, write_sources
+from ..sources.snapshots import FolderLog
 from ..streaming import streams
 from .common import CHUNKS_SQL, document_chunks, table
 
@@ -54,8 +58,11 @@ def relaxation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ladder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches that each conversation may take: odd ones start as questions do, even ones as contexts do."""
     rows = [("ask", *x) for x in retrieval.ladder(*retrieval.ASK_START)] + [("context", *x) for x in retrieval.ladder(*retrieval.CONTEXT_START)]
-    return spark.createDataFrame(rows, "start string, level int, max_result int, min_score double")
+    steps = spark.createDataFrame(rows, "start string, level int, max_result int, min_score double")
+    asked = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.when(F.col("conv_id") % 2 == 1, "ask").otherwise("context").alias("start"))
+    return asked.join(F.broadcast(steps), "start")
 
 
 def embed_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,18 +84,28 @@ def find_by_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.find_by_metadata(document_chunks(spark, sf_dir), {"lang": "en", "source": "src1"}).select("id", "part", "size")
 
 
+def _stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of ``documents``, cut once, as a table in buckets."""
+    return save(document_chunks(spark, sf_dir), f"chunks_{uuid.uuid4().hex}", f"{_folders(spark)}/chunks")
+
+
 def complete_partial_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = document_chunks(spark, sf_dir)
+    chunks = _stored_chunks(spark, sf_dir)
     hits = chunks.filter("part = 1 and size < 700")
     return retrieval.complete_hits(hits, chunks).select("id", "part", "total")
 
 
 def union_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = document_chunks(spark, sf_dir)
+    chunks = _stored_chunks(spark, sf_dir)
     both = retrieval.with_prefetched(chunks.filter("part = 0"), chunks.filter("total > 1"))
     return both.select("id", "part", "size")
 
 
+def stored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of a stored table, put together bucket by bucket."""
+    return combine(_stored_chunks(spark, sf_dir)).select("id", "file", "size", F.md5("content").alias("content_md5"))
+
+
 def _folders(spark: SparkSession) -> str:
     """A new folder in the shared place of checkpoints."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -139,11 +156,11 @@ def _code_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn as a question, whose vector is a stored one: all enriched together, in a small budget."""
+    """Every user turn as a question, whose vector is a stored one: all enriched together, from classes with a certain word, in a small budget."""
     turns, vectors = table(spark, sf_dir, "conversations").filter("role = 'user'"), _vectors(spark, sf_dir)
     total = vectors.agg(F.max("vec_id")).first()[0] + 1
     asked = turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(total)).alias("vec_id"))
-    told = prompt.enrich_many(asked.join(vectors, "vec_id"), _code_vectors(spark, sf_dir), digits=DIGITS, budget=SMALL_BUDGET)
+    told = prompt.enrich_many(asked.join(vectors, "vec_id"), _code_vectors(spark, sf_dir), validators=[prompt.not_empty, prompt.mentions("Vektor")], digits=DIGITS, budget=SMALL_BUDGET)
     return told.select("question_id", F.md5("prompt").alias("prompt_md5"), "level", "trees")
 
 
@@ -228,6 +245,70 @@ def folder_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("id", F.col("mimeType").alias("kind"), "part", "total", "size", F.md5("content").alias("content_md5"))
 
 
+def unvetoed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder without standard vetoes, cut by the chunkers of two registries, with what listeners before them have seen."""
+    root, one, two, seen = _folder(spark, sf_dir), Registry(), Registry(), {}
+    one.pre_step(lambda files: seen.update(kept=files.count()))
+    two.scan_step(lambda files: seen.update(all=files.count()))
+    two.veto(lambda path, length: path.contains("/src2/"))
+
+    def whole(kind: str):
+        return lambda files: files.select(*chunk_columns(id=F.regexp_extract("path", "[^/]+$", 0), mimeType=F.lit(kind), part=F.lit(0), total=F.lit(1), overlap=F.lit(0), content=F.col("content")))
+
+    one.chunker("UNKNOWN")(whole("unknown"))
+    two.chunker("XML", "UNKNOWN")(whole("second"))
+    chunks = chunk_folder(spark, root, one.merged(two), standard=False)
+    return chunks.select("id", F.col("mimeType").alias("kind"), F.md5("content").alias("content_md5"), F.lit(seen["kept"]).cast("long").alias("kept"), F.lit(seen["all"]).cast("long").alias("seen"))
+
+
+def folder_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of a folder: every fifth file goes, another fifth changes, and the labelled ones are new. The store follows by reading what differs."""
+    docs, folder = table(spark, sf_dir, "documents"), _folders(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    files = docs.select("doc_id", _file_path().alias("path"), F.col("text").alias("content")).filter("length(content) > 0")
+    write_sources(files.join(labels, "doc_id", "left_anti").union(files.join(labels, "doc_id", "left_semi").filter("doc_id % 5 = 0")), f"{folder}/first")
+    write_sources(files.filter("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 1, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content"))), f"{folder}/second")
+    own = Registry()
+
+    @own.chunker("XML", "HTML", "UNKNOWN")
+    def parts(files: DataFrame) -> DataFrame:
+        cut = split_content(files.select("path", F.col("content").alias("text")), "text", 1300, 100)
+        given = {c: F.col(c) for c in ("part", "total", "size", "overlap", "fromLine", "toLine", "content")}
+        return cut.select(*chunk_columns(id=F.col("path"), file=F.col("path"), **given))
+
+    log, store = FolderLog(spark, f"{folder}/log"), ChunkStore(spark, f"{folder}/store")
+    for state in ("first", "second"):
+        found = update_store(spark, f"{folder}/{state}", own, log, store, retrieval.hashing_embedder(8))
+    chunks = store.read().groupBy(F.col("file").alias("path")).agg(F.count("*").alias("parts"), F.sum(F.length("content")).alias("chars"))
+    return found.select("path", "digest", "change").join(chunks, "path", "left").fillna(0, ["parts", "chars"])
+
+
+def lines_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk lines of a folder, loaded by id, through segments into a store that was filled and reset before; and one unit looked up by its id."""
+    folder = _folders(spark)
+    to_lines(document_chunks(spark, sf_dir)).write.text(f"{folder}/lines")
+    chunks = from_segments(to_segments(load_by_id(spark, f"{folder}/lines")))
+    store = ChunkStore(spark, f"{folder}/store")
+    store.add(decode(text_lines(spark, f"{folder}/lines")).filter("total > 1"), retrieval.hashing_embedder(8))
+    store.reset()
+    store.add(chunks.filter(F.col("metadata")["lang"] == "de"), retrieval.hashing_embedder(8))
+    store.add(chunks.filter(F.col("metadata")["lang"].isin("de", "fr")), retrieval.hashing_embedder(8))
+    least = store.read().agg(F.min("id")).first()[0]
+    rows = store.read().select(F.lit("all").alias("kind"), "id", "part", F.md5("content").alias("content_md5"))
+    return rows if least is None else rows.unionByName(store.find_by_id(least).select(F.lit("one").alias("kind"), "id", "part", F.md5("content").alias("content_md5")))
+
+
+def prompt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns as files of prompts, through the source of prompts and the sink of events; silent answers beside them."""
+    folder = _folders(spark)
+    prompt_streams.register(spark)
+    table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.regexp_replace("text", r"\s+", " ").alias("value")).write.text(f"{folder}/prompts")
+    lines = spark.readStream.format("prompts").option("mostBytes", 1 << 30).load(f"{folder}/prompts")
+    asked = streams.prompts(lines).select("value", prompt.answered(F.col("value"), prompt.silent_chat).alias("answer"), F.length("value").alias("chars"))
+    asked.writeStream.format("prompt_events").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return prompt_streams.read_events(spark, f"{folder}/out", "value string, answer string, chars int").drop("batch")
+
+
 def unwritten_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all documents' files, those whose target does not exist after the labelled ones are written."""
     docs, root = table(spark, sf_dir, "documents"), f"{_folders(spark)}/out"
@@ -238,7 +319,7 @@ def unwritten_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten(rows, root).select("doc_id", "path", F.lit(int(again)).alias("again"), F.lit(int(written)).alias("written"))
 
 
-QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, incremental_embed_stream, prompt_stream, answered_stream, questions_prompts, clustered_top_k, question_prompt, folder_chunks, unwritten_sources)}
+QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, stored_units, incremental_embed_stream, prompt_stream, answered_stream, questions_prompts, clustered_top_k, unvetoed_chunks, folder_states, lines_to_store, prompt_events, question_prompt, folder_chunks, unwritten_sources)}
 
 _PAIRS = f"p AS (SELECT q.vec_id AS query_id, v.vec_id, round((1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, {DIGITS}) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0)"
 _LADDER = "l(level, max_result, min_score) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({c!r} AS DOUBLE))" for a, b, c in retrieval.ladder(*retrieval.ASK_START)) + ")"
@@ -257,7 +338,7 @@ _TURNS = r"a AS (SELECT row_number() OVER () AS q, value AS name, value AS text,
 _ASKED = "a AS (SELECT row_number() OVER () AS q, conv_id || '/' || turn AS name, text, CAST(embedding AS DOUBLE[]) AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE role = 'user')"
 
 
-def _prompts_sql(questions: str) -> str:
+def _prompts_sql(questions: str, must: str = "") -> str:
     """The prompts of many questions over the classes of ``_code_vectors``: the first level of the ladder that finds a tree of rank over 0."""
     steps = ", ".join(f"({a}, {b}, CAST({c!r} AS DOUBLE))" for a, b, c in retrieval.ladder(*retrieval.CONTEXT_START))
     name = "question" if questions is _TURNS else "question_id"
@@ -276,7 +357,7 @@ b1 AS (SELECT *, CASE WHEN m1 THEN replace(x, 'm1()', 'Rumpf ' || (c + 1)) ELSE
 b2 AS (SELECT *, CASE WHEN m2 AND c + 3 IN (SELECT vec_id FROM e) THEN {before('x1', 'm2()', "'/** Doku ' || (c + 3) || ' */ '")} ELSE x1 END AS x2 FROM b1),
 b3 AS (SELECT *, CASE WHEN m2 THEN replace(x2, 'm2()', 'Rumpf m2() ' || (c + 2)) ELSE x2 END AS x3 FROM b2),
 b4 AS (SELECT *, CASE WHEN doc THEN {before('x3', 'm2()', "'/** Doku ' || (c + 3) || ' */ '")} ELSE x3 END AS x4 FROM b3),
-w AS (SELECT *, coalesce(sum(length(x4)) OVER (PARTITION BY q, level ORDER BY rank DESC, 'vec' || c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM b4),
+w AS (SELECT *, coalesce(sum(length(x4)) OVER (PARTITION BY q, level ORDER BY rank DESC, 'vec' || c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM b4 WHERE x4 LIKE '%{must}%'),
 o AS (SELECT q, level, string_agg(x4, '' ORDER BY rank DESC, 'vec' || c) AS context, count(*) AS trees FROM w WHERE spent <= {SMALL_BUDGET} GROUP BY q, level),
 p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY q ORDER BY level) = 1)
 SELECT a.name AS {name}, md5(CASE WHEN p.q IS NULL THEN '{_QUOTED['none']}' ELSE '{_QUOTED['role']}KONTEXT AUS DEN PROJEKT-MODULEN:' || chr(10) || context || chr(10) || chr(10) || 'FRAGE: ' || a.text || chr(10) || chr(10) END) AS prompt_md5, CAST(level AS INT) AS level, trees FROM a LEFT JOIN p USING (q)"""
@@ -285,7 +366,7 @@ SELECT a.name AS {name}, md5(CASE WHEN p.q IS NULL THEN '{_QUOTED['none']}' ELSE
 _ENDING = "CASE lang WHEN 'en' THEN '.xml' WHEN 'de' THEN '.html' WHEN 'fr' THEN '.png' ELSE '.txt' END"
 ORACLE_SQL = {
     "answered_stream": f"""WITH {_prompts_sql(_TURNS)}""",
-    "questions_prompts": f"""WITH {_prompts_sql(_ASKED)}""",
+    "questions_prompts": f"""WITH {_prompts_sql(_ASKED, 'Vektor')}""",
     "question_prompt": f"WITH {_FOUND} SELECT * FROM {_prompt_sql('context', 20, 0.75, '', _QUOTED['role'])} UNION ALL SELECT * FROM {_prompt_sql('ask', 8, 0.85, 'UNION SELECT 2, 2', _QUOTED['role'] + _QUOTED['why'])} UNION ALL SELECT 'blank', '{_QUOTED['none']}'",
     "folder_chunks": f"""WITH {CHUNKS_SQL}, f AS (SELECT * FROM chunks WHERE source <> 'src1' AND lang IN ('en', 'de') AND body <> '' AND doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT doc_id || {_ENDING} AS id, 'parts' AS kind, part, total, size, md5(content) AS content_md5 FROM f
@@ -298,12 +379,23 @@ UNION ALL SELECT r_name, 'after', 0, 1, 0, md5('') FROM region""",
     "relaxation_ladder": f"""WITH {_PAIRS}, {_LADDER}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p),
 m AS (SELECT query_id, level, max_result, min_score, count(*) AS hits FROM s JOIN l ON rank <= max_result AND score >= min_score GROUP BY ALL HAVING count(*) >= 5)
 SELECT query_id, level, max_result, min_score, hits FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level) = 1""",
-    "ladder_steps": "SELECT * FROM (VALUES ('ask', 0, 8, 0.85), ('ask', 1, 10, 0.85), ('ask', 2, 12, 0.85), ('ask', 3, 14, 0.85), ('ask', 4, 16, 0.85), ('ask', 5, 16, CAST(0.7999999999999999 AS DOUBLE)), ('ask', 6, 16, CAST(0.7499999999999999 AS DOUBLE)), ('ask', 7, 16, CAST(0.6999999999999998 AS DOUBLE)), ('ask', 8, 16, CAST(0.6499999999999998 AS DOUBLE)), ('ask', 9, 16, CAST(0.5999999999999998 AS DOUBLE)), ('ask', 10, 16, CAST(0.5499999999999997 AS DOUBLE)), ('context', 0, 20, 0.75), ('context', 1, 20, 0.7), ('context', 2, 20, CAST(0.6499999999999999 AS DOUBLE)), ('context', 3, 20, CAST(0.5999999999999999 AS DOUBLE)), ('context', 4, 20, CAST(0.5499999999999998 AS DOUBLE))) t(start, level, max_result, min_score)",
+    "ladder_steps": "SELECT c.conv_id, t.* FROM conversations c JOIN (VALUES ('ask', 0, 8, 0.85), ('ask', 1, 10, 0.85), ('ask', 2, 12, 0.85), ('ask', 3, 14, 0.85), ('ask', 4, 16, 0.85), ('ask', 5, 16, CAST(0.7999999999999999 AS DOUBLE)), ('ask', 6, 16, CAST(0.7499999999999999 AS DOUBLE)), ('ask', 7, 16, CAST(0.6999999999999998 AS DOUBLE)), ('ask', 8, 16, CAST(0.6499999999999998 AS DOUBLE)), ('ask', 9, 16, CAST(0.5999999999999998 AS DOUBLE)), ('ask', 10, 16, CAST(0.5499999999999997 AS DOUBLE)), ('context', 0, 20, 0.75), ('context', 1, 20, 0.7), ('context', 2, 20, CAST(0.6499999999999999 AS DOUBLE)), ('context', 3, 20, CAST(0.5999999999999999 AS DOUBLE)), ('context', 4, 20, CAST(0.5499999999999998 AS DOUBLE))) t(start, level, max_result, min_score) ON t.start = CASE WHEN conv_id % 2 = 1 THEN 'ask' ELSE 'context' END WHERE turn = 0",
+    "unvetoed_chunks": f"""WITH f AS (SELECT *, doc_id || {_ENDING} AS id FROM documents WHERE text <> ''), k AS (SELECT * FROM f WHERE source <> 'src2'), n AS (SELECT (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM f) AS seen)
+SELECT id, 'unknown' AS kind, md5(text) AS content_md5, kept, seen FROM k, n WHERE lang NOT IN ('en', 'de') UNION ALL SELECT id, 'second', md5(text), kept, seen FROM k, n WHERE lang <> 'de'""",
+    "folder_states": f"""WITH f AS (SELECT doc_id, 'src/' || source || '/' || doc_id || {_ENDING} AS path, lang, doc_id IN (SELECT doc_id FROM labels) AS labelled, text || CASE WHEN doc_id % 5 = 1 THEN chr(10) || 'more' ELSE '' END AS now, text FROM documents WHERE text <> ''),
+s AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN labelled THEN 'added' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'same' END AS change FROM f),
+n AS (SELECT *, length(now) AS len, CASE WHEN change = 'removed' OR lang = 'fr' OR path LIKE '%build%' OR path LIKE '%target%' THEN 0 WHEN length(now) < 1299 THEN 1 ELSE CAST(ceil(length(now) / 1199.0) AS BIGINT) END AS total FROM s),
+p AS (SELECT path, sum(length(substr(now, 1 + i * 1199, 1299)) + 1) AS chars, count(*) AS parts FROM (SELECT path, now, unnest(range(0, total)) AS i FROM n) WHERE regexp_matches(substr(now, 1 + i * 1199, 1299), '\\S') GROUP BY path)
+SELECT path, sha256(CASE WHEN change = 'removed' THEN text ELSE now END) AS digest, change, coalesce(parts, 0) AS parts, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM n LEFT JOIN p USING (path)""",
+    "lines_to_store": f"""WITH {CHUNKS_SQL}, k AS (SELECT id, part, md5(content) AS content_md5 FROM chunks WHERE lang IN ('de', 'fr') AND regexp_matches(content, '\\S'))
+SELECT 'all' AS kind, * FROM k UNION ALL SELECT 'one', * FROM k WHERE id = (SELECT min(id) FROM k)""",
+    "prompt_events": r"SELECT regexp_replace(text, '\s+', ' ', 'g') AS value, '' AS answer, CAST(length(regexp_replace(text, '\s+', ' ', 'g')) AS INT) AS chars FROM conversations WHERE role = 'user' AND regexp_matches(text, '\S') AND lower(trim(text)) <> 'exit'",
     "embed_anti_join": f"WITH {CHUNKS_SQL} SELECT id, part, size FROM chunks WHERE regexp_matches(content, '\\S') AND doc_id NOT IN (SELECT doc_id FROM labels)",
     "embedded_chunks": f"WITH {CHUNKS_SQL} SELECT id, part, 16 AS dimension, true AS ok FROM chunks WHERE regexp_matches(content, '\\S')",
     "find_by_id": f"WITH {CHUNKS_SQL} SELECT id, part, size FROM chunks WHERE id = 'doc7'",
     "find_by_metadata": f"WITH {CHUNKS_SQL} SELECT id, part, size FROM chunks WHERE lang = 'en' AND source = 'src1'",
     "complete_partial_hits": f"WITH {CHUNKS_SQL} SELECT id, part, total FROM chunks WHERE id IN (SELECT id FROM chunks WHERE part = 1 AND size < 700)",
+    "stored_units": f"WITH {CHUNKS_SQL} SELECT id, file, size, md5(coalesce(text, '')) AS content_md5 FROM chunks JOIN documents USING (doc_id) WHERE part = 0",
     "union_prefetch": f"WITH {CHUNKS_SQL} SELECT id, part, size FROM chunks WHERE part = 0 OR total > 1",
     "incremental_embed_stream": f"WITH {CHUNKS_SQL} SELECT id, part, md5(content) AS content_md5 FROM chunks WHERE regexp_matches(content, '\\S')",
     "prompt_stream": r"SELECT regexp_replace(text, '\s+', ' ', 'g') AS value, CAST(length(regexp_replace(text, '\s+', ' ', 'g')) AS INT) AS chars FROM conversations WHERE role = 'user' AND regexp_matches(text, '\S') AND lower(trim(text)) <> 'exit'",

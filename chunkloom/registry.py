@@ -8,13 +8,17 @@ from functools import reduce
 from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.scalars import file_type
 from .operators import graph, java
 from .operators.numbering import checkpointed
-from .operators.vetoes import Veto, standard_vetoes
+from .operators.retrieval import Embedder
+from .operators.store import ChunkStore
+from .operators.vetoes import Veto, allowed, standard_vetoes
 from .schema import CHUNK_COLUMNS
 from .sources.files import source_files
+from .sources.snapshots import ADDED, CHANGED, FolderLog, REMOVED, changes, contents
 
 #: Entry points under which packages offer registries.
 ENTRY_POINTS = "chunkloom.registries"
@@ -106,8 +110,29 @@ def chunk_folder(spark: SparkSession, root: str, registry: Registry | None = Non
         every = source_files(spark, root, [])
         for step in registry.scans:
             step(every)
+    return chunk_files(files, registry)
+
+
+def chunk_files(files: DataFrame, registry: Registry) -> DataFrame:
+    """All chunks of ``files`` (path, length, content): chunkers by file type, then the steps that need all files."""
     for step in registry.before:
         step(files)
     out = [chunk(files.filter(file_type(files["path"]).isin(*types))).select(*CHUNK_COLUMNS) for types, chunk in registry.chunkers]
     out += [step().select(*CHUNK_COLUMNS) for step in registry.post_steps]
     return reduce(DataFrame.unionByName, out)
+
+
+def update_store(spark: SparkSession, root: str, registry: Registry, log: FolderLog, store: ChunkStore, embedder: Embedder, white_list: str | None = None, standard: bool = True) -> DataFrame:
+    """Bring ``store`` to the state of the files below ``root``; returns what has changed, as ``snapshots.changes`` does.
+
+    Only new and changed files are read and cut; the chunks of changed files and of those that are gone leave the store first. Chunks are
+    told by their ``file``, the path below ``root``. Steps over all files see those that changed. A run that fails is repeated by the next one.
+    """
+    found = changes(spark, root, log)
+    new = found.filter(F.col("change").isin(ADDED, CHANGED)).select("path", "length")
+    new = allowed(new, [*standard_vetoes(white_list, enabled=standard), *registry.vetoes])
+    files = new.join(contents(new, root), "path").select("path", "length", F.decode("content", "UTF-8").alias("content"))
+    store.retract(found.filter(F.col("change").isin(CHANGED, REMOVED)).select(F.col("path").alias("file")))
+    store.add(chunk_files(checkpointed(files), registry), embedder)
+    log.write(found)
+    return found
