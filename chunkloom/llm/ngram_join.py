@@ -69,26 +69,36 @@ def _map_of(places: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def _packed(tokens: np.ndarray, counts: np.ndarray, bucket_bits: int) -> list[dict]:
+    """One row for each bucket of leading bits: the trailing bits of its distinct tokens, and (token, further occurrences) of those that repeat."""
+    rest = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    again = counts > 1
+    repeats = np.stack([rest[again].astype(np.int64), counts[again] - 1], axis=1)
+    firsts = np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(32)
+    parts = np.split(rest, np.searchsorted(tokens, firsts)[1:])
+    more = np.split(repeats, np.searchsorted(tokens[again], firsts)[1:])
+    return [{"bucket": k, "packed": p.tobytes(), "repeats": m.tobytes()} for k, (p, m) in enumerate(zip(parts, more, strict=True)) if len(p)]
+
+
 def _frequencies(docs: DataFrame, width: int, bucket_bits: int, above: int) -> DataFrame:
     """(token, n) of the shingles in more than ``above`` documents; a token is a shingle hash's leading bits.
 
     Besides, one row for each bucket has in ``marks`` its share of a map of the shingles in two documents or more.
 
-    Tasks pack the trailing 32 bits of the tokens of many documents in one row for each bucket
-    of leading bits, so that the shuffle moves four bytes for each shingle of a document.
+    Tasks pack the trailing 32 bits of the distinct tokens of many documents in one row for each bucket
+    of leading bits, and how often those come that come more than once: the shuffle moves four bytes for a shingle of a
+    document, and a few bytes for millions of a shingle that all documents have.
     """
-    shift, low = np.uint64(64 - 32 - bucket_bits), np.uint64(0xFFFFFFFF)
+    shift = np.uint64(64 - 32 - bucket_bits)
+    schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("repeats", pa.binary())])
 
     def pack(batches):
         held: list[np.ndarray] = []
 
         def emit():
-            tokens = np.sort(np.concatenate(held) >> shift)
-            cuts = np.searchsorted(tokens, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(32))
-            rest = (tokens & low).astype(np.uint32)
-            parts = [(k, p.tobytes()) for k, p in enumerate(np.split(rest, cuts[1:])) if len(p)]
+            tokens, counts = np.unique(np.concatenate(held) >> shift, return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["bucket", "packed"])
+            return pa.RecordBatch.from_pylist(_packed(tokens, counts, bucket_bits), schema)
 
         count = 0
         for batch in batches:
@@ -103,16 +113,16 @@ def _frequencies(docs: DataFrame, width: int, bucket_bits: int, above: int) -> D
 
     def count(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        tokens = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("packed")]))
-        edges = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True])))
-        n = np.diff(edges)
+        tokens, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("packed")]), return_counts=True)
+        more = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("repeats")]).reshape(-1, 2)
+        np.add.at(n, np.searchsorted(tokens, more[:, 0].astype(np.uint32)), more[:, 1])
         keep = n > above
         flags = np.zeros(1 << PAIR_BITS - bucket_bits, bool)
-        flags[_place(tokens[edges[:-1]][n > 1].astype(np.uint64), PAIR_BITS - bucket_bits)] = True
-        found = {"token": [*(tokens[edges[:-1]][keep].astype(np.int64) | (bucket << 32)).tolist(), bucket], "n": [*n[keep].tolist(), 0], "marks": [None] * int(keep.sum()) + [np.packbits(flags, bitorder="little").tobytes()]}
+        flags[_place(tokens[n > 1].astype(np.uint64), PAIR_BITS - bucket_bits)] = True
+        found = {"token": [*(tokens[keep].astype(np.int64) | (bucket << 32)).tolist(), bucket], "n": [*n[keep].tolist(), 0], "marks": [None] * int(keep.sum()) + [np.packbits(flags, bitorder="little").tobytes()]}
         return pa.table(found, schema=pa.schema([("token", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())]))
 
-    return docs.select(text_column()).mapInArrow(frugal(pack), "bucket long, packed binary").groupBy("bucket").applyInArrow(count, "token long, n long, marks binary")
+    return docs.select(text_column()).mapInArrow(frugal(pack), "bucket long, packed binary, repeats binary").groupBy("bucket").applyInArrow(count, "token long, n long, marks binary")
 
 
 def _frequency_maps(docs: DataFrame, width: int, bucket_bits: int) -> tuple[list[np.ndarray], np.ndarray, int]:

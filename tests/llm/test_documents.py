@@ -713,3 +713,14 @@ def test_language(spark, empty):
 def test_rare_languages_are_in_the_model(spark):
     rows = [(k, f"plain words {k}", "xx" if k == 7 else "en") for k in range(3000)]
     assert language.text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20).languages == ["en", "xx"]
+
+
+def test_a_shingle_of_all_documents_is_counted_before_the_shuffle(spark):
+    packed = ngram_join._packed(np.array([7, (3 << 32) + 5], np.uint64), np.array([50_000, 1]), 5)
+    assert [(r["bucket"], len(r["packed"]), len(r["repeats"])) for r in packed] == [(0, 4, 16), (3, 4, 0)]
+    rng = random.Random(6)
+    texts = [f"all of these {words(rng, 4, 60)}" for _ in range(3000)]
+    counts = collections.Counter(s for t in texts for s in {tuple(t.split()[k : k + 3]) for k in range(5)})
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = ngram_join._frequencies(docs, 3, 5, 2).filter("n > 0").collect()
+    assert sorted(r["n"] for r in rows) == sorted(n for n in counts.values() if n > 2) and max(r["n"] for r in rows) == 3000
