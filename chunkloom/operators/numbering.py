@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
+    # files of frames that nothing refers to any more are deleted with them; a session that sets this otherwise has its way
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 

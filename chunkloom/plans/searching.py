@@ -22,6 +22,7 @@ from ..sources.files import text_lines
 from ..sources.jsonl import decode, load_by_id, to_lines, unwritten, write_sources
 from ..sources.snapshots import FolderLog
 from ..streaming import streams
+from ..table_functions import FileChunkers
 from .common import CHUNKS_SQL, document_chunks, table
 
 DIGITS = 6
@@ -261,6 +262,20 @@ def unvetoed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("id", F.col("mimeType").alias("kind"), F.md5("content").alias("content_md5"), F.lit(seen["kept"]).cast("long").alias("kept"), F.lit(seen["all"]).cast("long").alias("seen"))
 
 
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files, cut by a table function of SQL."""
+    own, view = FileChunkers(), f"files_{uuid.uuid4().hex}"
+
+    @own.add("XML", "HTML")
+    def lines(path: str, content: str):
+        for k, line in enumerate(content.split("\n")):
+            yield {"id": path, "part": k, "content": line}
+
+    own.register(spark, "chunk_lines")
+    table(spark, sf_dir, "documents").select(_file_path().alias("path"), F.col("text").alias("content")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT id, part, size, md5(content) AS content_md5 FROM chunk_lines(TABLE({view}))")
+
+
 def folder_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two states of a folder: every fifth file goes, another fifth changes, and the labelled ones are new. The store follows by reading what differs."""
     docs, folder = table(spark, sf_dir, "documents"), _folders(spark)
@@ -319,7 +334,7 @@ def unwritten_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten(rows, root).select("doc_id", "path", F.lit(int(again)).alias("again"), F.lit(int(written)).alias("written"))
 
 
-QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, stored_units, incremental_embed_stream, prompt_stream, answered_stream, questions_prompts, clustered_top_k, unvetoed_chunks, folder_states, lines_to_store, prompt_events, question_prompt, folder_chunks, unwritten_sources)}
+QUERIES = {f.__name__: f for f in (similar_top_k, similar_top_k_per_query, relaxation_ladder, ladder_steps, embed_anti_join, embedded_chunks, find_by_id, find_by_metadata, complete_partial_hits, union_prefetch, stored_units, incremental_embed_stream, prompt_stream, answered_stream, questions_prompts, clustered_top_k, unvetoed_chunks, sql_chunks, folder_states, lines_to_store, prompt_events, question_prompt, folder_chunks, unwritten_sources)}
 
 _PAIRS = f"p AS (SELECT q.vec_id AS query_id, v.vec_id, round((1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2, {DIGITS}) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0)"
 _LADDER = "l(level, max_result, min_score) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({c!r} AS DOUBLE))" for a, b, c in retrieval.ladder(*retrieval.ASK_START)) + ")"
@@ -382,6 +397,8 @@ SELECT query_id, level, max_result, min_score, hits FROM m QUALIFY row_number()
     "ladder_steps": "SELECT c.conv_id, t.* FROM conversations c JOIN (VALUES ('ask', 0, 8, 0.85), ('ask', 1, 10, 0.85), ('ask', 2, 12, 0.85), ('ask', 3, 14, 0.85), ('ask', 4, 16, 0.85), ('ask', 5, 16, CAST(0.7999999999999999 AS DOUBLE)), ('ask', 6, 16, CAST(0.7499999999999999 AS DOUBLE)), ('ask', 7, 16, CAST(0.6999999999999998 AS DOUBLE)), ('ask', 8, 16, CAST(0.6499999999999998 AS DOUBLE)), ('ask', 9, 16, CAST(0.5999999999999998 AS DOUBLE)), ('ask', 10, 16, CAST(0.5499999999999997 AS DOUBLE)), ('context', 0, 20, 0.75), ('context', 1, 20, 0.7), ('context', 2, 20, CAST(0.6499999999999999 AS DOUBLE)), ('context', 3, 20, CAST(0.5999999999999999 AS DOUBLE)), ('context', 4, 20, CAST(0.5499999999999998 AS DOUBLE))) t(start, level, max_result, min_score) ON t.start = CASE WHEN conv_id % 2 = 1 THEN 'ask' ELSE 'context' END WHERE turn = 0",
     "unvetoed_chunks": f"""WITH f AS (SELECT *, doc_id || {_ENDING} AS id FROM documents WHERE text <> ''), k AS (SELECT * FROM f WHERE source <> 'src2'), n AS (SELECT (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM f) AS seen)
 SELECT id, 'unknown' AS kind, md5(text) AS content_md5, kept, seen FROM k, n WHERE lang NOT IN ('en', 'de') UNION ALL SELECT id, 'second', md5(text), kept, seen FROM k, n WHERE lang <> 'de'""",
+    "sql_chunks": f"""WITH l AS (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE lang IN ('en', 'de')), u AS (SELECT *, unnest(l) AS line, generate_subscripts(l, 1) AS nr FROM l)
+SELECT 'src/' || source || '/' || doc_id || {_ENDING} AS id, CAST(nr - 1 AS INT) AS part, CAST(length(line) AS INT) AS size, md5(line) AS content_md5 FROM u""",
     "folder_states": f"""WITH f AS (SELECT doc_id, 'src/' || source || '/' || doc_id || {_ENDING} AS path, lang, doc_id IN (SELECT doc_id FROM labels) AS labelled, text || CASE WHEN doc_id % 5 = 1 THEN chr(10) || 'more' ELSE '' END AS now, text FROM documents WHERE text <> ''),
 s AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN labelled THEN 'added' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'same' END AS change FROM f),
 n AS (SELECT *, length(now) AS len, CASE WHEN change = 'removed' OR lang = 'fr' OR path LIKE '%build%' OR path LIKE '%target%' THEN 0 WHEN length(now) < 1299 THEN 1 ELSE CAST(ceil(length(now) / 1199.0) AS BIGINT) END AS total FROM s),

@@ -206,3 +206,27 @@ def test_many_prefetched_chunks_are_kept(spark):
     store = retrieval.embedded(chunks, embed).drop("embed_error").cache()
     text = prompt.enrich(spark, store, "body of 7", embed, template="{}|{}", prefetched=store.select("id"))
     assert text.count("## Hier ein Rumpf der Klasse") > 500 and len(text) > 50_000
+
+
+def test_checkpoints_go_with_their_frames(spark):
+    import gc
+    import glob
+    import time
+
+    folder = numbering.shared_folder(spark).removeprefix("file:")
+
+    def files():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+        return set(glob.glob(f"{folder}/rdd-*"))
+
+    before = files()
+    kept = numbering.checkpointed(spark.range(1000).repartition(3))
+    assert row_numbers(spark.range(1000), "id").count() == 1000 and kept.count() == 1000
+    left = files() - before
+    for _ in range(40):
+        if len(left) <= 1:
+            break
+        left = files() - before
+    assert len(left) == 1 and kept.count() == 1000
