@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import running_sums
 from ..schema import CHUNK_COLUMNS
 from .scalars import after_first_line, count_of
 
@@ -47,6 +48,34 @@ def split_content(df: DataFrame, content: str | Column, size: int, overlap: int,
     return df.withColumns(out).drop("__prefix", "__first", "__last", "__alone", "__breaks", "__body")
 
 
+def split_pieces(pieces: DataFrame, keys: list[str], order: list[str], size: int, overlap: int, from_line: int = 1, text: str = "text") -> DataFrame:
+    """The windows of ``split_content`` for texts that stand in pieces: rows of ``keys`` in the order of ``order``, each with a part of the text.
+
+    No text is put together whole: a piece goes to the windows that it reaches, and only a window's pieces are gathered. The end line of a text of
+    one window is its number of characters. Keys must not be null; a text must have a character.
+    """
+    window = size - 1
+    if window <= overlap:
+        raise ValueError(f"windows of {window} characters cannot overlap by {overlap}")
+    step = window - overlap
+    rows = running_sums(pieces.select(*keys, *order, F.col(text).alias("__text")), F.length("__text"), keys, order, "__at").filter(F.length("__text") > 0)
+    end = F.col("__at") + F.length("__text")
+    windows = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("__at") + 1 - window) / step)), F.floor((end - 1) / step))
+    rows = rows.select("*", F.explode(windows.cast("array<int>")).alias("part"))
+    first = F.greatest(F.col("__at"), F.col("part") * step)
+    own = F.substring("__text", (first - F.col("__at") + 1).cast("int"), (F.least(end, F.col("part") * step + window) - first).cast("int"))
+    parts = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("__at", own.alias("s")))).alias("__s"))
+    parts = parts.withColumn("__body", F.array_join(F.transform("__s", lambda x: x["s"]), "")).drop("__s")
+    totals = pieces.groupBy(*keys).agg(F.sum(F.length(text)).alias("__length"))
+    parts = parts.join(totals, keys).withColumn("__alone", F.col("__length") < window).filter("part = 0 or not __alone")
+    parts = running_sums(parts.withColumn("__breaks", count_of(F.col("__body"), "\n")), F.col("__breaks"), keys, ["part"], "__before")
+    start, content = (F.col("__before") + from_line).cast("int"), F.concat(F.lit("\n"), F.col("__body"))
+    total = F.when(F.col("__alone"), 1).otherwise(F.ceil(F.col("__length") / step)).cast("int")
+    last = F.when(F.col("__alone"), F.col("__length")).otherwise(start + F.col("__breaks"))
+    out = {"total": total, "size": F.length(content), "overlap": F.when(F.col("__alone"), 0).otherwise(overlap), "fromLine": start.cast("string"), "toLine": last.cast("string"), "content": content}
+    return parts.select(*keys, "part", *(c.alias(n) for n, c in out.items()))
+
+
 def _joined(parts: Column) -> Column:
     """The text of sorted (part, overlap, content) structs."""
     bodies = F.transform(parts, lambda p: F.struct(p["overlap"].alias("overlap"), after_first_line(p["content"]).alias("body")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.split import split_content
+from ..functions.split import split_pieces
 from .chunk_maps import chunk_columns
 
 # Headings of a dependency report, and its chunks' size and overlap.
@@ -58,24 +58,37 @@ def resolve_names(uses: DataFrame, imports: DataFrame, symbols: DataFrame) -> Da
 
 
 def dependency_reports(edges: DataFrame) -> DataFrame:
-    """(source, content): what each class that uses others uses and is used by."""
+    """(source, content): what each class that uses others uses and is used by, as one text; see ``dependency_chunks`` for classes with very many users."""
     forward, backward = dependencies(edges), used_by(edges)
     both = forward.join(backward, forward["source"] == backward["target"], "left").select("source", "targets", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
 
     def bullets(names: str):
         return F.array_join(F.transform(names, lambda x: F.concat(F.lit(BULLET), x, F.lit("\n"))), "")
 
-    def heading(text: str):
-        before, after = text.split("{}")
-        return F.concat(F.lit(before), F.col("source"), F.lit(after))
+    return both.select("source", F.concat(_heading(USES_HEADING), bullets("targets"), _heading(USED_BY_HEADING), bullets("sources")).alias("content"))
 
-    return both.select("source", F.concat(heading(USES_HEADING), bullets("targets"), heading(USED_BY_HEADING), bullets("sources")).alias("content"))
+
+def _heading(text: str) -> Column:
+    before, after = text.split("{}")
+    return F.concat(F.lit(before), F.col("source"), F.lit(after))
+
+
+def report_lines(edges: DataFrame) -> DataFrame:
+    """(source, section, name, text): the lines of the reports, in the order of section and name; no class's users are gathered."""
+    classes = edges.select("source").distinct()
+    heads = [classes.select("source", F.lit(k).alias("section"), F.lit("").alias("name"), _heading(text).alias("text")) for k, text in ((0, USES_HEADING), (2, USED_BY_HEADING))]
+    line = F.concat(F.lit(BULLET), F.col("name"), F.lit("\n")).alias("text")
+    uses = edges.select("source", F.lit(1).alias("section"), F.col("target").alias("name")).distinct()
+    users = edges.select(F.col("target").alias("source"), F.lit(3).alias("section"), F.col("source").alias("name")).distinct().join(classes, "source", "left_semi")
+    return heads[0].unionByName(heads[1]).unionByName(uses.select("*", line)).unionByName(users.select("*", line))
 
 
 def dependency_chunks(edges: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP) -> DataFrame:
-    """Chunks of the reports; the end line of a report in one part is its number of characters."""
-    reports = dependency_reports(edges).withColumnRenamed("content", "report")
-    parts = split_content(reports, "report", size, overlap, from_line=0, to_line=F.length("report"))
+    """Chunks of the reports; the end line of a report in one part is its number of characters.
+
+    A report is cut from its lines, so that one of a class that everything uses is never a single value.
+    """
+    parts = split_pieces(report_lines(edges), ["source"], ["section", "name"], size, overlap, from_line=0)
     given = {c: F.col(c) for c in ("part", "total", "size", "overlap", "fromLine", "toLine", "content")}
     metadata = F.create_map(F.lit("java_code_section"), F.lit("dependenciesInfo"))
     return parts.select(*chunk_columns(id=F.concat("source", F.lit(".dependencies")), mimeType=F.lit("text/plain"), parent=F.col("source"), metadata=metadata, **given))

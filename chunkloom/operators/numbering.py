@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that one task sums.
+KEY_ROWS = 1 << 17
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; one of our own only in local mode where none is set."""
     sc = spark.sparkContext
@@ -69,6 +73,37 @@ def until(df: DataFrame, amount: Column, most: int, *order: str | Column) -> Dat
     return kept.select(*df.columns)
 
 
+def running_sums(df: DataFrame, amount: Column, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the sum of ``amount`` over the rows of the same ``keys`` that come before, in the order of ``order``; 0 for the first.
+
+    Where no key has more than KEY_ROWS rows each key is summed in a task. Else a key's rows may fill any number of partitions: of each
+    partition its sum, its first and last key and where the last one starts reach the driver. Keys must not be null.
+    """
+    spark = df.sparkSession
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= KEY_ROWS:
+        of_key = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(amount.cast("long")).over(of_key), F.lit(0).cast("long")))
+    rows = _ordered(df.withColumn("__amount", F.coalesce(amount.cast("long"), F.lit(0).cast("long"))), *keys, *order)
+    along = Window.partitionBy("__partition").orderBy("__place")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*keys)
+    rows = rows.withColumn("__local", F.coalesce(F.sum("__amount").over(before), F.lit(0).cast("long"))).withColumn("__new", ~F.coalesce(F.lag(key).over(along) == key, F.lit(False)))
+    rows = rows.withColumn("__begin", F.last(F.when(F.col("__new"), F.col("__local")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__first", F.count_if("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    ends = rows.groupBy("__partition").agg(F.min_by(key, "__place").alias("first"), F.max_by(key, "__place").alias("last"), F.max_by("__begin", "__place").alias("begin"), F.sum("__amount").alias("n"))
+    carried, total, last, start = [], 0, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["__partition"]):
+        goes_on = r["first"] == last
+        carried.append((r["__partition"], total - start if goes_on else 0))  # what the first key has from the partitions before
+        if not (goes_on and r["last"] == r["first"]):
+            start = total + r["begin"]
+        last, total = r["last"], total + r["n"]
+    marks = spark.createDataFrame(carried, "__partition long, __carried long")
+    rows = rows.join(F.broadcast(marks), "__partition")
+    return rows.select(*df.columns, (F.col("__local") - F.col("__begin") + F.when(F.col("__first"), F.col("__carried")).otherwise(0)).alias(name))
+
+
 def batches(df: DataFrame, size: int, *order: str | Column, name: str = "batch") -> DataFrame:
     """Adds the number of the batch of ``size`` rows to which each row belongs."""
     return row_numbers(df, *order, name="__row").withColumn(name, F.floor(F.col("__row") / size)).drop("__row")

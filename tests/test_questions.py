@@ -1,5 +1,7 @@
 """Many questions at once, deep chains and budgets over all partitions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,18 @@ def test_budget_has_no_window_over_all(spark):
     kept = prompt.within_budget(contexts, [], [F.col("root_id")], 95)
     assert kept.count() == 10
     assert "SinglePartition" not in kept._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 0])
+def test_running_sums_go_on_over_partitions(spark, partitions, monkeypatch):
+    if partitions:
+        monkeypatch.setattr(numbering, "KEY_ROWS", 100)
+    partitions = partitions or 3
+    rng = random.Random(partitions)
+    rows = [(rng.choice(["hot"] * 20 + list("abcdef")), n, rng.choice([0, 0, 1, 5, None])) for n in range(600)] + [("zero", n, 0) for n in range(40)]
+    got = numbering.running_sums(spark.createDataFrame(rows, "k string, n int, a int").repartition(partitions), F.col("a"), ["k"], ["n"], "before")
+    sums, wanted = {}, []
+    for k, n, a in sorted(rows, key=lambda r: r[:2]):
+        wanted.append((k, n, sums.get(k, 0)))
+        sums[k] = sums.get(k, 0) + (a or 0)
+    assert sorted((r["k"], r["n"], r["before"]) for r in got.collect()) == sorted(wanted)

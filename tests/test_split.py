@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkloom.functions.split import combine, split_content, unsplit
+from chunkloom.functions.split import combine, split_content, split_pieces, unsplit
+from chunkloom.operators import numbering
 from chunkloom.operators.chunk_maps import chunk_columns, chunk_from_map, flat_map
 from chunkloom.schema import CHUNK_COLUMNS
 
@@ -77,3 +80,23 @@ def test_flat_map_and_back(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, text string")
     assert split_content(df, "text", 20, 2).count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 1 << 17])
+def test_pieces_give_the_windows_of_the_whole_text(spark, monkeypatch, most):
+    monkeypatch.setattr(numbering, "KEY_ROWS", most)
+    rng = random.Random(2)
+    rows = [(f"k{k}", n, rng.choice(["", "x", "ab\n", "line of text\n", "\n\n", "longer than a window " * 4])) for k in range(30) for n in range(rng.choice([1, 2, 9, 60]))]
+    rows += [("hot", n, f"user {n}\n") for n in range(1500)] + [("edge", 0, "y" * 39), ("short", 0, "y" * 38), ("one", 0, "z")]
+    rows += [(f"k{k}", -1, "h") for k in range(30)]
+    whole = {}
+    for key, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        whole[key] = whole.get(key, "") + text
+    pieces = spark.createDataFrame(rows, "key string, nr int, text string").repartition(5)
+    columns = ["key", "part", "total", "size", "overlap", "fromLine", "toLine", "content"]
+    got = sorted(tuple(r) for r in split_pieces(pieces, ["key"], ["nr"], 40, 7, from_line=0).select(*columns).collect())
+    texts = spark.createDataFrame(list(whole.items()), "key string, t string")
+    wanted = sorted(tuple(r) for r in split_content(texts, "t", 40, 7, from_line=0, to_line=F.length("t")).select(*columns).collect())
+    assert got == wanted
+    with pytest.raises(ValueError, match="overlap"):
+        split_pieces(pieces, ["key"], ["nr"], 8, 7)
