@@ -108,10 +108,13 @@ def _ranked(found: DataFrame, k: int, key: str) -> DataFrame:
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """(query_ids, vectors) of at most about QUERY_BLOCK queries at a time."""
-    rows = checkpointed(queries.filter("query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")))
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    rows = queries.filter("query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    few, blocks = rows.limit(QUERY_BLOCK + 1).toArrow(), 1
+    if few.num_rows > QUERY_BLOCK:
+        rows = checkpointed(rows)
+        blocks = -(-rows.count() // QUERY_BLOCK)
     for b in range(blocks):
-        own = (rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+        own = (few if blocks == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()).combine_chunks()
         widths = {n for n in own.column("embedding").combine_chunks().value_lengths().to_pylist() if n}
         for width in sorted(widths):
             at, vectors, _ = _matrix(own.column("embedding").combine_chunks(), width)
