@@ -9,7 +9,7 @@ from ..functions.scalars import section_of, section_weight
 from .numbering import checkpointed
 
 #: Levels that are climbed one by one before chains that go on are climbed by doubling.
-WALKED = 3
+WALKED = 4
 
 
 def ancestor_closure(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,14 +29,18 @@ def ancestor_closure(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     level = nodes(hits.select("id")).select(F.col("id").alias("hit_id"), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "section", F.lit(0).alias("depth"), F.array("id").alias("seen"))
     level = checkpointed(level)
     out = level
+    above = level.filter("parent_id is not null and not array_contains(seen, parent_id)")
     for depth in range(1, WALKED + 1):
-        up = level.filter("parent_id is not null and not array_contains(seen, parent_id)").select("hit_id", "parent_id", "seen")
+        if above.isEmpty():
+            return out.drop("seen")
+        up = above.select("hit_id", "parent_id", "seen")
         up = up.join(nodes(up.select(F.col("parent_id").alias("id"))), F.col("parent_id") == F.col("id"))
         level = checkpointed(up.select("hit_id", F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "section", F.lit(depth).alias("depth"), F.concat("seen", F.array("id")).alias("seen")))
-        if level.isEmpty():
-            return out.drop("seen")
         out = out.unionByName(level)
-    further = _by_doubling(level.filter("parent_id is not null and not array_contains(seen, parent_id)"), chunks)
+        above = level.filter("parent_id is not null and not array_contains(seen, parent_id)")
+    if above.isEmpty():
+        return out.drop("seen")
+    further = _by_doubling(above, chunks)
     # a chain that bends back into the levels walked has seen those nodes already
     further = further.join(out.select("hit_id", "node_id"), ["hit_id", "node_id"], "left_anti").withColumn("depth", F.col("depth") + WALKED)
     further = checkpointed(further)
