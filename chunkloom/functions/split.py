@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.numbering import running_sums
+from ..operators.numbering import checkpointed, running_sums
 from ..schema import CHUNK_COLUMNS
 from .scalars import after_first_line, count_of
 
@@ -58,7 +58,8 @@ def split_pieces(pieces: DataFrame, keys: list[str], order: list[str], size: int
     if window <= overlap:
         raise ValueError(f"windows of {window} characters cannot overlap by {overlap}")
     step = window - overlap
-    rows = running_sums(pieces.select(*keys, *order, F.col(text).alias("__text")), F.length("__text"), keys, order, "__at").filter(F.length("__text") > 0)
+    pieces = checkpointed(pieces.select(*keys, *order, F.col(text).alias("__text")))
+    rows = running_sums(pieces, F.length("__text"), keys, order, "__at").filter(F.length("__text") > 0)
     end = F.col("__at") + F.length("__text")
     windows = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("__at") + 1 - window) / step)), F.floor((end - 1) / step))
     rows = rows.select("*", F.explode(windows.cast("array<int>")).alias("part"))
@@ -66,8 +67,8 @@ def split_pieces(pieces: DataFrame, keys: list[str], order: list[str], size: int
     own = F.substring("__text", (first - F.col("__at") + 1).cast("int"), (F.least(end, F.col("part") * step + window) - first).cast("int"))
     parts = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("__at", own.alias("s")))).alias("__s"))
     parts = parts.withColumn("__body", F.array_join(F.transform("__s", lambda x: x["s"]), "")).drop("__s")
-    totals = pieces.groupBy(*keys).agg(F.sum(F.length(text)).alias("__length"))
-    parts = parts.join(totals, keys).withColumn("__alone", F.col("__length") < window).filter("part = 0 or not __alone")
+    totals = pieces.groupBy(*keys).agg(F.sum(F.length("__text")).alias("__length"))
+    parts = checkpointed(parts.join(totals, keys).withColumn("__alone", F.col("__length") < window).filter("part = 0 or not __alone"))
     parts = running_sums(parts.withColumn("__breaks", count_of(F.col("__body"), "\n")), F.col("__breaks"), keys, ["part"], "__before")
     start, content = (F.col("__before") + from_line).cast("int"), F.concat(F.lit("\n"), F.col("__body"))
     total = F.when(F.col("__alone"), 1).otherwise(F.ceil(F.col("__length") / step)).cast("int")
