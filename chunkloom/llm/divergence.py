@@ -94,13 +94,16 @@ def shares(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pair_divergence(own: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every two sources of a language, both ways: differences of shares summed over all kept terms.
 
-    Sources meet in tiles of two blocks and a bucket of terms. A tile takes the terms that any of its sources has, less
-    what the sources' bases differ for each; the first bucket adds that difference for all kept terms.
+    Sources meet in tiles of two blocks and a bucket of terms, each in every bucket, also where it has none of its terms. A tile takes
+    the terms that any of its sources has, less what the sources' bases differ for each; the first bucket adds that difference for all
+    kept terms, and of the others' sums those that are not 0 go on.
     """
     blocks = _small(checkpointed(groups.groupBy("lang").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("blocks"))))
-    bucket = F.when(F.col("term").isNull(), 0).otherwise(F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / TERMS)).cast("int"))
-    rows = own.select("lang", "source", "term", "p", "kept", "base").unionByName(groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("p"), "kept", "base"))
-    rows = rows.join(blocks, "lang").withColumns({"bucket": bucket, "block": F.pmod(F.xxhash64("source"), "blocks").cast("int")})
+    buckets = F.greatest(F.ceil(F.col("kept") / TERMS), F.lit(1)).cast("int")
+    rows = own.select("lang", "source", "term", "p", "kept", "base", F.pmod(F.xxhash64("term"), buckets).cast("int").alias("bucket"))
+    every = F.explode(F.sequence(F.lit(0), buckets - 1)).alias("bucket")
+    rows = rows.unionByName(groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("p"), "kept", "base", every))
+    rows = rows.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("source"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("lang", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "bucket", "block", "source", "term", "p", "kept", F.coalesce("base", F.lit(0)).alias("base"))
 
@@ -109,7 +112,7 @@ def pair_divergence(own: DataFrame, groups: DataFrame) -> DataFrame:
         first = f.drop_duplicates("source").sort_values("source")
         names, base, block = first["source"].to_numpy(), first["base"].to_numpy(np.int64), first["block"].to_numpy()
         place = {s: k for k, s in enumerate(names)}
-        seeded = bool(f["term"].isna().any())
+        seeded = int(f["bucket"].iloc[0]) == 0
         real = f[f["term"].notna()]
         codes, found = pd.factorize(real["term"])
         p = np.repeat(base[:, None], len(found), axis=1)
@@ -120,8 +123,10 @@ def pair_divergence(own: DataFrame, groups: DataFrame) -> DataFrame:
             others = others[others > a] if i == j else others
             gap = np.abs(base[others] - base[a])
             value = np.abs(p[others] - p[a]).sum(axis=1) - len(found) * gap + (int(first["kept"].iloc[0]) * gap if seeded else 0)
+            if not seeded:
+                others, value = others[value != 0], value[value != 0]
             out.append(pd.DataFrame({"lang": lang, "source": names[a], "item": names[others], "value": value}))
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "source": [], "item": [], "value": np.zeros(0, np.int64)})
+        return pd.concat(out) if out else pd.DataFrame({"lang": lang, "source": "", "item": names[:0], "value": np.zeros(0, np.int64)})
 
     parts = rows.groupBy("lang", "i", "j", "bucket").applyInPandas(compare, "lang string, source string, item string, value long")
     both = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -150,6 +150,23 @@ def test_blocks_and_buckets(spark, monkeypatch):
     assert audited(divergence.audit(docs)) == reference_audit(rows)
 
 
+def test_sources_that_lack_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "SOURCES", 2)
+    monkeypatch.setattr(divergence, "TERMS", 3)
+    words = [f"w{chr(97 + k)}" for k in range(26)]
+    rows = [("en", f"s{i % 3}", " ".join(words)) for i in range(60)] + [("en", f"t{k}", f"{w} {w}") for k, w in enumerate(words)]
+    rows += [("en", "wordless", ""), ("en", "null text", None), ("en", "rare", "unkept words"), ("de", "wordless", "")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert audited(divergence.audit(docs)) == reference_audit(rows)
+
+
+def test_many_terms_and_a_source_of_few(spark):
+    words = ["w" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(600)]
+    rows = [("en", f"s{i % 2}", " ".join(words)) for i in range(60)] + [("en", "few", "waa wab"), ("en", None, None)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert audited(divergence.audit(docs)) == reference_audit(rows)
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
     assert divergence.audit(spark.createDataFrame([(None, None, None)], "lang string, source string, text string")).collect() == []
