@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .numbering import checkpointed
 
-#: Queries broadcast at once; more are taken in turns.
+#: Queries broadcast at once, and compared at once with vectors; a store of clusters takes more in turns, a scan by meeting them in groups.
 QUERY_BLOCK = 1000
+#: Components of the vectors and of the queries of one group, about, and blocks of queries that are wanted, so that all cores have work.
+SLICE, ASKED, LEAST_BLOCKS = 1 << 23, 1 << 20, 32
 #: Vectors that clusters are fitted on, at most, and clusters of a store, at most.
 SAMPLE, MOST_CENTRES = 1 << 15, 1 << 12
 #: Parts into which the rows of one cluster are dealt when they are written, so that a large one is not one task.
@@ -49,13 +51,13 @@ class _Best:
 
     def add(self, keys: pa.Array, vectors: np.ndarray, norms: np.ndarray, own: np.ndarray) -> None:
         """Compare ``vectors`` with the queries ``own``."""
-        near = (1 + self.unit[own] @ (vectors / norms[:, None]).T) / 2
-        for row in np.flatnonzero(near.max(axis=1, initial=-1) >= self.least[own] - self.loose):
-            q = own[row]
-            at = np.flatnonzero(near[row] >= self.least[q] - self.loose)
+        cosines = self.unit[own] @ (vectors / norms[:, None]).T
+        for row in np.flatnonzero((1 + cosines.max(axis=1, initial=-1)) / 2 >= self.least[own] - self.loose):
+            q, near = own[row], (1 + cosines[row]) / 2
+            at = np.flatnonzero(near >= self.least[q] - self.loose)
             if len(at) > self.k:
-                kth = np.partition(near[row][at], -self.k)[-self.k]
-                at = at[near[row][at] >= kth - 2 * self.loose]
+                kth = np.partition(near[at], -self.k)[-self.k]
+                at = at[near[at] >= kth - 2 * self.loose]
             # each score anew, in one order of addition, so that equal vectors score alike
             score = (1 + np.sum(vectors[at] * self.queries[q], axis=1) / (norms[at] * self.norms[q])) / 2
             score = score if self.digits is None else np.round(score, self.digits)
@@ -106,10 +108,55 @@ def _ranked(found: DataFrame, k: int, key: str) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """(query_ids, vectors) of at most about QUERY_BLOCK queries at a time."""
-    rows = queries.filter("query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    few, blocks = rows.limit(QUERY_BLOCK + 1).toArrow(), 1
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.filter("query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _in_groups(rows: DataFrame, asked: DataFrame, k: int, min_score: float, digits: int | None) -> DataFrame:
+    """(query_id, key, score): the best of ``rows`` (key, embedding) for ``asked`` (query_id, embedding), of each slice of the rows.
+
+    Blocks of queries and slices of vectors meet in groups, one of each; none passes the driver, and a group's bytes are bounded.
+    """
+    rows, asked = checkpointed(rows), checkpointed(asked)
+    n, width = asked.agg(F.count("*"), F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long"))).first()
+    blocks = max(1, -(-width // ASKED), min(LEAST_BLOCKS, -(-n // QUERY_BLOCK)))
+    slices = max(1, -(-(rows.agg(F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long"))).first()[0] or 0) // SLICE))
+
+    def dealt(side: DataFrame, own: str, n: int, other: str, times: int) -> DataFrame:
+        """``side`` dealt into ``n`` and each of these repeated for all the others."""
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+        return side.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+    left, right = dealt(asked, "block", blocks, "slice", slices), dealt(rows, "slice", slices, "block", blocks)
+    kinds = left.schema["query_id"].dataType.simpleString(), right.schema["key"].dataType.simpleString()
+
+    def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table({})
+        key, query = rows.schema.field("key").type, asked.schema.field("query_id").type
+        names, vectors = asked.column("query_id").combine_chunks(), asked.column("embedding").combine_chunks()
+        keys, stored = rows.column("key").combine_chunks(), rows.column("embedding").combine_chunks()
+        out = [pa.RecordBatch.from_arrays([pa.array([], query), pa.array([], key), pa.array([], pa.float64())], ["query_id", "key", "score"])]
+        for width in sorted({w for w in vectors.value_lengths().to_pylist() if w}):
+            at, matrix, _ = _matrix(vectors, width)
+            there, compared, norms = _matrix(stored, width)
+            own = keys.take(pa.array(there))
+            for a in range(0, len(at), QUERY_BLOCK):
+                part = matrix[a : a + QUERY_BLOCK]
+                best, all_ = _Best(part, k, np.full(len(part), min_score), digits), np.arange(len(part))
+                for b in range(0, len(there), 4096):
+                    best.add(own.slice(b, 4096), compared[b : b + 4096], norms[b : b + 4096], all_)
+                out.append(best.batch(names.take(pa.array(at[a : a + QUERY_BLOCK])).to_pylist(), key, query))
+        return pa.Table.from_batches(out)
+
+    groups = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
+    return groups.applyInArrow(compare, f"query_id {kinds[0]}, key {kinds[1]}, score double")
+
+
+def _blocks(queries: DataFrame, few: pa.Table | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """(query_ids, vectors) of at most about QUERY_BLOCK queries at a time; ``few`` are the first QUERY_BLOCK + 1 of them, if these are known."""
+    rows = _asked(queries)
+    few, blocks = rows.limit(QUERY_BLOCK + 1).toArrow() if few is None else few, 1
     if few.num_rows > QUERY_BLOCK:
         rows = checkpointed(rows)
         blocks = -(-rows.count() // QUERY_BLOCK)
@@ -131,12 +178,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, min_score: float, ke
     """(query_id, key, score, rank): the ``k`` rows nearest to each of ``queries`` (query_id, embedding), of a relevance of ``min_score`` at least.
 
     Ties go to the smaller ``key``. ``digits`` rounds scores before they are compared. Every row of ``vectors`` meets every
-    query, as the task asks: queries are broadcast QUERY_BLOCK at a time, each block to one pass, and a partition gives its ``k`` best of each.
+    query, as the task asks: up to QUERY_BLOCK queries are broadcast to one pass, and a partition gives its ``k`` best of each; more meet the
+    vectors in groups of a shuffle, in one plan whatever their number.
     """
-    out = _nothing(vectors, queries, key)
     rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), "embedding")
+    few = _asked(queries).limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows > QUERY_BLOCK:
+        return _ranked(_in_groups(rows, _asked(queries), k, min_score, digits), k, key)
+    out = _nothing(vectors, queries, key)
     kind = queries.schema["query_id"].dataType.simpleString()
-    for names, matrix in _blocks(queries):
+    for names, matrix in _blocks(queries, few):
         out = out.unionByName(_compared(rows, names, matrix, kind, k, np.full(len(names), min_score), digits))
     return _ranked(out, k, key)
 

@@ -175,3 +175,21 @@ def test_queries_in_blocks(spark, monkeypatch):
     asked = vectors.filter(F.col("id") < "v0030").select(F.col("id").alias("query_id"), "embedding")
     got = vector_search.nearest(vectors, asked, 1, 0.5)
     assert {(r["query_id"], r["id"]) for r in got.collect()} == {(f"v{i:04}", f"v{i:04}") for i in range(30)}
+
+
+def test_many_queries_are_one_plan(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_search, "SLICE", 12 * 300, raising=False)
+    monkeypatch.setattr(vector_search, "ASKED", 12 * 20, raising=False)
+    rows = family_vectors(900, 30, 3)
+    rows += [("dup1", rows[0][1]), ("dup0", rows[0][1]), (None, rows[1][1]), ("null", None), ("zero", [0.0] * 12), ("short", [1.0]), ("nan", [float("nan")] * 12), ("hole", [None] * 12)]
+    queries = [(i, [float(x) for x in rows[i * 7][1]]) for i in range(90)] + [(97, None), (98, [0.0] * 12), (99, [float(x) for x in range(12)])]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    found = vector_search.nearest(vectors, asked, 6, 0.8)
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == reference(rows, queries, 6, 0.8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1 and "Union" not in plan
+    short = asked.unionByName(spark.createDataFrame([(100, [2.0])], asked.schema))
+    assert [r["id"] for r in vector_search.nearest(vectors, short, 6, 0.8).filter("query_id = 100").collect()] == ["short"]
+    assert vector_search.nearest(vectors.limit(0), asked, 6, 0.8).collect() == []
