@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import path_from_source_root
 from ..schema import CHUNK_COLUMNS, CHUNK_SCHEMA
+from .files import uri_of
 
 
 def to_lines(chunks: DataFrame) -> DataFrame:
@@ -47,19 +47,12 @@ def load_by_id(spark: SparkSession, path: str, partitions: int | None = None) ->
     return chunks.repartition(partitions, "id") if partitions else chunks.repartition("id")
 
 
-def _uri(spark: SparkSession, root: str) -> str:
-    """``root`` as its file system names it, in the form that pyarrow's file systems take."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", whole).rstrip("/")
-
-
 def unwritten(files: DataFrame, root: str, path: str = "path") -> DataFrame:
     """The rows of ``files`` whose file does not exist below ``root`` yet, under its path from "src" on.
 
     Executors look the files up, all of a batch at once; ``root`` must be in a store that pyarrow's file systems reach.
     """
-    uri = _uri(files.sparkSession, root)
+    uri = uri_of(files.sparkSession, root)
 
     @F.pandas_udf("boolean")
     def missing(below: pd.Series) -> pd.Series:
@@ -76,7 +69,7 @@ def write_sources(files: DataFrame, root: str) -> int:
     Files that exist are left as they are. Executors write their own rows, each file under another name first, so that a task
     which runs again leaves whole files.
     """
-    uri = _uri(files.sparkSession, root)
+    uri = uri_of(files.sparkSession, root)
 
     def write(batches):
         fs, top = pafs.FileSystem.from_uri(uri)

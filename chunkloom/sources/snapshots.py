@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import checkpointed
-from .files import walk
-from .jsonl import _uri
+from .files import contents, uri_of, walk
 
 STATE = "path string, length long, modified timestamp, digest string"
 ADDED, CHANGED, REMOVED, SAME = "added", "changed", "removed", "same"
@@ -45,7 +42,7 @@ def changes(spark: SparkSession, root: str, log: FolderLog) -> DataFrame:
 
     A file of the same length and time is taken to be the same; others are read, by the executors, and are the same if their bytes are.
     """
-    top = _uri(spark, root)
+    top = uri_of(spark, root)
     below = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "file:///"), f"^{re.escape(top)}/", "")
     now = walk(spark, root).select(below.alias("path"), "length", F.col("modificationTime").alias("modified"))
     before = log.state().select("path", F.col("length").alias("__length"), F.col("modified").alias("__modified"), F.col("digest").alias("__digest"))
@@ -59,21 +56,3 @@ def changes(spark: SparkSession, root: str, log: FolderLog) -> DataFrame:
     found = found.unionByName(seen.filter(untouched).select("path", "length", "modified", F.col("__digest").alias("digest"), F.lit(SAME).alias("change")))
     gone = both.filter("length is null").select("path", "length", "modified", F.col("__digest").alias("digest"), F.lit(REMOVED).alias("change"))
     return checkpointed(found.unionByName(gone))
-
-
-def contents(paths: DataFrame, root: str) -> DataFrame:
-    """(path, content): the bytes of the files ``paths`` (path) below ``root``; a file that has gone meanwhile has no row."""
-    top = _uri(paths.sparkSession, root)
-
-    def read(batches):
-        fs, base = pafs.FileSystem.from_uri(top)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():  # one file at a time: files may be long
-                try:
-                    with fs.open_input_stream(f"{base}/{path}") as f:
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
-                except FileNotFoundError:
-                    continue
-
-    return paths.select("path").mapInArrow(read, "path string, content binary")
-

@@ -10,7 +10,7 @@ from chunkloom.functions.split import combine, split_content
 from chunkloom.operators import prompt, retrieval
 from chunkloom.operators.chunk_maps import chunk_columns
 from chunkloom.operators.store import ChunkStore
-from chunkloom.sources import chunk_table, snapshots
+from chunkloom.sources import chunk_table, files, snapshots
 
 EMBED = retrieval.hashing_embedder(8)
 
@@ -53,6 +53,28 @@ def test_a_store_follows_a_folder(spark, tmp_path):
     assert seen[2] == [] and store.manifest()["version"] == versions + 2
 
 
+def odd_folder(root):
+    for name in ("a b.txt", "50%41.txt", "ü/ö+.html", "deep/er/and deeper/x.xml", "deep/empty.txt", "_hidden/x.txt", "_own=1/x.txt", ".git/x.txt", "deep/_x.txt", "deep/.x.txt", "src/[1]{2}.txt", "_metadata.txt", "_metadata/x.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if "empty" in name else f"text of {name}".encode())
+    (root / "no file").mkdir()
+
+
+def test_executors_list_what_readers_list(spark, tmp_path):
+    root = tmp_path / "some folder"
+    odd_folder(root)
+    found = files.walk(spark, str(root))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, read.select("path", "length", "modificationTime").collect()))
+    texts = files.source_files(spark, str(root), [])
+    assert sorted((r["path"], r["length"], r["content"]) for r in texts.collect()) == sorted((r["path"], r["length"], r["content"].decode()) for r in read.collect())
+    for rows in (found, texts):  # a scan of Spark's keeps every name on the driver
+        assert "binaryFile" not in rows._jdf.queryExecution().executedPlan().toString()
+    done = read.filter("path like '%a b.txt'").select("path")
+    assert texts.count() - files.source_files(spark, str(root), [], done=done).count() == 1
+    assert files.source_files(spark, str(root), [lambda path, length: path.startswith("deep/")]).count() == texts.count() - 1
+
+
 def test_a_run_that_fails_is_repeated(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
