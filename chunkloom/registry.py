@@ -17,8 +17,8 @@ from .operators.retrieval import Embedder
 from .operators.store import ChunkStore
 from .operators.vetoes import Veto, allowed, standard_vetoes
 from .schema import CHUNK_COLUMNS
-from .sources.files import source_files
-from .sources.snapshots import ADDED, CHANGED, FolderLog, REMOVED, changes, contents
+from .sources.files import contents, source_files
+from .sources.snapshots import ADDED, CHANGED, FolderLog, REMOVED, changes
 
 #: Entry points under which packages offer registries.
 ENTRY_POINTS = "chunkloom.registries"
@@ -131,7 +131,7 @@ def update_store(spark: SparkSession, root: str, registry: Registry, log: Folder
     found = changes(spark, root, log)
     new = found.filter(F.col("change").isin(ADDED, CHANGED)).select("path", "length")
     new = allowed(new, [*standard_vetoes(white_list, enabled=standard), *registry.vetoes])
-    files = new.join(contents(new, root), "path").select("path", "length", F.decode("content", "UTF-8").alias("content"))
+    files = contents(new, root).select("path", "length", F.decode("content", "UTF-8").alias("content"))
     store.retract(found.filter(F.col("change").isin(CHANGED, REMOVED)).select(F.col("path").alias("file")))
     store.add(chunk_files(checkpointed(files), registry), embedder)
     log.write(found)

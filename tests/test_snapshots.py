@@ -75,6 +75,18 @@ def test_executors_list_what_readers_list(spark, tmp_path):
     assert files.source_files(spark, str(root), [lambda path, length: path.startswith("deep/")]).count() == texts.count() - 1
 
 
+def test_changes_of_a_folder_with_odd_names(spark, tmp_path):
+    root = tmp_path / "some folder"
+    odd_folder(root)
+    log = snapshots.FolderLog(spark, f"file://{tmp_path}/log")
+    found = snapshots.changes(spark, str(root), log)
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    names = {"a b.txt", "50%41.txt", "ü/ö+.html", "deep/er/and deeper/x.xml", "_own=1/x.txt", "src/[1]{2}.txt", "_metadata/x.txt"}
+    assert states(found) == dict.fromkeys(names, "added")
+    log.write(found)
+    assert states(snapshots.changes(spark, str(root), log)) == dict.fromkeys(names, "same")
+
+
 def test_a_run_that_fails_is_repeated(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
