@@ -51,15 +51,15 @@ def answer_batches(lines: DataFrame, answer: Callable[[DataFrame], DataFrame], p
 def enrich_batches(lines: DataFrame, store: DataFrame, embedder: Embedder, path: str, checkpoint: str, column: str = "value", **how) -> StreamingQuery:
     """Write the enriched form of every prompt of a stream, (question, prompt, level, trees), with the chunks of ``store`` as context.
 
-    A batch's prompts are embedded in the executors and searched together; the same words asked twice in a batch are enriched once and
-    written twice. ``how`` goes to ``prompt.enrich_many``.
+    A batch's prompts are embedded in the executors and searched together, under numbers, which are shorter than they; the same words asked
+    twice in a batch are enriched once and written twice. ``how`` goes to ``prompt.enrich_many``.
     """
 
     def answer(rows: DataFrame) -> DataFrame:
-        asked = rows.groupBy(F.col(column).alias("question_id")).agg(F.count("*").alias("times")).withColumn("question", F.col("question_id"))
-        asked = checkpointed(embedded(asked, embedder, column="question"))
-        told = prompt.enrich_many(asked, store, **how).join(asked.select("question_id", "times"), "question_id")
-        return told.select(F.col("question_id").alias("question"), "prompt", "level", "trees", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
+        asked = rows.groupBy(F.col(column).alias("question")).agg(F.count("*").alias("times"))
+        asked = checkpointed(embedded(asked, embedder, column="question").withColumn("question_id", F.monotonically_increasing_id()))
+        told = prompt.enrich_many(asked, store, **how).join(asked.select("question_id", "question", "times"), "question_id")
+        return told.select("question", "prompt", "level", "trees", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
 
     return answer_batches(lines, answer, path, checkpoint, column)
 

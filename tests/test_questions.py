@@ -1,12 +1,14 @@
 """Many questions at once, deep chains and budgets over all partitions."""
 
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.operators import forest, numbering, prompt, retrieval
 from chunkloom.operators.chunk_maps import chunk_columns
+from chunkloom.streaming import streams
 
 
 def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
@@ -112,3 +114,25 @@ def test_running_sums_go_on_over_partitions(spark, partitions, monkeypatch):
         wanted.append((k, n, sums.get(k, 0)))
         sums[k] = sums.get(k, 0) + (a or 0)
     assert sorted((r["k"], r["n"], r["before"]) for r in got.collect()) == sorted(wanted)
+
+
+def test_a_stream_of_prompts_is_searched_under_numbers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("a long question\nanother one\na long question\n \nexit\n")
+    store = spark.createDataFrame([], "id string, part int, total int, parent string, content string, metadata map<string,string>, embedding array<float>")
+    kinds = []
+
+    def search(vectors, queries, *how):
+        kinds.append(queries.schema["query_id"].dataType.simpleString())
+        return retrieval.similar_per_query(vectors, queries, *how)
+
+    def stand_in(asked, store, search):
+        found = search(store, asked.select(F.col("question_id").alias("query_id"), "embedding"), 3, 0.5)
+        assert found.isEmpty()
+        return asked.select("question_id", F.upper("question").alias("prompt"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("trees"))
+
+    with mock.patch("chunkloom.operators.prompt.enrich_many", stand_in):
+        streams.enrich_batches(spark.readStream.text(f"file://{tmp_path}/in"), store, retrieval.hashing_embedder(4), f"{tmp_path}/out", f"{tmp_path}/state", search=search).awaitTermination()
+    rows = spark.read.schema("question string, prompt string, level int, trees long").parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["question"], r["prompt"]) for r in rows) == [("a long question", "A LONG QUESTION")] * 2 + [("another one", "ANOTHER ONE")]
+    assert kinds == ["bigint"]  # the texts themselves are not repeated for each of their hits
